@@ -27,21 +27,26 @@ def literal_pattern(query: str) -> str:
 _BLOCK = 256
 
 
-def match_offsets(text: Column, query: str) -> Column:
+def piece_sizes(text: Column, query: str) -> Column:
+    """Lengths of the pieces between literal matches, in both units."""
+    pieces = F.split(text, literal_pattern(query), -1)
+    return F.transform(
+        pieces,
+        lambda p: F.struct(F.length(p).cast("long").alias("cp"), utf16_length(p).alias("u16")),
+    )
+
+
+def match_offsets(sizes: Column, query: str) -> Column:
     """Array of ``(hit, cp, u16)``: 0-based offsets of each literal match.
 
     Matches do not overlap and are found left to right. Offsets count code
     points and UTF-16 units of the original text; they come from the lengths
     of the pieces between the matches, inside the row, without a shuffle.
+    ``sizes`` must be a column of the frame, since it is read repeatedly.
     """
-    pieces = F.split(text, literal_pattern(query), -1)
     query_cp = len(query)
     # simple case folding keeps a match inside the plane of its query character
     query_u16 = len(query.encode("utf-16-be")) // 2
-    sizes = F.transform(
-        pieces,
-        lambda p: F.struct(F.length(p).cast("long").alias("cp"), utf16_length(p).alias("u16")),
-    )
     start = F.struct(F.lit(0).cast("long").alias("cp"), F.lit(0).cast("long").alias("u16"))
 
     def advance(acc: Column, size: Column) -> Column:
@@ -67,7 +72,7 @@ def match_offsets(text: Column, query: str) -> Column:
         return F.aggregate(block, seed, step)
 
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int")),
+        F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")),
         lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)),
     )
     nested = F.aggregate(
@@ -86,7 +91,7 @@ def match_offsets(text: Column, query: str) -> Column:
     )
     flat = F.flatten(nested["out"])
     # the end of the last piece is the end of the text, not a match
-    hits = F.slice(flat, F.lit(1), F.size(pieces) - 1)
+    hits = F.slice(flat, F.lit(1), F.size(sizes) - 1)
     return F.transform(hits, lambda at, i: F.struct(i.cast("long").alias("hit"), at["cp"], at["u16"]))
 
 
@@ -118,28 +123,44 @@ def _units_head(text: Column, units: int) -> Column:
     )
 
 
-def excerpt(text: Column, cp: Column, length: int) -> Column:
-    """``(preview, preview_offset)`` around a match at code point ``cp``.
+_CHUNK = 1024
+
+
+def text_chunks(text: Column) -> Column:
+    """The text cut into runs of 1,024 code points, for cheap access by offset."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def excerpt_window(chunks: Column, cp: Column, length: int) -> Column:
+    """Text around a match at code point ``cp``, wide enough for its excerpt."""
+    first = F.greatest(cp - EXCERPT_RADIUS, F.lit(0))
+    start = F.floor(first / _CHUNK).cast("int")
+    width = 2 * EXCERPT_RADIUS + length
+    span = F.array_join(F.slice(chunks, start + 1, F.lit(width // _CHUNK + 2)), "")
+    return F.substring(span, (first - start * _CHUNK).cast("int") + 1, F.lit(width))
+
+
+def excerpt(window: Column, cp: Column, total: Column, length: int) -> tuple[Column, Column]:
+    """``(preview, preview_offset)`` of the match at ``cp`` inside its window.
 
     Up to 80 units on each side, from after the preceding sentence end to the
     next one inclusive, with an ellipsis where text was left out.
     """
     ends = "[" + re.escape(SENTENCE_ENDS) + "]"
-    near = F.substring(text, F.greatest(cp - EXCERPT_RADIUS, F.lit(0)).cast("int") + 1, F.least(cp, F.lit(EXCERPT_RADIUS)).cast("int"))
-    before = _units_tail(near, EXCERPT_RADIUS)
+    lead = F.least(cp, F.lit(EXCERPT_RADIUS)).cast("int")
+    before = _units_tail(F.left(window, lead), EXCERPT_RADIUS)
     clipped = F.regexp_replace(before, f"(?s)^.*{ends}", "")
-    body = F.substring(text, cp.cast("int") + 1, F.lit(length))
-    after = _units_head(F.substring(text, cp.cast("int") + length + 1, F.lit(EXCERPT_RADIUS)), EXCERPT_RADIUS)
+    body = F.substring(window, lead + 1, F.lit(length))
+    after = _units_head(F.substring(window, lead + length + 1, F.lit(EXCERPT_RADIUS)), EXCERPT_RADIUS)
     stop = F.regexp_instr(after, F.lit(ends))
     tail = F.when(stop > 0, F.left(after, stop)).otherwise(after)
     leading = F.length(clipped) < cp
-    trailing = cp + length + F.length(tail) < F.length(text)
+    trailing = cp + length + F.length(tail) < total
     preview = F.concat(
         F.when(leading, ELLIPSIS).otherwise(""), clipped, body, tail,
         F.when(trailing, ELLIPSIS).otherwise(""),
     )
-    offset = utf16_length(clipped) + F.when(leading, 1).otherwise(0)
-    return F.struct(preview.alias("preview"), offset.alias("preview_offset"))
+    return preview, utf16_length(clipped) + F.when(leading, 1).otherwise(0)
 
 
 # Typography rules and bracket pairs.
