@@ -4,5 +4,9 @@ from __future__ import annotations
 
 from quire.registry.core import oracles, queries  # noqa: F401
 from quire.registry import (  # noqa: F401  (each module registers its queries)
+    aggregates,
     corpus,
+    names,
+    relational,
+    windows,
 )
