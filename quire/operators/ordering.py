@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions.names import (
     CUSTOM_ORDER_OFFSET,
@@ -11,14 +11,33 @@ from quire.functions.names import (
     volume_number,
 )
 
-# The fixed categories below the top container, in their order.
+# The fixed folders below the top container and their shown names, in order.
 FIXED_CATEGORIES = [
-    ("메인/원고", "원고", 0),
-    ("메인/설정", "설정", 1),
-    ("메인/휴지통", "휴지통", 99),
+    ("manuscript", "메인/원고", "원고"),
+    ("characters", "메인/캐릭터", "캐릭터"),
+    ("settings", "메인/설정집", "설정집"),
+    ("notes", "메인/메모장", "메모장"),
+    ("storyPlot", "메인/스토리 플롯", "스토리 플롯"),
+    ("flow", "메인/흐름정리", "흐름 정리"),
+    ("foreshadowing", "메인/복선", "복선"),
+    ("places", "메인/장소", "장소"),
+    ("trash", "메인/휴지통", "휴지통"),
 ]
 
 
+def fixed_categories(spark: SparkSession) -> DataFrame:
+    """The nine fixed folders as a lookup table."""
+    rows = [(*row, order) for order, row in enumerate(FIXED_CATEGORIES)]
+    return spark.createDataFrame(
+        rows, "category string, relative_path string, category_label string, fixed_order bigint"
+    )
+
+
+def with_category(nodes: DataFrame) -> DataFrame:
+    """Nodes with their fixed category, if their path is one."""
+    return nodes.join(F.broadcast(fixed_categories(nodes.sparkSession)), "relative_path", "left")
+
+
 def natural_key(name: Column) -> Column:
     """Numbered names first by number, then the others by Unicode order."""
     number = F.coalesce(volume_number(name), chapter_number(name))

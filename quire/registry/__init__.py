@@ -6,6 +6,7 @@ from quire.registry.core import oracles, queries  # noqa: F401
 from quire.registry import (  # noqa: F401  (each module registers its queries)
     aggregates,
     corpus,
+    hierarchy,
     names,
     relational,
     windows,

@@ -120,7 +120,7 @@ def codepoint_blocks(spark, folder):
     # counting first leaves one row per code point, whatever the corpus holds
     chars = table(spark, folder, "documents").select(F.explode(F.split("text", "")).alias("c"))
     counted = chars.groupBy("c").agg(F.count("*").alias("n")).where("c <> ''")
-    utf32 = F.encode(F.col("c"), "UTF-32BE")
+    utf32 = F.encode(F.col("c"), "UTF-32")
     counted = counted.select(F.conv(F.hex(utf32), 16, 10).cast("bigint").alias("cp"), "n")
     return R.range_lookup(counted, "cp", ranges).select("cp", "n", "block")
 
@@ -269,7 +269,7 @@ def staged_snapshots(spark, folder):
 
 @register("authorized_requests", """
 WITH projects AS (SELECT c_custkey AS project_id, c_nationkey AS owner_id, c_acctbal < 0 AS trashed FROM customer),
-members AS (SELECT user_id AS project_id, CAST(value AS INTEGER) % 25 AS user_id,
+members AS (SELECT user_id AS project_id, CAST(floor(value) AS INTEGER) % 25 AS user_id,
   max(CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END) AS rank FROM events GROUP BY 1, 2),
 requests AS (SELECT o_orderkey AS request_id, o_custkey AS project_id, CAST(o_orderkey % 25 AS INTEGER) AS user_id FROM orders)
 SELECT request_id, r.project_id, r.user_id FROM requests r JOIN projects p ON r.project_id = p.project_id AND NOT trashed
@@ -283,7 +283,7 @@ def authorized_requests(spark, folder):
     kind = F.col("event_type")
     members = table(spark, folder, "events").select(
         F.col("user_id").alias("project_id"),
-        (F.round("value").cast("int") % 25).alias("user_id"),
+        (F.floor("value").cast("int") % 25).alias("user_id"),
         F.when(kind == "click", "owner").when(kind == "view", "editor").otherwise("viewer").alias("role"),
     )
     requests = table(spark, folder, "orders").select(
