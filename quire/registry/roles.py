@@ -206,14 +206,14 @@ def operations(spark: SparkSession, folder: str) -> DataFrame:
 OP_EVENTS_SQL = """
 op_events AS (
   SELECT l_orderkey AS operation_id, CAST(l_linenumber AS BIGINT) AS event_sequence,
-         l_partkey * 10 + l_linenumber AS event_id,
+         l_orderkey * 10 + l_linenumber AS event_id,
          CASE WHEN l_returnflag = 'R' THEN 'retry_scheduled'
-              WHEN l_returnflag = 'A' AND l_quantity > 45 THEN 'completed'
-              WHEN l_returnflag = 'A' AND l_quantity < 4 THEN 'cancelled'
+              WHEN l_returnflag = 'A' AND l_quantity > 45 THEN 'committed'
+              WHEN l_returnflag = 'A' AND l_quantity < 4 THEN 'cancel_requested'
               WHEN l_returnflag = 'A' THEN 'blocked'
               WHEN l_linestatus = 'F' THEN 'conflict_detected'
               WHEN l_quantity < 10 THEN 'enqueued'
-              ELSE 'attempt_started' END AS event_type,
+              ELSE 'dispatch_started' END AS event_type,
          l_shipdate AS recorded_at, l_suppkey AS device_id,
          CAST(round(l_extendedprice * 100) AS BIGINT) AS arrival
   FROM lineitem)
@@ -225,14 +225,14 @@ def op_events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("operation_id"),
         F.col("l_linenumber").cast("bigint").alias("event_sequence"),
-        (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("event_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
         F.when(flag == "R", "retry_scheduled")
-        .when((flag == "A") & (qty > 45), "completed")
-        .when((flag == "A") & (qty < 4), "cancelled")
+        .when((flag == "A") & (qty > 45), "committed")
+        .when((flag == "A") & (qty < 4), "cancel_requested")
         .when(flag == "A", "blocked")
         .when(line == "F", "conflict_detected")
         .when(qty < 10, "enqueued")
-        .otherwise("attempt_started")
+        .otherwise("dispatch_started")
         .alias("event_type"),
         F.col("l_shipdate").alias("recorded_at"),
         F.col("l_suppkey").alias("device_id"),
