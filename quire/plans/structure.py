@@ -1,0 +1,230 @@
+"""Replay of structure batches: folders, document places, tree orders.
+
+The rules look at siblings, parents and children at the moment of each intent,
+so a project's intents act one after the other. Projects are independent: each
+is one sorted stream in one task, which holds only the project's live entries.
+The set audits (cycles, clashes, references) check the same rules without any
+such order and are the way to go for a project too large for a task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from quire.plans.storage_keys import with_storage_key
+
+
+class _Refused(Exception):
+    pass
+
+
+class _Project:
+    """Entries of one project, with an undo log for the batch in progress."""
+
+    def __init__(self) -> None:
+        self.entries: dict[str, dict] = {}
+        self.taken: dict[tuple, set[str]] = {}
+        self.live_children: dict[str, set[str]] = {}
+        self.undo: list[tuple[str, dict | None]] = []
+
+    def _index(self, id_: str, entry: dict | None, add: bool) -> None:
+        if entry is None or entry["deleted"] or entry["kind"] == "tree_order":
+            return
+        for index, key in ((self.taken, (entry["parent"], entry["key"])), (self.live_children, entry["parent"])):
+            members = index.setdefault(key, set())
+            (members.add if add else members.discard)(id_)
+
+    def put(self, id_: str, entry: dict | None) -> None:
+        old = self.entries.get(id_)
+        self.undo.append((id_, old))
+        self._swap(id_, old, entry)
+
+    def _swap(self, id_: str, old: dict | None, new: dict | None) -> None:
+        self._index(id_, old, add=False)
+        if new is None:
+            self.entries.pop(id_, None)
+        else:
+            self.entries[id_] = new
+        self._index(id_, new, add=True)
+
+    def rollback(self) -> None:
+        while self.undo:
+            id_, old = self.undo.pop()
+            self._swap(id_, self.entries.get(id_), old)
+
+    def require_free(self, parent: str | None, key: str, me: str) -> None:
+        if self.taken.get((parent, key), set()) - {me}:
+            raise _Refused("PATH_CONFLICT")
+
+    def require_parent(self, parent: str | None, me: str) -> None:
+        if parent == me:
+            raise _Refused("PARENT_CYCLE")
+        if parent is None:
+            return
+        entry = self.entries.get(parent)
+        if entry is None or entry["kind"] != "folder" or entry["deleted"]:
+            raise _Refused("FOLDER_NOT_FOUND")
+        above, seen = parent, set()
+        while above is not None and above not in seen:
+            if above == me:
+                raise _Refused("PARENT_CYCLE")
+            seen.add(above)
+            above = self.entries[above]["parent"] if above in self.entries else None
+
+
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def _folder(project: _Project, row) -> None:
+    old = project.entries.get(row.entity_id)
+    old = old if old is None or old["kind"] == "folder" else None
+    name_given, parent_given = bool(row.has_name), bool(row.has_parent)
+    if row.base_revision == 0:
+        if old is not None:
+            raise _Refused("FOLDER_ALREADY_EXISTS")
+        if row.intent_kind not in ("ensure", "create") or not name_given:
+            raise _Refused("INVALID_ARGUMENT")
+        new = {"kind": "folder", "parent": None, "key": None, "code": None, "deleted": False, "revision": 0}
+    else:
+        if old is None:
+            raise _Refused("FOLDER_NOT_FOUND")
+        if old["revision"] != row.base_revision:
+            raise _Refused("REVISION_CONFLICT")
+        needs = {"rename": name_given, "move": parent_given}
+        if row.intent_kind not in ("rename", "move", "delete", "restore", "ensure", "update"):
+            raise _Refused("INVALID_ARGUMENT")
+        if not needs.get(row.intent_kind, True):
+            raise _Refused("INVALID_ARGUMENT")
+        new = dict(old)
+    if name_given and row.intent_kind not in ("move", "delete"):
+        new["key"], new["code"] = _text(row.storage_key), _text(row.storage_code)
+    if parent_given and row.intent_kind not in ("rename", "delete"):
+        new["parent"] = _text(row.parent_id)
+    if row.intent_kind in ("delete", "restore"):
+        new["deleted"] = row.intent_kind == "delete"
+    new["revision"] = row.base_revision + 1
+    project.require_parent(new["parent"], row.entity_id)
+    if new["deleted"] and project.live_children.get(row.entity_id):
+        raise _Refused("FOLDER_NOT_EMPTY")
+    if new["code"]:
+        raise _Refused(new["code"])
+    if not new["deleted"]:
+        project.require_free(new["parent"], new["key"], row.entity_id)
+    project.put(row.entity_id, new)
+
+
+def _document(project: _Project, row) -> None:
+    if row.intent_kind not in ("rename", "move"):
+        raise _Refused("INVALID_ARGUMENT")
+    old = project.entries.get(row.entity_id)
+    if old is None or old["kind"] != "document" or old["deleted"]:
+        raise _Refused("DOCUMENT_NOT_FOUND")
+    if old["revision"] != row.base_revision:
+        raise _Refused("STRUCTURE_REVISION_CONFLICT")
+    if not (row.has_name if row.intent_kind == "rename" else row.has_parent):
+        raise _Refused("INVALID_ARGUMENT")
+    new = dict(old, revision=old["revision"] + 1)
+    if row.intent_kind == "rename":
+        new["key"] = _text(row.storage_key)
+        if _text(row.storage_code):
+            raise _Refused(row.storage_code)
+    else:
+        new["parent"] = _text(row.parent_id)
+        project.require_parent(new["parent"], row.entity_id)
+    project.require_free(new["parent"], new["key"], row.entity_id)
+    project.put(row.entity_id, new)
+
+
+def _tree_order(project: _Project, row) -> None:
+    if row.intent_kind != "reorder" or row.children is None:
+        raise _Refused("INVALID_ARGUMENT")
+    children = list(row.children)
+    if len(set(children)) != len(children):
+        raise _Refused("TREE_REFERENCE_DUPLICATED")
+    for child in children:
+        entry = project.entries.get(child)
+        if entry is None or entry["deleted"] or entry["kind"] == "tree_order":
+            raise _Refused("TREE_REFERENCE_NOT_FOUND")
+    old = project.entries.get(row.entity_id)
+    if row.base_revision == 0:
+        if old is not None:
+            raise _Refused("OPERATION_ID_REUSED")
+    elif old is None or old["kind"] != "tree_order":
+        raise _Refused("TREE_REFERENCE_NOT_FOUND")
+    elif old["revision"] != row.base_revision:
+        raise _Refused("REVISION_CONFLICT")
+    new = {"kind": "tree_order", "parent": None, "key": None, "deleted": False, "revision": row.base_revision + 1}
+    project.put(row.entity_id, new)
+
+
+_RULES = {"folder": _folder, "document": _document, "tree_order": _tree_order}
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    project_id, batch_id, project, failed = None, None, _Project(), False
+    for frame in batches:
+        codes = []
+        for row in frame.itertuples(index=False):
+            if row.project_id != project_id:
+                project_id, batch_id, project, failed = row.project_id, None, _Project(), False
+            if row.batch_id != batch_id:
+                batch_id, failed = row.batch_id, False
+                project.undo.clear()
+            code = "skipped" if failed else None
+            if not failed and row.intent_kind == "existing":
+                project.put(
+                    row.entity_id,
+                    {"kind": row.entity_kind, "parent": _text(row.parent_id), "key": _text(row.storage_key),
+                     "code": None, "deleted": False, "revision": row.base_revision},
+                )
+            elif not failed:
+                try:
+                    if row.entity_kind not in _RULES:
+                        raise _Refused("INVALID_ARGUMENT")
+                    _RULES[row.entity_kind](project, row)
+                except _Refused as refusal:
+                    code, failed = str(refusal), True
+                    project.rollback()
+            codes.append(code)
+        yield frame.assign(code=codes)[["project_id", "batch_id", "seq", "entity_id", "code"]]
+
+
+def structure_replay(intents: DataFrame) -> DataFrame:
+    """Code of each intent, null if it applied; ``skipped`` after a failure.
+
+    ``intents``: ``project_id, batch_seq, batch_id, seq, entity_kind,
+    entity_id, intent_kind, base_revision, name, has_name, parent_id,
+    has_parent, children``. A batch applies whole or not at all (see
+    ``batch_outcome``). Entities that exist beforehand come as rows of kind
+    ``existing`` with their revision.
+    """
+    keyed = with_storage_key(intents)
+    ordered = (
+        keyed.select(
+            "project_id", "batch_seq", "batch_id", "seq", "entity_kind", "entity_id", "intent_kind",
+            "base_revision", "has_name", "parent_id", "has_parent", "children", "storage_key", "storage_code",
+        )
+        .repartition("project_id")
+        .sortWithinPartitions("project_id", "batch_seq", "seq")
+    )
+    kinds = {c: intents.schema[c].dataType.simpleString() for c in ("project_id", "batch_id", "entity_id")}
+    out = ordered.mapInPandas(
+        _replay,
+        f"project_id {kinds['project_id']}, batch_id {kinds['batch_id']}, seq bigint, "
+        f"entity_id {kinds['entity_id']}, code string",
+    )
+    return out
+
+
+def structure_outcomes(intents: DataFrame) -> DataFrame:
+    """One row per batch: applied, or the first failing intent and its code."""
+    codes = structure_replay(intents)
+    failed = F.col("code").isNotNull() & (F.col("code") != "skipped")
+    return codes.groupBy("project_id", "batch_id").agg(
+        F.min(F.when(failed, F.col("seq"))).alias("failed_sequence"),
+        F.max(F.when(failed, F.col("code"))).alias("code"),
+    ).withColumn("applied", F.col("failed_sequence").isNull())

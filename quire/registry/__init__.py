@@ -7,6 +7,7 @@ from quire.registry import (  # noqa: F401  (each module registers its queries)
     aggregates,
     corpus,
     hierarchy,
+    jobs,
     ledgers,
     manuscripts,
     names,
