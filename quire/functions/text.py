@@ -152,8 +152,9 @@ def excerpt(window: Column, cp: Column, total: Column, length: int) -> tuple[Col
     clipped = F.regexp_replace(before, f"(?s)^.*{ends}", "")
     body = F.substring(window, lead + 1, F.lit(length))
     after = _units_head(F.substring(window, lead + length + 1, F.lit(EXCERPT_RADIUS)), EXCERPT_RADIUS)
-    stop = F.regexp_instr(after, F.lit(ends))
-    tail = F.when(stop > 0, F.left(after, stop)).otherwise(after)
+    # extracted, since positions from regexp_instr count UTF-16 units
+    stopped = F.regexp_extract(after, f"^[^{ends[1:]}{ends}", 0)
+    tail = F.when(stopped != "", stopped).otherwise(after)
     leading = F.length(clipped) < cp
     trailing = cp + length + F.length(tail) < total
     preview = F.concat(

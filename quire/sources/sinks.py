@@ -31,11 +31,12 @@ def write_tree_order(nodes: DataFrame, path: str) -> None:
 def write_manuscript(manuscripts: DataFrame, path: str) -> None:
     """One folder of text per manuscript, named by ``file_name``.
 
-    Spark's commit protocol makes each write appear whole or not at all.
+    Spark's commit protocol makes each write appear whole or not at all. The
+    text writer ends each file with a newline.
     """
-    manuscripts.select("file_name", F.col("content").alias("value")).write.mode("overwrite").option(
-        "lineSep", ""
-    ).partitionBy("file_name").text(path)
+    manuscripts.select("file_name", F.col("content").alias("value")).write.mode("overwrite").partitionBy(
+        "file_name"
+    ).text(path)
 
 
 def append_ledger(rows: DataFrame, path: str, partition: str = "project_id") -> None:
