@@ -27,13 +27,25 @@ def literal_pattern(query: str) -> str:
 _BLOCK = 256
 
 
-def piece_sizes(text: Column, query: str) -> Column:
-    """Lengths of the pieces between literal matches, in both units."""
+def is_wide(text: Column) -> Column:
+    """True if some code point takes two UTF-16 units."""
+    return text.rlike("[\\x{10000}-\\x{10FFFF}]")
+
+
+def piece_sizes(text: Column, query: str, wide: Column) -> Column:
+    """Lengths of the pieces between literal matches, in both units.
+
+    ``wide`` is a column of the frame that holds :func:`is_wide`, so that only
+    such texts pay for counting units.
+    """
     pieces = F.split(text, literal_pattern(query), -1)
-    return F.transform(
-        pieces,
-        lambda p: F.struct(F.length(p).cast("long").alias("cp"), utf16_length(p).alias("u16")),
-    )
+
+    def size(piece: Column) -> Column:
+        points = F.length(piece).cast("long")
+        units = F.when(wide, utf16_length(piece)).when(~wide, points)
+        return F.struct(points.alias("cp"), units.alias("u16"))
+
+    return F.transform(pieces, size)
 
 
 def match_offsets(sizes: Column, query: str) -> Column:
@@ -153,7 +165,7 @@ def excerpt(window: Column, cp: Column, total: Column, length: int) -> tuple[Col
     body = F.substring(window, lead + 1, F.lit(length))
     after = _units_head(F.substring(window, lead + length + 1, F.lit(EXCERPT_RADIUS)), EXCERPT_RADIUS)
     # extracted, since positions from regexp_instr count UTF-16 units
-    stopped = F.regexp_extract(after, f"^[^{ends[1:]}{ends}", 0)
+    stopped = F.regexp_extract(after, f"^[^{ends[1:]}*{ends}", 0)
     tail = F.when(stopped != "", stopped).otherwise(after)
     leading = F.length(clipped) < cp
     trailing = cp + length + F.length(tail) < total

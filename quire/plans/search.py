@@ -8,6 +8,7 @@ from quire.functions.names import BACKUP, TRASH, has_component
 from quire.functions.text import (
     excerpt,
     excerpt_window,
+    is_wide,
     literal_pattern,
     match_offsets,
     piece_sizes,
@@ -44,7 +45,8 @@ def search(corpus: DataFrame, query: str, excerpts: bool = False) -> DataFrame:
     columns = [c for c in ("project_id", "document_id", "relative_path") if c in corpus.columns]
     length = len(query)
     needle = query or "\0"
-    sized = found.withColumn("_sizes", piece_sizes(F.col("text"), needle))
+    marked = found.withColumn("_wide", is_wide(F.col("text")))
+    sized = marked.withColumn("_sizes", piece_sizes(F.col("text"), needle, F.col("_wide")))
     offsets = match_offsets(F.col("_sizes"), needle)
     extra = []
     if not excerpts:

@@ -8,7 +8,7 @@ from quire.functions import names as N, text as T
 from quire.functions.digests import byte_count, content_sha256
 from quire.plans import search as S
 from quire.registry.core import register
-from quire.registry.roles import CORPUS_SQL, corpus, table
+from quire.registry.roles import CORPUS_SQL, corpus, documents, table
 
 _SEARCHABLE_SQL = f"""WITH {CORPUS_SQL.strip()},
 live AS (SELECT * FROM corpus WHERE NOT is_deleted
@@ -89,7 +89,7 @@ SELECT doc_id, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS byt
 FROM documents""")
 def content_digests(spark, folder):
     text = F.col("text")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id",
         content_sha256(text).alias("content_hash"),
         byte_count(text).alias("bytes"),
@@ -105,7 +105,7 @@ SELECT lang, count(*) AS documents, CAST(sum(length_grapheme(text)) AS BIGINT) A
   CAST(max(length_grapheme(text)) AS BIGINT) AS longest, count(*) FILTER (WHERE length_grapheme(text) < 300) AS short_documents
 FROM documents GROUP BY lang""")
 def character_stats(spark, folder):
-    sized = table(spark, folder, "documents").select("lang", T.grapheme_count(F.col("text")).alias("n"))
+    sized = documents(spark, folder).select("lang", T.grapheme_count(F.col("text")).alias("n"))
     return sized.groupBy("lang").agg(
         F.count("*").alias("documents"),
         F.sum("n").alias("characters"),
@@ -132,7 +132,7 @@ FROM t""")
 def typography_rewrite(spark, folder):
     text = F.col("text")
     counts = [c.alias(n) for n, c in T.typography_counts(text).items()]
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id",
         content_sha256(T.rewrite_typography(text)).alias("rewritten_hash"),
         *counts,

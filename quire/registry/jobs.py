@@ -16,14 +16,14 @@ from quire.plans import (
     structure as X,
 )
 from quire.registry.core import register
-from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, LEDGER_SQL, chapters, corpus, ledger, table
+from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, LEDGER_SQL, chapters, documents, ledger, table
 from quire.streaming.changes import debounced_bursts
 
 _LINES_SQL = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS name FROM documents)"
 
 
 def _lines(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "source", F.explode(F.split("text", "\n", -1)).alias("name"))
+    return documents(spark, folder).select("doc_id", "source", F.explode(F.split("text", "\n", -1)).alias("name"))
 
 
 @register("name_collisions", f"""WITH {_LINES_SQL}
@@ -94,7 +94,7 @@ SELECT pair_id, CASE lang WHEN 'en' THEN 'merged' WHEN 'fr' THEN 'conflict' WHEN
 def reconciled_versions(spark, folder):
     text, lang = F.col("text"), F.col("lang")
     ended = F.when(text.rlike(r"[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]\z"), text).otherwise(F.concat(text, F.lit("\n")))
-    pairs = table(spark, folder, "documents").select(
+    pairs = documents(spark, folder).select(
         F.col("doc_id").alias("pair_id"),
         text.alias("base"),
         F.when(lang == "en", F.concat(F.lit("L\n"), text)).when(lang == "fr", F.concat(ended, F.lit("L"))).otherwise(F.concat(text, F.lit("\nL"))).alias("local"),

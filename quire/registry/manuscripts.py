@@ -178,7 +178,8 @@ _MISSING_VALUES = ", ".join(
 
 @register("missing_paths", f"""WITH {_ENTRIES_SQL},
 spread AS (SELECT project_id, relative_path FROM entries UNION SELECT project_id, regexp_replace(relative_path, '/[^/]*$', '') FROM entries
-  UNION SELECT project_id, split_part(relative_path, '/', 1) FROM entries),
+  UNION SELECT project_id, split_part(relative_path, '/', 1) FROM entries
+  UNION SELECT project_id, array_to_string(string_split(relative_path, '/')[1:2], '/') FROM entries),
 wanted(relative_path, code, severity) AS (VALUES {_MISSING_VALUES})
 SELECT p.project_id, w.relative_path, w.code, w.severity FROM (SELECT DISTINCT project_id FROM entries) p, wanted w
 WHERE NOT EXISTS (SELECT 1 FROM spread s WHERE s.project_id = p.project_id AND s.relative_path = w.relative_path)""")

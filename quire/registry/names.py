@@ -8,7 +8,7 @@ from quire.functions import names as N
 from quire.functions.digests import is_canonical_uuid, uuid5
 from quire.functions.unicode import nfc
 from quire.registry.core import register
-from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, chapters, corpus, table
+from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, chapters, corpus, documents, table
 
 _DEVICES = "[" + ", ".join(f"'{d}'" for d in N.DEVICE_NAMES) + "]"
 
@@ -36,7 +36,7 @@ _LINES_SQL = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS na
 
 
 def _lines(spark, folder):
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", F.explode(F.split("text", "\n", -1)).alias("name")
     )
 

@@ -7,11 +7,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quire.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, ready for costly text work."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 # --- corpus: documents as text files below a folder tree -----------------------------
 
 CORPUS_SQL = """
@@ -33,7 +40,7 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     )
     return (
-        table(spark, folder, "documents")
+        documents(spark, folder)
         .join(labels, "doc_id", "left")
         .select(
             F.col("doc_id").alias("document_id"),

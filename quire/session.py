@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 TASK_BYTES = 512 * 1024 * 1024
 #: Rows of one key that a single window or grouped task may hold.
 TASK_ROWS = 2_000_000
+#: Scans below this size per core are spread when their files are few.
+SPREAD_BYTES = 128 * 1024 * 1024
 
 
 def build_session(app: str = "quire", master: str | None = None, **conf: object) -> SparkSession:
@@ -47,6 +49,18 @@ def fits_one_task(df: DataFrame) -> bool:
     return estimated_bytes(df) <= limit
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where a few files could not occupy them.
+
+    For scans that feed costly text work. A data set with a file per core, or
+    too large to be worth a shuffle, stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) > cores * SPREAD_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def has_heavy_key(df: DataFrame, keys: list[str]) -> bool:
     """True if one key holds more rows than a single task should take.
 

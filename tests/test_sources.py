@@ -135,7 +135,7 @@ def test_writers(spark, tmp_path):
     assert sorted(lines, key=str) == [{"<root>": ["a"]}, {"a": ["d", "b", "c"]}]
     books = spark.createDataFrame([("p(1~2화).txt", "one\n\ntwo"), ("q(1~1화).txt", "x")], "file_name string, content string")
     sinks.write_manuscript(books, str(tmp_path / "books"))
-    back = spark.read.option("wholetext", "true").text(str(tmp_path / "books"))
+    back = spark.read.text(str(tmp_path / "books"), wholetext=True)
     assert sorted(r.value for r in back.collect()) == ["one\n\ntwo\n", "x\n"]
     ledger = spark.createDataFrame([("p", 1)], "project_id string, revision bigint")
     for _ in range(2):
