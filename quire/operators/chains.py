@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quire.operators.ordered import top_rows, with_running
+from quire.operators.ordered import top_rows, with_previous, with_running
 from quire.session import TASK_ROWS, durable, fits_one_task, task_limit
 
 
@@ -141,20 +141,30 @@ def committed_by_links(requests: DataFrame) -> DataFrame:
         requests = durable(marked.withColumn("_bad", F.col("_bad") | F.coalesce("_wrong", F.lit(False))).drop("_wrong"))
 
 
-def state_before(requests: DataFrame, done: DataFrame, columns: list[str]) -> DataFrame:
+def state_before(
+    requests: DataFrame, done: DataFrame, columns: list[str], keep_own: bool = False
+) -> DataFrame:
     """Requests with the last committed row before them, as ``was_<column>``.
 
-    ``committed`` tells whether the request itself took effect.
+    ``committed`` tells whether the request itself took effect. With
+    ``keep_own`` committed requests, too, get the row before them.
     """
     marked = requests.join(
         done.withColumn("committed", F.lit(True)), ["document_id", "seq"], "left"
     ).withColumn("committed", F.coalesce("committed", F.lit(False)))
     marked = durable(marked)
     stamped = marked.withColumn("_mine", F.when(F.col("committed"), F.col("seq")))
-    running = with_running(stamped, ["document_id"], ["seq"], {"_upto": ("max", "_mine")})
-    # a committed row sees itself in the running value; its own predecessor is its base
-    earlier = running.withColumn("_last", F.when(~F.col("committed"), F.col("_upto")))
+    earlier = with_running(stamped, ["document_id"], ["seq"], {"_last": ("max", "_mine")})
+    if keep_own:
+        own = with_previous(
+            marked.where("committed").select("document_id", "seq"), ["document_id"], ["seq"], {"_prior": "seq"}
+        )
+        earlier = earlier.join(own, ["document_id", "seq"], "left").withColumn(
+            "_last", F.when(F.col("committed"), F.col("_prior")).otherwise(F.col("_last"))
+        ).drop("_prior")
+    else:
+        earlier = earlier.withColumn("_last", F.when(~F.col("committed"), F.col("_last")))
     facts = marked.where("committed").select(
         "document_id", F.col("seq").alias("_last"), *[F.col(c).alias(f"was_{c}") for c in columns]
     )
-    return earlier.join(facts, ["document_id", "_last"], "left").drop("_mine", "_upto")
+    return earlier.join(facts, ["document_id", "_last"], "left").drop("_mine", "_last")

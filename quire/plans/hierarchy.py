@@ -58,11 +58,14 @@ def folder_paths(
         state = state.unionByName(roots.withColumn("_local", F.lit(True)), allowMissingColumns=True)
     else:
         state = state.withColumn("_local", F.lit(None).cast("boolean"))
-    covered = 1
+    state = durable(state)
+    covered, waiting = 1, None
     while covered <= max_depth:
-        state = durable(state)
         pending = state.where("outcome IS NULL")
-        if pending.isEmpty():
+        # a chain that ends has a folder finishing in every round until its last,
+        # so a round that finishes none has only cycles left
+        before, waiting = waiting, pending.count()
+        if waiting in (0, before):
             break
         above = state.select(
             F.col("id").alias("up"),
@@ -80,7 +83,7 @@ def folder_paths(
             F.when(F.col("_found").isNull(), "unknownParent").otherwise(F.col("_outcome")).alias("outcome"),
             "_local",
         )
-        state = state.where("outcome IS NOT NULL").unionByName(moved)
+        state = durable(state.where("outcome IS NOT NULL").unionByName(moved))
         covered *= 2
     own = state.where("_local IS NULL")
     outcome = (
@@ -557,28 +560,33 @@ def apply_node_changes(nodes: DataFrame, upserts: DataFrame, removed: DataFrame)
     parent_id, relative_path``. Writing the result is the caller's, as a new
     table version.
     """
+    key = collision_key(F.col("relative_path"))
     roots = nodes.join(removed.select("id"), "id", "left_semi").select(
         F.col("relative_path").alias("root_path")
     )
     gone = subtrees(nodes, roots).select("id").distinct()
-    stay = nodes.join(gone, "id", "left_anti")
+    replaced = upserts.select("id", F.lit(True).alias("_replaced"))
+    # read once for everything below: what stays, its key, and what is replaced
+    stay = durable(
+        nodes.join(gone, "id", "left_anti").join(replaced, "id", "left").withColumn("_key", key)
+    )
     before = nodes.select("id", F.col("project_id").alias("_old_project"))
+    kept = stay.where("_replaced IS NULL")
+    incoming = upserts.withColumn("_key", key)
+    known = ["id", "project_id", "kind"]
     parents = (
-        upserts.select("id", "project_id", "kind")
-        .unionByName(stay.join(upserts.select("id"), "id", "left_anti").select("id", "project_id", "kind"))
+        upserts.select(*known)
+        .unionByName(kept.select(*known))
         .select(
             F.col("id").alias("parent_id"),
             F.col("project_id").alias("_parent_project"),
             F.col("kind").alias("_parent_kind"),
         )
     )
-    kept = stay.join(upserts.select("id"), "id", "left_anti")
-    key = collision_key(F.col("relative_path")).alias("_key")
-    claims = kept.select("project_id", key).unionByName(upserts.select("project_id", key))
+    claims = kept.select("project_id", "_key").unionByName(incoming.select("project_id", "_key"))
     shared = claims.groupBy("project_id", "_key").agg(F.count("*").alias("_claims"))
     judged = (
-        upserts.withColumn("_key", key)
-        .join(before, "id", "left")
+        incoming.join(before, "id", "left")
         .join(parents, "parent_id", "left")
         .join(shared, ["project_id", "_key"], "left")
     )
@@ -597,9 +605,9 @@ def apply_node_changes(nodes: DataFrame, upserts: DataFrame, removed: DataFrame)
             "missingParent",
         )
     )
-    judged = judged.withColumn("code", code)
+    judged = durable(judged.withColumn("code", code))
     columns = nodes.columns
     accepted = judged.where("code IS NULL").select(*columns)
     rejected = judged.where("code IS NOT NULL").select("id", "code")
-    untouched = stay.join(accepted.select("id"), "id", "left_anti")
+    untouched = stay.join(accepted.select("id"), "id", "left_anti").select(*columns)
     return untouched.unionByName(accepted), rejected

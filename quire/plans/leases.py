@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.operators.ordered import with_previous, with_running
+from quire.operators.chains import follow, next_at_or_after, split_by_size, state_before
+from quire.operators.ordered import with_previous, with_row_number
+from quire.session import durable
 
 # Bounds and default of a lease in seconds.
 MIN_TTL, MAX_TTL, DEFAULT_TTL = 30, 120, 90
@@ -49,9 +51,8 @@ def lease_timeline(events: DataFrame) -> DataFrame:
 
     Needs ``lease_event_id, document_id, user_id, device_id, action, ts,
     ttl_seconds``. A lease is one holder's until it expires; the holder may
-    renew it. Every lease ends within two minutes, so a pause that long frees
-    the document: stretches without such a pause are independent and spread
-    over tasks even for one busy document.
+    renew or release it. Documents of ordinary size go through one sorted
+    stream per partition; larger ones through fixed successors.
     """
     holder = F.concat_ws("/", F.col("user_id").cast("string"), F.col("device_id").cast("string"))
     timed = events.select(
@@ -62,33 +63,81 @@ def lease_timeline(events: DataFrame) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         clamp_ttl(F.col("ttl_seconds")).cast("bigint").alias("ttl"),
     )
-    order = ["at", "lease_event_id"]
-    before = with_previous(timed, ["document_id"], order, {"_before": "at"})
-    pause = F.col("_before").isNull() | (F.col("at") - F.col("_before") >= MAX_TTL * 1_000_000)
-    stretches = with_running(
-        before.withColumn("_new", pause.cast("long")), ["document_id"], order, {"stretch": ("sum", "_new")}
+    light, heavy = split_by_size(timed, "document_id")
+    kinds = {c: timed.schema[c].dataType.simpleString() for c in ("document_id", "lease_event_id")}
+    done = (
+        light.repartition("document_id")
+        .sortWithinPartitions("document_id", "at", "lease_event_id")
+        .mapInPandas(
+            _timeline,
+            f"document_id {kinds['document_id']}, holder string, at bigint, "
+            f"lease_event_id {kinds['lease_event_id']}, result string, expires bigint",
+        )
     )
-    keyed = stretches.withColumn("_document", F.col("document_id")).withColumn(
-        "document_id", F.struct("_document", "stretch").cast("string")
+    if heavy is not None:
+        done = done.unionByName(_timeline_by_links(heavy))
+    return done.select(
+        "lease_event_id", "document_id", "holder", F.timestamp_micros("at").alias("at"), "result",
+        F.timestamp_micros("expires").alias("expires_at"),
     )
-    names = keyed.select("lease_event_id", F.col("_document").alias("document_id"))
-    ordered = (
-        keyed.select("document_id", "holder", "action", "at", "ttl", "lease_event_id")
-        .repartition("document_id")
-        .sortWithinPartitions("document_id", *order)
+
+
+def _timeline_by_links(timed: DataFrame) -> DataFrame:
+    """The same for documents of any size.
+
+    An event takes effect if it is the holder's own, or an acquire of a free
+    document. After a grant that is the holder's next event, if it comes
+    before the lease ends, else the first acquire from then on; after a
+    release it is the next acquire. Each event so has one fixed successor.
+    """
+    numbered = durable(
+        with_row_number(timed, ["document_id"], ["at", "lease_event_id"], "seq").withColumns(
+            {
+                "id": F.struct("document_id", "seq"),
+                "_end": F.col("at") + F.col("ttl") * 1_000_000,
+                "_grant": F.col("action") != "release",
+            }
+        )
     )
-    kind = timed.schema["lease_event_id"].dataType.simpleString()
-    done = ordered.mapInPandas(
-        _timeline,
-        f"document_id string, holder string, at bigint, lease_event_id {kind}, result string, expires bigint",
+    # previous row in descending order: the next event of the same holder
+    ahead = with_previous(numbered, ["document_id", "holder"], ["-seq"], {"_own": "seq", "_own_at": "at"})
+    acquires = numbered.where("_grant")
+    moment = lambda at, seq: F.struct(at.alias("at"), seq.alias("seq"))
+    points = acquires.select("document_id", moment(F.col("at"), F.col("seq")).alias("_when"))
+    # a grant looks from the end of its lease on, a release from the next event on
+    start = F.when(F.col("_grant"), moment(F.col("_end"), F.lit(0).cast("bigint"))).otherwise(
+        moment(F.col("at"), F.col("seq") + 1)
     )
-    return (
-        done.drop("document_id")
-        .join(names, "lease_event_id")
-        .select(
-            "lease_event_id", "document_id", "holder", F.timestamp_micros("at").alias("at"), "result",
-            F.timestamp_micros("expires").alias("expires_at"),
-        )
+    probes = numbered.select("document_id", start.alias("_when"), F.col("id").alias("probe_id"))
+    free = next_at_or_after(points, probes, ["document_id"], "_when").select(
+        F.col("probe_id").alias("id"), F.col("next_at.seq").alias("_free")
+    )
+    joined = ahead.join(free, "id", "left")
+    own_first = F.col("_grant") & (F.col("_own_at") < F.col("_end"))
+    following = F.when(F.coalesce(own_first, F.lit(False)), F.col("_own")).otherwise(F.col("_free"))
+    first = acquires.groupBy("document_id").agg(F.min("seq").alias("_head"))
+    links = joined.join(first, "document_id", "left").select(
+        "id",
+        F.when(following.isNotNull(), F.struct("document_id", following.alias("seq"))).alias("next_id"),
+        F.coalesce(F.col("seq") == F.col("_head"), F.lit(False)).alias("is_head"),
+    )
+    effective = follow(links).select("id.*")
+    judged = state_before(numbered, effective, ["holder", "_end", "_grant"], keep_own=True)
+    held = F.coalesce(F.col("was__grant") & (F.col("was__end") > F.col("at")), F.lit(False))
+    mine = held & (F.col("was_holder") == F.col("holder"))
+    result = (
+        F.when(~F.col("_grant"), F.when(mine, "released").otherwise("notHeld"))
+        .when(held & ~mine, "LEASE_CONFLICT")
+        .when(mine, "renewed")
+        .otherwise("acquired")
+    )
+    expires = (
+        F.when(F.col("result").isin("acquired", "renewed"), F.col("_end"))
+        .when(F.col("result") == "released", F.lit(None).cast("bigint"))
+        .otherwise(F.when(held, F.col("was__end")))
+    )
+    return judged.withColumn("result", result).select(
+        "document_id", "holder", "at", "lease_event_id", "result", expires.alias("expires")
     )
 
 

@@ -6,11 +6,13 @@ from quire.registry.core import oracles, queries  # noqa: F401
 from quire.registry import (  # noqa: F401  (each module registers its queries)
     aggregates,
     corpus,
+    evidence,
     hierarchy,
     jobs,
     ledgers,
     manuscripts,
     names,
     relational,
+    streams,
     windows,
 )

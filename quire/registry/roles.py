@@ -136,6 +136,10 @@ snapshots AS (
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshots_of(table(spark, folder, "events"))
+
+
+def snapshots_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     reason = (
         F.when(kind == "click", "automaticSave")
@@ -144,7 +148,7 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "purchase", "manual")
         .otherwise("conflict")
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("backup_id"),
         F.col("user_id").alias("document_id"),
         F.col("ts").alias("created_at"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +43,7 @@ def task_limit(spark: SparkSession, name: str, default: int) -> int:
 def estimated_bytes(df: DataFrame) -> int:
     """Size of what a plan reads, from Catalyst's statistics; runs no job."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def fits_one_task(df: DataFrame) -> bool:
@@ -74,15 +76,41 @@ def has_heavy_key(df: DataFrame, keys: list[str]) -> bool:
     return not counts.where(counts["count"] > rows).limit(1).isEmpty()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder the cluster names in spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        base = _local_folder()
+    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="quire-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the rows to the shared folder.
+
+    A written table survives lost executors as a checkpoint does. Unlike one
+    it has the size of its data, by which Spark then chooses joins, and gives
+    up only the columns asked for.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed_stream(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Run an append stream over what its source now holds; read its rows back."""
+    path = path or shared_folder(stream.sparkSession)
+    query = (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", f"{path}-log")
+        .trigger(availableNow=True)
+        .start(path)
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
