@@ -493,10 +493,10 @@ def restore_plan(trashed: DataFrame, nodes: DataFrame) -> DataFrame:
     parents = live_folders.select(
         F.col("id").alias("original_parent_id"), F.col("relative_path").alias("_parent_path")
     )
-    top = live_folders.where(F.col("relative_path") == TOP).select(F.col("id").alias("_top_id")).limit(1)
+    top = live_folders.where(F.col("relative_path") == TOP).agg(F.min("id"))
     sizes = nodes.groupBy(F.col("parent_id").alias("_target")).agg(F.count("*").alias("_siblings"))
-    found = trashed.join(parents, "original_parent_id", "left").join(F.broadcast(top), F.lit(True), "left")
-    target = F.when(F.col("_parent_path").isNotNull(), F.col("original_parent_id")).otherwise(F.col("_top_id"))
+    found = trashed.join(parents, "original_parent_id", "left")
+    target = F.when(F.col("_parent_path").isNotNull(), F.col("original_parent_id")).otherwise(top.scalar())
     found = found.withColumns(
         {"_target": target, "_folder": F.coalesce("_parent_path", F.lit(TOP)), "_stored": stored_name(F.col("original_path"))}
     ).join(sizes, "_target", "left")
@@ -535,15 +535,15 @@ def trash_plan(roots: DataFrame, nodes: DataFrame, trash_id: str, trash_path: st
     )
     names = inside.select("parent_id", stored_name(F.col("relative_path")).alias("name"))
     free = safe_names(asked, names, "_").select(F.col("request_id").alias("id"), "safe_name")
-    last = inside.agg(F.coalesce(F.max("user_order"), F.lit(-1)).alias("_last"))
+    last = inside.agg(F.coalesce(F.max("user_order"), F.lit(-1)))
     placed = roots.select("id", F.col("relative_path").alias("root_path")).join(free, "id")
     placed = with_row_number(placed.withColumn("_all", F.lit(1)), ["_all"], ["id"], "_n")
-    return placed.join(F.broadcast(last), F.lit(True)).select(
+    return placed.select(
         "id",
         "root_path",
         F.concat(F.lit(f"{trash_path}/"), "safe_name").alias("new_path"),
         F.lit(trash_id).alias("new_parent_id"),
-        (F.col("_last") + F.col("_n")).alias("new_order"),
+        (last.scalar() + F.col("_n")).alias("new_order"),
     )
 
 

@@ -97,15 +97,11 @@ def audit_tree(entries: DataFrame) -> DataFrame:
 
 def missing_paths(entries: DataFrame) -> DataFrame:
     """Required folders (fatal) and optional ones (warning) each project lacks."""
-    spark = entries.sparkSession
     rows = [(p, "missingRequiredDirectory", "fatal") for p in REQUIRED_FOLDERS]
     rows += [(p, "missingOptionalDirectory", "warning") for p in OPTIONAL_PATHS]
-    wanted = spark.createDataFrame(rows, "relative_path string, code string, severity string")
-    wanted_list = wanted.agg(F.collect_list(F.struct("relative_path", "code", "severity")).alias("_w"))
-    projects = entries.select("project_id").distinct()
-    expected = projects.crossJoin(F.broadcast(wanted_list)).select(
-        "project_id", F.inline("_w")
-    )
+    names = ("relative_path", "code", "severity")
+    wanted = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows])
+    expected = entries.select("project_id").distinct().select("project_id", F.inline(wanted))
     present = entries.where(F.col("relative_path").isin([r[0] for r in rows])).select(
         "project_id", "relative_path"
     )

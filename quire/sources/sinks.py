@@ -5,26 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions.names import ROOT_KEY, parent_path, stored_name
+from quire.operators.ordered import with_row_number
 
 
-def tree_order_lists(nodes: DataFrame) -> DataFrame:
+#: Names per list; a larger folder continues in further lists.
+LIST_SIZE = 10_000
+
+
+def tree_order_lists(nodes: DataFrame, size: int = LIST_SIZE) -> DataFrame:
     """Child names of every parent, by (order, path); ``<root>`` on top.
 
-    One list per parent is the format itself; a parent's list is as long as
-    the folder it describes.
+    ``parent_key, part, names``: a folder with more than ``size`` children
+    gives several parts in order, so that no list grows with the data.
     """
     path = F.col("relative_path")
-    child = F.struct("user_order", path.alias("path"), stored_name(path).alias("name"))
+    children = nodes.select(
+        F.coalesce(parent_path(path), F.lit(ROOT_KEY)).alias("parent_key"),
+        "user_order",
+        "relative_path",
+        stored_name(path).alias("name"),
+    )
+    placed = with_row_number(children, ["parent_key"], ["user_order", "relative_path"], "_place")
+    part = F.floor((F.col("_place") - 1) / size).alias("part")
     return (
-        nodes.groupBy(F.coalesce(parent_path(path), F.lit(ROOT_KEY)).alias("parent_key"))
-        .agg(F.array_sort(F.collect_list(child)).alias("_children"))
-        .select("parent_key", F.col("_children.name").alias("names"))
+        placed.groupBy("parent_key", part)
+        .agg(F.array_sort(F.collect_list(F.struct("_place", "name"))).alias("_children"))
+        .select("parent_key", "part", F.col("_children.name").alias("names"))
     )
 
 
 def write_tree_order(nodes: DataFrame, path: str) -> None:
-    """One JSON line per parent: ``{"<parent>": [names]}``."""
-    lists = tree_order_lists(nodes)
+    """JSON lines ``{"<parent>": [names]}``, the parts of a parent in order."""
+    lists = tree_order_lists(nodes).orderBy("parent_key", "part")
     lists.select(F.to_json(F.create_map("parent_key", "names")).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -133,6 +133,8 @@ def test_writers(spark, tmp_path):
     sinks.write_tree_order(nodes, str(tmp_path / "order"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "order")).collect()]
     assert sorted(lines, key=str) == [{"<root>": ["a"]}, {"a": ["d", "b", "c"]}]
+    parts = sinks.tree_order_lists(nodes, size=2).where("parent_key = 'a'").select("part", F.array_join("names", ","))
+    assert rows(parts) == [(0, "d,b"), (1, "c")]
     books = spark.createDataFrame([("p(1~2화).txt", "one\n\ntwo"), ("q(1~1화).txt", "x")], "file_name string, content string")
     sinks.write_manuscript(books, str(tmp_path / "books"))
     back = spark.read.text(str(tmp_path / "books"), wholetext=True)
