@@ -47,9 +47,11 @@ def natural_key(name: Column) -> Column:
 def natural_order(df: DataFrame, name: str) -> DataFrame:
     """Volumes and chapters by number, other names after them.
 
-    Names compare under the ICU root collation.
+    Names compare under the ICU root collation. Keys are columns of their own,
+    since a sort evaluates an expression at every comparison.
     """
-    return df.orderBy(natural_key(F.col(name)), F.collate(F.col(name), "UNICODE"), F.col(name))
+    keyed = df.withColumns({"_natural": natural_key(F.col(name)), "_collated": F.collate(F.col(name), "UNICODE")})
+    return keyed.orderBy("_natural", "_collated", name).drop("_natural", "_collated")
 
 
 def binder_order(df: DataFrame) -> DataFrame:
@@ -67,9 +69,10 @@ def binder_order(df: DataFrame) -> DataFrame:
         .otherwise(3)
     )
     inner = F.when(band == 2, F.col("fixed_order")).otherwise(order)
-    return df.withColumn("band", band.cast("long")).orderBy(
-        "band", inner, F.collate(F.col("display_name"), "UNICODE"), "display_name"
+    keyed = df.withColumns(
+        {"band": band.cast("long"), "_inner": inner, "_collated": F.collate(F.col("display_name"), "UNICODE")}
     )
+    return keyed.orderBy("band", "_inner", "_collated", "display_name").drop("_inner", "_collated")
 
 
 def plan_order(actions: DataFrame) -> DataFrame:
@@ -93,4 +96,4 @@ def trashed_projects(projects: DataFrame) -> DataFrame:
 
 def issues_first_fatal(issues: DataFrame) -> DataFrame:
     fatal = F.when(F.col("severity") == "fatal", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return issues.orderBy(fatal, "relative_path", "code")
+    return issues.withColumn("_rank", fatal).orderBy("_rank", "relative_path", "code").drop("_rank")

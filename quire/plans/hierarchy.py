@@ -278,8 +278,10 @@ def derive_folder_ids(nodes: DataFrame, project_id: str, prefix: str, server: Da
             F.col("parent_id").alias("old_parent_id"),
             F.coalesce("_new_parent", "parent_id").alias("new_parent_id"),
             "relative_path",
+            path_depth(F.col("relative_path")).alias("_depth"),
         )
-        .orderBy(path_depth(F.col("relative_path")), "relative_path")
+        .orderBy("_depth", "relative_path")
+        .drop("_depth")
     )
 
 

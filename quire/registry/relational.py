@@ -15,6 +15,7 @@ from quire.registry.roles import (
     OP_EVENTS_SQL,
     OPERATIONS_SQL,
     corpus,
+    documents,
     ledger,
     nodes,
     op_events,
@@ -118,7 +119,7 @@ SELECT cp, n, block FROM counted JOIN ranges ON cp BETWEEN a AND b""")
 def codepoint_blocks(spark, folder):
     ranges = spark.createDataFrame(_RANGES, "range_start bigint, range_end bigint, block string")
     # counting first leaves one row per code point, whatever the corpus holds
-    chars = table(spark, folder, "documents").select(F.explode(F.split("text", "")).alias("c"))
+    chars = documents(spark, folder).select(F.explode(F.split("text", "")).alias("c"))
     counted = chars.groupBy("c").agg(F.count("*").alias("n")).where("c <> ''")
     utf32 = F.encode(F.col("c"), "UTF-32")
     counted = counted.select(F.conv(F.hex(utf32), 16, 10).cast("bigint").alias("cp"), "n")
