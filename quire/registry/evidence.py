@@ -119,7 +119,7 @@ def inferred_renames(spark, folder):
 @register("trash_plan", """
 WITH ranked AS (SELECT p_partkey, p_brand || '/' || p_name AS root_path, p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS turn,
   row_number() OVER (ORDER BY p_partkey) AS n FROM part)
-SELECT p_partkey AS id, root_path, '휴지통/' || p_name || CASE WHEN turn > 1 THEN '_' || turn ELSE '' END AS new_path, 99 + n AS new_order FROM ranked""")
+SELECT p_partkey AS id, root_path, '휴지통/' || p_name || CASE WHEN turn > 1 THEN '_' || turn ELSE '' END AS new_path, (SELECT least(max(s_suppkey), 99) FROM supplier) + n AS new_order FROM ranked""")
 def trash_plan(spark, folder):
     roots = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_name").alias("relative_path"))
     inside = table(spark, folder, "supplier").select(
