@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, sharding, topk
+from quire.llm import language, mixing, quality, sharding, token_counts, topk
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The vocabulary whose tokens are counted.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_report(table(spark, folder, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.quantised_top_k(table(spark, folder, "embeddings"))
 
@@ -78,6 +95,9 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_token_counts": op3_token_counts,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_shards": op10_shards,
