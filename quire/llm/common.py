@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +27,23 @@ def uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def smallest_hashes(df: DataFrame, key: str, size: int, *hashed: str) -> DataFrame:
-    """At most ``size`` rows of each key, those with the smallest hash of ``hashed``.
+def smallest_draws(df: DataFrame, key: str, size: int, draw: str, *ties: str) -> DataFrame:
+    """At most ``size`` rows of each key, those with the smallest ``draw``, a hash.
 
     A key is cut within salts first, so that no task sees more than its share
     of a large key and the last one at most ``SALTS * size`` rows.
     """
-    drawn = df.withColumn("_draw", F.xxhash64(F.lit(17), *hashed)).withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)))
-    order = [F.col("_draw"), *[F.col(c) for c in hashed]]
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(draw), F.lit(SALTS)))
     for keys in ([key, "_salt"], [key]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        drawn = drawn.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
-    return drawn.drop("_draw", "_salt")
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(draw, *ties))
+        dealt = dealt.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
+    return dealt.drop("_salt")
+
+
+def smallest_hashes(df: DataFrame, key: str, size: int, *hashed: str) -> DataFrame:
+    """At most ``size`` rows of each key, those with the smallest hash of ``hashed``."""
+    drawn = df.withColumn("_draw", F.xxhash64(F.lit(17), *hashed))
+    return smallest_draws(drawn, key, size, "_draw", *hashed).drop("_draw")
 
 
 def numbered(df: DataFrame, key: str, order: list[str], buckets: int, name: str) -> DataFrame:
@@ -59,3 +68,39 @@ def numbered(df: DataFrame, key: str, order: list[str], buckets: int, name: str)
         .withColumn(name, (F.col("_start") + F.col("_inside")).cast("long"))
         .drop("_bucket", "_inside", "_key", "_b", "_start")
     )
+
+
+#: Largest bitmap, as a power of two of bits: 8 MB.
+MOST_BITS = 26
+
+
+def bitmap(df: DataFrame, name: str) -> np.ndarray:
+    """Bits of a column of hashes, for telling early which rows cannot be in it.
+
+    16 bits a row, up to a fixed size; with more rows it passes more, and the
+    join behind it still decides.
+    """
+    bits = min(MOST_BITS, max(10, (16 * df.count()).bit_length()))
+    low = F.col(name).bitwiseAND((1 << bits) - 1)
+    one = F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))")
+    cells = df.where(F.col(name).isNotNull()).groupBy(F.shiftright(low, 6).alias("cell")).agg(F.bit_or(one).alias("bits"))
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    for r in cells.toLocalIterator():
+        out[r["cell"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def hits(cells: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes.astype(np.int64).view(np.uint64) & np.uint64(len(cells) * 64 - 1)
+    return ((cells[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1)) == 1
+
+
+def in_bitmap(df: DataFrame, name: str, cells: np.ndarray) -> DataFrame:
+    """The rows whose hash may be in the bitmap."""
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[hits(shared.value, batch[name].to_numpy())]
+
+    return df.mapInPandas(keep, df.schema)

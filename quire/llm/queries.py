@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import language, mixing, quality, sharding, token_counts, topk
+from quire.llm import decontamination, jaccard, language, mixing, quality, secret_scan, sharding, token_counts, topk
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,56 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secret_scan.scan(docs, secret_scan.learn(docs))
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_components(table(spark, folder, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents
+), s AS (
+  SELECT id, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM w
+), c AS (
+  SELECT id, doc_id, len(s) AS n, list_sort(s) AS s, min(doc_id) OVER (PARTITION BY list_sort(s)) AS least,
+         row_number() OVER (PARTITION BY list_sort(s) ORDER BY doc_id, id) AS turn
+  FROM s
+), e AS MATERIALIZED (
+  SELECT least, n, unnest(s) AS g FROM c WHERE turn = 1 AND n > 0
+), p AS MATERIALIZED (
+  SELECT a.least AS a, b.least AS b
+  FROM e a JOIN e b ON a.g = b.g AND a.least < b.least AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.least, b.least, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), l AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r AS (
+  SELECT DISTINCT a AS node, a AS reached FROM l
+  UNION
+  SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a
+), m AS (
+  SELECT node, min(reached) AS least FROM r GROUP BY node
+)
+SELECT c.doc_id, c.n AS n_shingles, CASE WHEN c.n = 0 THEN c.doc_id ELSE coalesce(m.least, c.least) END AS component_id
+FROM c LEFT JOIN m ON c.least = m.node AND c.n > 0
+"""
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -95,11 +141,14 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_shards": op10_shards,
 }
-ORACLES: dict[str, str] = {"op8_exact_top_k": OP8_SQL, "op9_mix_sources": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op8_exact_top_k": OP8_SQL, "op9_mix_sources": OP9_SQL}
