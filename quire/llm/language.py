@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import remainder, smallest_hashes
@@ -270,8 +270,8 @@ def has_letter(text: str) -> bool:
     return _WORD.search(text) is not None
 
 
-def with_language(docs: DataFrame, field: Field) -> DataFrame:
-    """All rows and columns with ``lang_pred`` and ``score``; columns of these names are replaced.
+def labelled(field: Field, docs: DataFrame) -> Callable[[str], Column]:
+    """A function of a text column: struct of lang_pred and score.
 
     ``und`` with score 0 where a text is null, has no letter, or no language
     was learned.
@@ -291,8 +291,7 @@ def with_language(docs: DataFrame, field: Field) -> DataFrame:
             top = counts.max(axis=1) if counts.shape[1] else total
             yield pd.DataFrame({"lang_pred": names[best], "score": np.clip(np.divide(top, total, out=np.zeros(len(total)), where=total > 0), 0, 1)})
 
-    found = docs.withColumn("_found", label("text"))
-    return found.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
+    return label
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -301,5 +300,5 @@ def language_report(docs: DataFrame) -> DataFrame:
     Each row stands for itself, repeated or without an id; an empty table
     gives no rows; further columns are not read.
     """
-    named = with_language(docs.select("doc_id", "text"), fit(docs))
-    return named.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    named = docs.select("doc_id", labelled(fit(docs), docs)("text").alias("found"))
+    return named.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "found.lang_pred", "found.score")

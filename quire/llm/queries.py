@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, jaccard, language, mixing, quality, secret_scan, sharding, token_counts, topk
+from quire.llm import decontamination, jaccard, language, mixing, quality, secret_scan, sentence_spans, sharding, token_counts, topk
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,13 +30,18 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_spans.without_repeats(table(spark, folder, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join_components(table(spark, folder, "documents"))
 
 
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents
 ), s AS (
   SELECT id, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -144,6 +149,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op4_sentence_spans": op4_sentence_spans,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
