@@ -10,21 +10,24 @@ with one deletion, by their own neighbourhood against the segments and
 neighbourhoods of others. Every class indexes all of its segments and the
 one-deletion neighbourhoods of the band's first ones.
 
-Classes that meet in a segment are candidates. A group is not expanded into
-pairs: its members meet a leader, a bound from bucket counts drops pairs that
-cannot link, the rest is verified on whole sets, and links are contracted to
-components. What is then still split is taken up again with further leaders,
-until no group holds an unverified pair of two components.
+Classes that meet in a segment are candidates. A group is not
+expanded into pairs: each member first meets the leader it shares most
+segments with, links are verified on whole sets and contracted to components.
+Where a group is still split, the classes outside its largest component meet
+the others, and parity sketches drop the pairs that cannot link inside that
+join; what passes is verified. Every candidate pair is then linked, in one
+component, or ruled out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import bitmap, in_bitmap
@@ -36,10 +39,8 @@ WORDS = 4
 PERCENT = 85
 #: Growth of the bands of set sizes, and their largest lower end.
 GROWTH, LARGEST = 1.4, 1 << 40
-#: Buckets of the counts that bound a pair's difference.
-BUCKETS = 32
-#: Leaders of a group in the second round; each later round has four times as many.
-LEADERS = 16
+#: Bits of a parity sketch, as a power of two: bits that differ bound a pair's difference from below.
+SKETCH = 10
 #: Words whose hash a worker remembers.
 MEMORY = 400_000
 
@@ -64,20 +65,35 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = (text or "").encode().lower().split()  # ASCII letters and ASCII white space only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles."""
     if len(_hashes) >= MEMORY:
         _hashes.clear()
-    codes = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(WORDS, len(words))
-    many = len(words) - width + 1
-    total = np.full(many, width, dtype=np.uint64)
-    for k in range(width):
-        total = _mix(total + codes[k : k + many])
-    return np.unique(total)
+    words = [t.encode().lower().split() if t else [] for t in texts]  # ASCII letters and white space only
+    counts = np.array([len(w) for w in words])
+    codes = np.fromiter((h for w in words for h in map(_hashes.__getitem__, w)), dtype=np.uint64, count=int(counts.sum()))
+    ends = np.cumsum(counts)
+    many = len(codes) - WORDS + 1
+    total = np.full(max(many, 0), WORDS, dtype=np.uint64)
+    for k in range(WORDS if many > 0 else 0):
+        total = total * _M1 + codes[k : k + many]
+    total = _mix(total)
+    out = []
+    for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+        if n >= WORDS:
+            out.append(np.unique(total[end - n : end - WORDS + 1]))
+        elif n:
+            one = np.array([n], dtype=np.uint64)
+            for k in range(end - n, end):
+                one = _mix(one + codes[k : k + 1])
+            out.append(one)
+        else:
+            out.append(np.zeros(0, dtype=np.uint64))
+    return out
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
 def most_different(a: int, b: int) -> int:
@@ -104,14 +120,21 @@ _LOWER = np.array([b[0] for b in BANDS])
 def shape(band: int) -> tuple[int, int, int]:
     """(difference allowed, segments, segments with one-deletion neighbourhoods) of a band."""
     allowed = most_different(BANDS[band][1], BANDS[band][1])
-    if allowed == 0:
-        return 0, 1, 0
-    spare = 0 if allowed < 4 else 1 + allowed // 32
+    spare = 0 if allowed < 4 else 1 + allowed // 8
     return allowed, allowed + 1 + spare, 1 if allowed < 40 else 2
 
 
+@lru_cache(maxsize=256)
+def _band(band: int) -> tuple[int, int, int, np.uint64, np.ndarray]:
+    seed = _mix(np.uint64(band + 1))
+    allowed, segments, deletable = shape(band)
+    return allowed, segments, deletable, seed, _mix(seed + np.arange(segments, dtype=np.uint64))
+
+
 def bands_of(size: int) -> list[int]:
     """The band of a size, and the next if it holds sizes that can link with this one."""
+    if size == 0:
+        return []
     own = int(np.searchsorted(_LOWER, size, side="right")) - 1
     out = [own] if own else []
     lower = BANDS[own + 1][0]
@@ -120,30 +143,28 @@ def bands_of(size: int) -> list[int]:
 
 def signatures(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Segment signatures of a set, and which of them ask (the others are only indexed)."""
+    bands = bands_of(len(items))
+    if not bands:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     signs, asks = [], []
     values = _mix(items)
-    for band in bands_of(len(items)):
-        allowed, segments, deletable = shape(band)
-        seed = _mix(np.uint64(band + 1))
-        place = ((_mix(items ^ seed) >> np.uint64(11)) % np.uint64(segments)).astype(np.int64)
+    for band in bands:
+        allowed, segments, deletable, seed, name = _band(band)
+        place = (((values ^ seed) * _M1 >> np.uint64(20)) % np.uint64(segments)).astype(np.uint32 if segments > 65535 else np.uint16)
         order = np.argsort(place, kind="stable")
         sizes = np.bincount(place, minlength=segments)
         ends = np.cumsum(sizes)
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values[order], dtype=np.uint64)])
         content = sums[ends] - sums[ends - sizes]
-        name = _mix(seed + np.arange(segments, dtype=np.uint64))
         ask = np.ones(segments, dtype=bool)
         # allocation: pass over the smallest segments while the rest still covers the difference
-        spare = segments - (allowed + 1)
         by_size = np.argsort(sizes, kind="stable")
+        spare = segments - (allowed + 1)
         ask[by_size[:spare]] = False
-        bare = [i for i in by_size[spare:] if sizes[i] == 0]
+        bare = by_size[spare : spare + int((sizes[by_size[spare:]] == 0).sum())]
         near = [i for i in range(deletable) if sizes[i] >= 3][: len(bare)]
-        for i in bare[: len(near)]:
-            ask[i] = False
-        for i in near:
-            if not ask[i]:  # passed over as small: asking with one deletion covers it twice
-                ask[i] = True
+        ask[bare[: len(near)]] = False
+        ask[near] = True
         signs.append(_mix(name ^ _mix(content + sizes.astype(np.uint64))))
         asks.append(ask)
         for i in range(deletable):
@@ -151,48 +172,41 @@ def signatures(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if len(mine) > 1:
                 signs.append(_mix(name[i] ^ _mix(content[i] - mine + np.uint64(sizes[i] - 1))))
                 asks.append(np.full(len(mine), i in near))
-    if not signs:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     return np.concatenate(signs), np.concatenate(asks)
 
 
 def _class_of(items: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(items.tobytes())).astype(np.int64)))
+    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes())).astype(np.int64))
+
+
+def _sketch(items: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 2**SKETCH buckets."""
+    odd = np.bincount((items >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def set_facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, cls, counts) of each row; cls names the set, null if it is empty."""
+    """(doc_id, text_hash, n, cls, sketch, signs, asks) of each row; cls names the set, null if it is empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n, cls, counts = [], [], []
-            for text in batch["text"]:
-                items = shingles(text)
-                n.append(len(items))
-                cls.append(_class_of(items) if len(items) else None)
-                counts.append(np.bincount((items >> np.uint64(59)).astype(np.int64), minlength=BUCKETS).astype(np.int32))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": n, "cls": pd.array(cls, dtype="Int64"), "counts": counts})
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInPandas(facts, f"doc_id {kind}, text_hash long, n long, cls long, counts array<int>")
-
-
-def _postings(docs: DataFrame) -> DataFrame:
-    """(sign, cls, ask) of every class, from each of its rows."""
-
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for begin in range(0, len(batch), 500):
-                out = []
-                for text in batch["text"].iloc[begin : begin + 500]:
-                    items = shingles(text)
-                    signs, asks = signatures(items)
-                    out.append((signs.astype(np.int64), np.full(len(signs), _class_of(items) if len(items) else 0), asks))
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pd.DataFrame({"sign": cols[0], "cls": cols[1], "ask": cols[2]})
+                part = batch.iloc[begin : begin + 500]
+                sets = shingle_sets(list(part["text"]))
+                posted = [signatures(s) for s in sets]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].to_numpy(),
+                    "text_hash": part["text_hash"].to_numpy(),
+                    "n": [len(s) for s in sets],
+                    "cls": pd.array([_class_of(s) if len(s) else None for s in sets], dtype="Int64"),
+                    "sketch": [_sketch(s) for s in sets],
+                    "signs": [p[0].astype(np.int64) for p in posted],
+                    "asks": [p[1] for p in posted],
+                }).astype({"doc_id": part["doc_id"].dtype})
 
-    return docs.select("text").mapInPandas(post, "sign long, cls long, ask boolean")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInPandas(facts, f"doc_id {kind}, text_hash long, n long, cls long, sketch array<long>, signs array<long>, asks array<boolean>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -214,14 +228,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInPandas(check, "a long, b long")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that sizes and bucket counts do not rule out."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    most = (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return both.where((small * 100 >= large * PERCENT) & (apart * (100 + PERCENT) <= most)).select("a", "b")
+def _may_link(a: str, b: str) -> Column:
+    """False where sizes or sketches rule a link out. The sides have n and sketch."""
+    apart = F.aggregate(
+        F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
+    return sizes & (apart * (100 + PERCENT) <= (n_a + n_b) * (100 - PERCENT))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -243,56 +257,52 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Classes that meet others, and their components; None if none meet."""
+def _links(docs: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(cls, comp) of the classes that meet others; None if none meet."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    posted = _postings(docs).repartition(parts, "sign")
+    posted = facts.where("cls is not null").select("cls", F.explode(F.arrays_zip("signs", "asks")).alias("p"))
+    posted = posted.select(F.col("p.signs").alias("sign"), "cls", F.col("p.asks").alias("ask")).repartition(parts, "sign")
     # one exchange serves both sides
     meeting = posted.groupBy("sign").agg(
         F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(F.when(F.col("ask"), F.col("cls"))).alias("leader")
     ).where("low <> high and leader is not null").select("sign", "leader")
     groups = durable(posted.join(meeting, "sign").groupBy("sign", "cls").agg(F.first("leader").alias("leader"), F.max("ask").alias("ask")))
-    if groups.isEmpty():
-        return None
-    nodes = durable(groups.select("cls").distinct())
+    nodes = groups.select("cls").distinct()
     met = durable(classes.join(nodes, "cls", "left_semi"))
-    reps = met.select("text_hash")
-    bits = bitmap(reps, "text_hash")
-    chosen = in_bitmap(docs.select("text", F.xxhash64("text").alias("text_hash")), "text_hash", bits)
-    texts = durable(chosen.join(met.select("cls", "text_hash"), "text_hash").select("cls", "text").dropDuplicates(["cls"]))
+    if met.isEmpty():
+        return None
     # first every class with the leader it shares most segments with
-    shared = groups.where("cls <> leader").groupBy(F.col("cls").alias("b"), F.col("leader").alias("a")).count()
-    pairs = durable(_possible(shared.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), met))
-    tested, links = pairs, durable(_verified(pairs, texts))
-    leaders = LEADERS
-    left = groups.select("sign", "cls", "ask")
-    while True:
-        labels = components(nodes, links)
-        placed = left.join(labels, "cls")
-        split = placed.groupBy("sign").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("ask").alias("asked")).where("low <> high and asked")
-        left = durable(placed.join(split.select("sign"), "sign"))
-        if left.isEmpty():
-            return nodes, labels
-        # the next leaders of each group, among its classes that ask; the others are done
-        chosen = _next_leaders(left, leaders)
-        pairs = left.join(chosen, "sign").where("cls <> leader and comp <> leader_comp")
-        pairs = pairs.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
-        before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = durable(_possible(pairs.join(before, ["a", "b"], "left_anti"), met))
-        tested = before.union(pairs)
-        links = durable(links.union(_verified(pairs, texts)))
-        led = chosen.select("sign", F.col("leader").alias("cls"), F.lit(True).alias("led"))
-        left = left.join(led, ["sign", "cls"], "left").select("sign", "cls", (F.col("ask") & F.col("led").isNull()).alias("ask"))
-        left = durable(left)
-        leaders *= 4
-
-
-def _next_leaders(left: DataFrame, many: int) -> DataFrame:
-    """(sign, leader, leader_comp): of each group the first classes that ask, a bounded number."""
-    place = F.row_number().over(Window.partitionBy("sign").orderBy("cls"))
-    asking = left.where("ask").withColumn("place", place).where(F.col("place") <= many)
-    return durable(asking.select("sign", F.col("cls").alias("leader"), F.col("comp").alias("leader_comp")))
+    shared = groups.where("cls <> leader").groupBy("cls", "leader").count()
+    best = shared.groupBy("cls").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
+    pairs = best.join(met.alias("b"), "cls").select("leader", "b.*").alias("b")
+    pairs = pairs.join(met.alias("a"), F.col("b.leader") == F.col("a.cls")).where(_may_link("a", "b"))
+    pairs = durable(pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")))
+    links = durable(_verified(pairs, _texts(docs, pairs, met)))
+    labels = components(met, links)
+    # then, in groups still split, the classes outside the largest component with the others
+    placed = groups.join(labels, "cls").select("sign", "cls", "ask", "comp")
+    sizes = placed.groupBy("sign", "comp").agg(F.count("*").alias("n"), F.max("ask").alias("ask"))
+    split = sizes.groupBy("sign").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("comps"), F.max("ask").alias("ask"))
+    left = placed.join(split.where("comps > 1 and ask").select("sign", "largest"), "sign")
+    left = durable(left.join(met.select("cls", "n", "sketch"), "cls"))
+    o, m = left.where("comp <> largest").alias("o"), left.alias("m")
+    once = (F.col("m.comp") == F.col("m.largest")) | (F.col("o.cls") < F.col("m.cls"))
+    asked = F.col("o.ask") | F.col("m.ask")
+    meets = (F.col("o.sign") == F.col("m.sign")) & (F.col("o.comp") != F.col("m.comp")) & once & asked & _may_link("o", "m")
+    more = o.join(m, meets).select(F.least("o.cls", "m.cls").alias("a"), F.greatest("o.cls", "m.cls").alias("b"))
+    more = durable(more.distinct())
+    if more.isEmpty():
+        return labels
+    return components(met, links.union(_verified(more, _texts(docs, more, met))))
+
+
+def _texts(docs: DataFrame, pairs: DataFrame, met: DataFrame) -> DataFrame:
+    """(cls, text) of the classes in pairs, from one text of each."""
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = durable(met.join(asked, "cls", "left_semi").select("cls", "text_hash"))
+    rows = in_bitmap(docs.select("text", F.xxhash64("text").alias("text_hash")), "text_hash", bitmap(chosen, "text_hash"))
+    return durable(rows.join(chosen, "text_hash").select("cls", "text").dropDuplicates(["cls"]))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -307,13 +317,12 @@ def join_components(docs: DataFrame) -> DataFrame:
     facts = durable(set_facts(docs))
     classes = durable(
         facts.where("cls is not null").groupBy("cls").agg(
-            F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.first("counts").alias("counts")
+            F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
         )
     )
-    linked = _links(docs, classes)
+    labels = _links(docs, facts, classes)
     named = classes.select("cls", "least")
-    if linked is not None:
-        labels = linked[1]
+    if labels is not None:
         joined = named.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         smallest = joined.groupBy("comp").agg(F.min("least").alias("component"))
         named = joined.join(smallest, "comp").select("cls", F.col("component").alias("least"))
