@@ -264,16 +264,20 @@ def _links(docs: DataFrame, facts: DataFrame, classes: DataFrame) -> DataFrame |
     posted = facts.where("cls is not null").select("cls", F.explode(F.arrays_zip("signs", "asks")).alias("p"))
     posted = posted.select(F.col("p.signs").alias("sign"), "cls", F.col("p.asks").alias("ask")).repartition(parts, "sign")
     # one exchange serves both sides
-    meeting = posted.groupBy("sign").agg(
-        F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(F.when(F.col("ask"), F.col("cls"))).alias("leader")
-    ).where("low <> high and leader is not null").select("sign", "leader")
-    groups = durable(posted.join(meeting, "sign").groupBy("sign", "cls").agg(F.first("leader").alias("leader"), F.max("ask").alias("ask")))
+    meeting = posted.groupBy("sign").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("ask").alias("ask"))
+    meeting = meeting.where("low <> high and ask").select("sign")
+    groups = durable(posted.join(meeting, "sign").groupBy("sign", "cls").agg(F.max("ask").alias("ask")))
     nodes = groups.select("cls").distinct()
     met = durable(classes.join(nodes, "cls", "left_semi"))
     if met.isEmpty():
         return None
+    # a group's leader is its member that meets most others: in a family, the text nearest to all
+    met_by = groups.groupBy("sign").agg(F.count("*").alias("size"))
+    fame = durable(groups.join(met_by, "sign").groupBy("cls").agg(F.sum("size").alias("fame")))
+    known = groups.join(fame, "cls")
+    leaders = known.groupBy("sign").agg(F.max_by("cls", F.struct("fame", "cls")).alias("leader"))
     # first every class with the leader it shares most segments with
-    shared = groups.where("cls <> leader").groupBy("cls", "leader").count()
+    shared = groups.join(leaders, "sign").where("cls <> leader").groupBy("cls", "leader").count()
     best = shared.groupBy("cls").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
     pairs = best.join(met.alias("b"), "cls").select("leader", "b.*").alias("b")
     pairs = pairs.join(met.alias("a"), F.col("b.leader") == F.col("a.cls")).where(_may_link("a", "b"))
