@@ -77,15 +77,15 @@ MOST_BITS = 26
 def bitmap(df: DataFrame, name: str) -> np.ndarray:
     """Bits of a column of hashes, for telling early which rows cannot be in it.
 
-    16 bits a row, up to a fixed size; with more rows it passes more, and the
+    512 bits a row, up to a fixed size; with more rows it passes more, and the
     join behind it still decides.
     """
-    bits = min(MOST_BITS, max(10, (16 * df.count()).bit_length()))
+    bits = min(MOST_BITS, max(10, (512 * df.count()).bit_length()))
     low = F.col(name).bitwiseAND((1 << bits) - 1)
     one = F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))")
     cells = df.where(F.col(name).isNotNull()).groupBy(F.shiftright(low, 6).alias("cell")).agg(F.bit_or(one).alias("bits"))
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    for r in cells.toLocalIterator():
+    for r in cells.collect():  # a cell at most once, and there are 2**20 at most
         out[r["cell"]] = r["bits"]
     return out.view(np.uint64)
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -58,6 +60,11 @@ Canonical = tuple[tuple[int, str | None, str], ...]
 
 
 def _canonical(word: str) -> Canonical:
+    core = word.strip(punctuation)
+    if core.isalpha():  # most words: nothing else to strip, split or match
+        kind = UNIT if core.lower() in UNITS else NAME if core[0].isupper() else None
+        shown = kind or core.lower()
+        return ((xxhash.xxh64_intdigest(shown), kind, core if kind else shown),)
     core = _EDGE.sub("", word)
     if not core:
         return ()
@@ -84,13 +91,33 @@ class _Canon(dict):
 _canon = _Canon()
 
 
+class _Codes(dict):
+    """Word to the hashes of its canonical words; the last bit is set for literal ones."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(h & ~1 | (kind is None) for h, kind, _ in _canonical(word))
+        if len(self) < WORDS and len(word) <= 64:
+            self[word] = found
+        return found
+
+
+_codes = _Codes()
+
+
 def template(text: str | None) -> list[tuple[int, str | None, str]]:
     if len(_canon) >= WORDS:
         _canon.clear()
     return [part for found in map(_canon.__getitem__, (text or "").split()) for part in found]
 
 
-def _hashes(codes: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def codes_of(text: str | None) -> list[int]:
+    """The hashes of the template's words."""
+    if len(_codes) >= WORDS:
+        _codes.clear()
+    return list(chain.from_iterable(map(_codes.__getitem__, (text or "").split())))
+
+
+def _hashes(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the window from each place, and whether it has enough literal words."""
     many = len(codes) - width + 1
     if many <= 0:
@@ -99,7 +126,7 @@ def _hashes(codes: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndar
     for k in range(width):
         total = (total ^ codes[k : k + many]) * _BASE
         total ^= total >> np.uint64(31)
-    run = np.concatenate([[0], np.cumsum(literal)])
+    run = np.concatenate([[0], np.cumsum((codes & np.uint64(1)).astype(np.int64))])
     return total, run[width:] - run[:-width] >= LITERAL_SHARE * width
 
 
@@ -115,8 +142,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                 width = min(WINDOW, len(words))
                 if width < SHORTEST:
                     continue
-                codes = np.array([w[0] for w in words], dtype=np.uint64)
-                hashes, usable = _hashes(codes, np.array([w[1] is None for w in words]), width)
+                hashes, usable = _hashes(np.array(codes_of(text), dtype=np.uint64), width)
                 places = np.flatnonzero(usable)
                 out += [(item, int(p), width, len(places), int(hashes[p].astype(np.int64)), *_shown(words[p : p + width])) for p in places]
             yield pd.DataFrame(out, columns=["item_id", "place", "width", "windows", "hash", "words", "slots"]).astype({"item_id": batch["item_id"].dtype})
@@ -153,20 +179,23 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
             for g in np.unique(group):
                 part = batch[group == g]
                 out = []
-                words = [template(t) for t in part["text"]]
-                owner = np.repeat(np.arange(len(part)), [len(w) for w in words])
-                flat = [x for w in words for x in w]
-                begin = np.cumsum([0, *(len(w) for w in words)])
-                codes = np.fromiter((x[0] for x in flat), dtype=np.uint64, count=len(flat))
-                literal = np.fromiter((x[1] is None for x in flat), dtype=bool, count=len(flat))
+                found = [codes_of(t) for t in part["text"]]
+                counts = [len(c) for c in found]
+                owner = np.repeat(np.arange(len(part)), counts)
+                begin = np.cumsum([0, *counts])
+                codes = np.fromiter(chain.from_iterable(found), dtype=np.uint64, count=int(begin[-1]))
+                words: dict[int, list] = {}  # templates of the documents that hit
                 for width in widths:
-                    hashes, usable = _hashes(codes, literal, width)
+                    hashes, usable = _hashes(codes, width)
                     if not len(hashes):
                         continue
                     hit = hits(cells, hashes) & usable & (owner[: len(hashes)] == owner[width - 1 :])
                     for p in np.flatnonzero(hit):
-                        d = owner[p]
-                        out.append((part["doc_id"].iat[d], part["text_hash"].iat[d], int(p - begin[d]), int(hashes[p].astype(np.int64)), *_shown(flat[p : p + width])))
+                        d = int(owner[p])
+                        if d not in words:
+                            words[d] = template(part["text"].iat[d])
+                        at = int(p - begin[d])
+                        out.append((part["doc_id"].iat[d], part["text_hash"].iat[d], at, int(hashes[p].astype(np.int64)), *_shown(words[d][at : at + width])))
                 yield pd.DataFrame(out, columns=["doc_id", "text_hash", "doc_place", "hash", "words", "doc_slots"]).astype({"doc_id": part["doc_id"].dtype})
 
     sent = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(

@@ -14,6 +14,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.session import durable
 
@@ -27,7 +28,10 @@ BUCKETS = 4096
 LEAST_WEIGHT = 0.05
 
 
-@F.pandas_udf("size long, kinds long")
+_COUNTS = T.StructType([T.StructField("size", T.LongType()), T.StructField("kinds", T.LongType())])
+
+
+@F.pandas_udf(_COUNTS)
 def _words(texts: pd.Series) -> pd.DataFrame:
     """Words and distinct words; bytes split at exactly the six white-space characters."""
     found = [() if t is None else t.encode().split() for t in texts]

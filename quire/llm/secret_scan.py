@@ -307,10 +307,11 @@ def learn(docs: DataFrame, per_kind: int = PER_KIND) -> Grammars:
     by: dict[str, list[str]] = {}
     for r in chosen:
         by.setdefault(r["kind"], []).append(r["value"])
-    return Grammars(
-        [infer(by[k], strict=True) for k in KINDS if len(by.get(k, [])) >= LITERAL_COUNT],
-        [infer(v, strict=False) for k, v in sorted(by.items()) if k not in KINDS],
-    )
+    secret = [infer(by[k], strict=True) for k in KINDS if len(by.get(k, [])) >= LITERAL_COUNT]
+    # a bare credential among ordinary runs must not teach what is ordinary
+    fits = lambda v: any(a.log_likelihood(v) > -math.inf for a in secret)
+    usual = {k: [v for v in values if not fits(v)] for k, values in sorted(by.items()) if k not in KINDS}
+    return Grammars(secret, [infer(v, strict=False) for v in usual.values() if v])
 
 
 def _joined(spans: list[Span]) -> str:
