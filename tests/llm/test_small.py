@@ -96,7 +96,7 @@ def test_secret_rules_and_grammar(spark, odd):
     assert by[50]["spans"] == "grammar:5:23" and by[50]["n_assign"] == 0
     t = texts[51]
     assert (by[51]["n_assign"], by[51]["n_access"], by[51]["n_hex"]) == (1, 1, 1)
-    spans = [("assign", t.index("secret"), t.index("secret") + 18), ("access", t.index("AKIAA"), t.index("AKIAA") + 16), ("hex", t.index("a1a1"), len(t))]
+    spans = [("assign", t.index("secret"), t.index("secret") + 19), ("access", t.index("AKIAA"), t.index("AKIAA") + 16), ("hex", t.index("a1a1"), len(t))]
     base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     assert by[51]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and by[51]["spans"].startswith(base[:10])
     assert by[52]["spans"] == "" and by[10]["n_assign"] == 1
