@@ -16,17 +16,12 @@ from quire.functions.names import (
     stored_name,
 )
 from quire.functions.unicode import collision_key, nfc
-from quire.operators.ordered import with_row_number
+from quire.operators.ordered import with_row_number, with_running
 from quire.operators.relational import order_diff
 from quire.session import durable
 
-# Deepest chain followed.
-MAX_DEPTH = 1024
 
-
-def folder_paths(
-    folders: DataFrame, local: DataFrame | None = None, max_depth: int = MAX_DEPTH
-) -> DataFrame:
+def folder_paths(folders: DataFrame, local: DataFrame | None = None) -> DataFrame:
     """Path, depth and outcome of every folder, by its chain of parents.
 
     ``folders`` has ``id, parent_id, name`` and optionally ``is_deleted``.
@@ -59,8 +54,8 @@ def folder_paths(
     else:
         state = state.withColumn("_local", F.lit(None).cast("boolean"))
     state = durable(state)
-    covered, waiting = 1, None
-    while covered <= max_depth:
+    waiting = None
+    while True:
         pending = state.where("outcome IS NULL")
         # a chain that ends has a folder finishing in every round until its last,
         # so a round that finishes none has only cycles left
@@ -84,7 +79,6 @@ def folder_paths(
             "_local",
         )
         state = durable(state.where("outcome IS NOT NULL").unionByName(moved))
-        covered *= 2
     own = state.where("_local IS NULL")
     outcome = (
         F.when(F.col("outcome").isNull(), "parentCycle")
@@ -438,9 +432,8 @@ def safe_names(requests: DataFrame, existing: DataFrame, separator: str = " ") -
     """A free name for each request, numbered before its extension if taken.
 
     ``requests``: ``request_id, parent_id, name``; ``existing``: ``parent_id,
-    name``. Requests are served in id order. Numbers run from 2 to 999; past
-    that ``safe_name`` is null. Only the numbers in use are gathered, at most
-    998 per name, so no group grows with the data.
+    name``. Requests are served in id order; numbers run from 2 without
+    an upper bound.
     """
     name = F.col("name")
     extension = F.when(F.lower(name).endswith(".txt"), F.right(name, F.lit(4))).otherwise("")
@@ -457,24 +450,22 @@ def safe_names(requests: DataFrame, existing: DataFrame, separator: str = " ") -
     used = held.unionByName(firsts).distinct()
     mark = held.withColumn("_held", F.lit(True))
     asked = asked.join(mark, ["parent_id", "_key"], "left")
-    pattern = f"^(.*){separator}([2-9]|[1-9][0-9]{{1,2}})(\\.txt)?$"
-    numbers = (
-        used.where(F.col("_key").rlike(pattern))
-        .select(
-            "parent_id",
-            F.concat(F.regexp_extract("_key", pattern, 1), F.regexp_extract("_key", pattern, 3)).alias("_key"),
-            F.regexp_extract("_key", pattern, 2).cast("int").alias("n"),
-        )
-        .groupBy("parent_id", "_key")
-        .agg(F.collect_set("n").alias("_numbers"))
-    )
-    joined = asked.join(numbers, ["parent_id", "_key"], "left")
-    free = F.array_except(
-        F.sequence(F.lit(2), F.lit(999)), F.coalesce("_numbers", F.array().cast("array<int>"))
-    )
+    pattern = f"^(.*){separator}([2-9]|[1-9][0-9]{{1,17}})(\\.txt)?$"
+    numbers = used.where(F.col("_key").rlike(pattern)).select(
+        "parent_id",
+        F.concat(F.regexp_extract("_key", pattern, 1), F.regexp_extract("_key", pattern, 3)).alias("_key"),
+        F.regexp_extract("_key", pattern, 2).cast("long").alias("_n"),
+    )
+    # before a number in use there are n - 2 less the numbers in use below it free ones;
+    # the i-th free number is 2 + i and the numbers in use that have at most i free before them
+    numbers = with_row_number(numbers.distinct(), ["parent_id", "_key"], ["_n"], "_rank")
+    numbers = numbers.select("parent_id", "_key", (F.col("_n") - 1 - F.col("_rank")).alias("_free"), F.lit(1).alias("_used"), F.lit(0).alias("_asked"))
+    turn = F.col("_turn") - F.when(F.col("_held").isNull(), 2).otherwise(1)
+    both = asked.withColumns({"_free": turn.cast("long"), "_used": F.lit(0), "_asked": F.lit(1)}).unionByName(numbers, allowMissingColumns=True)
+    both = with_running(both, ["parent_id", "_key"], ["_free", "_asked", "request_id"], {"_passed": ("sum", "_used")})
+    joined = both.where("_used = 0")
     untouched = F.col("_held").isNull() & (F.col("_turn") == 1)
-    index = F.col("_turn") - F.when(F.col("_held").isNull(), 2).otherwise(1)
-    number = F.get(free, index.cast("int"))
+    number = F.col("_free") + 2 + F.col("_passed")
     safe = F.when(untouched, name).otherwise(
         F.concat("_base", F.lit(separator), number.cast("string"), "_extension")
     )

@@ -15,52 +15,47 @@ def _lines(text: str) -> list[str]:
     return [line + "\n" for line in text.splitlines()]
 
 
-def _edits(base: list[str], changed: list[str], side: int) -> list[tuple[int, int, int, list[str]]]:
-    codes = SequenceMatcher(None, base, changed, autojunk=False).get_opcodes()
-    return [(a, b, side, changed[c:d]) for tag, a, b, c, d in codes if tag != "equal"]
+def _changes(base: list[str], changed: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first, last, start, stop, growth) of each change against the base.
 
-
-def _touch(one, other) -> bool:
-    (a, b), (c, d) = one[:2], other[:2]
-    if a == b and c == d:
-        return a == c
-    if a == b:
-        return c < a < d
-    if c == d:
-        return a < c < b
-    return max(a, c) < min(b, d)
-
-
-def _apply(base: list[str], low: int, high: int, edits) -> list[str]:
-    out, at = [], low
-    for start, end, _, lines in edits:
-        out += base[at:start] + lines
-        at = end
-    return out + base[at:high]
+    A base is gaps and lines in turn: the gap before line k is place 2k, the
+    line 2k + 1. An insertion owns its gap, a change the places from its first
+    to its last line.
+    """
+    for tag, start, stop, c, d in SequenceMatcher(None, base, changed, autojunk=False).get_opcodes():
+        if tag == "insert":
+            yield 2 * start, 2 * start, start, stop, d - c
+        elif tag != "equal":
+            yield 2 * start + 1, 2 * stop - 1, start, stop, d - c - (stop - start)
 
 
 def merge_lines(base: str, local: str, remote: str) -> tuple[str | None, int]:
-    """Merged text and number of conflicts; no text if there are conflicts."""
-    rows = _lines(base)
-    edits = sorted(_edits(rows, _lines(local), 0) + _edits(rows, _lines(remote), 1), key=lambda e: e[:3])
-    groups: list[list] = []
-    for edit in edits:
-        if groups and any(_touch(edit, member) for member in groups[-1]):
-            groups[-1].append(edit)
-        else:
-            groups.append([edit])
-    out, at, conflicts = [], 0, 0
-    for group in groups:
-        low, high = min(e[0] for e in group), max(e[1] for e in group)
-        out += rows[at:low]
-        ours, theirs = ([e for e in group if e[2] == side] for side in (0, 1))
-        mine = _apply(rows, low, high, ours or theirs)
-        if ours and theirs and mine != _apply(rows, low, high, theirs):
-            conflicts += 1
-        out += mine
-        at = high
-    text = "".join(out + rows[at:])
-    return (None if conflicts else text), conflicts
+    """Merged text and number of conflicts; no text if there are conflicts.
+
+    One sweep over the places: changes that own a common place form a region,
+    and each side's lines of a region are read from its own text.
+    """
+    rows, sides = _lines(base), (_lines(local), _lines(remote))
+    marks = sorted((*change, side) for side, lines in enumerate(sides) for change in _changes(rows, lines))
+    out, done, conflicts, moved, i = [], 0, 0, [0, 0], 0
+    while i < len(marks):
+        region, reach = [], marks[i][1]
+        while i < len(marks) and marks[i][0] <= reach:
+            region.append(marks[i])
+            reach = max(reach, marks[i][1])
+            i += 1
+        low, high = min(m[2] for m in region), max(m[3] for m in region)
+        versions = []
+        for side, lines in enumerate(sides):
+            growth = [m[4] for m in region if m[5] == side]
+            if growth:
+                begin = low + moved[side]
+                moved[side] += sum(growth)
+                versions.append(lines[begin : high + moved[side]])
+        conflicts += len(versions) == 2 and versions[0] != versions[1]
+        out += rows[done:low] + versions[0]
+        done = high
+    return (None if conflicts else "".join(out + rows[done:])), conflicts
 
 
 def _merge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,13 +85,14 @@ def reconcile_versions(pairs: DataFrame) -> DataFrame:
     ``pairs``: ``pair_id, base, local, remote, base_path, local_path,
     remote_path, remote_deleted``. ``outcome`` is ``merged``, ``conflict``,
     ``PATH_CONFLICT``, ``CONTENT_TOO_LARGE`` or ``REMOTE_DELETION``. Only
-    pairs changed on both sides meet the line merge, spread evenly by id.
+    pairs changed on both sides meet the line merge, spread evenly by id. Texts
+    are judged before paths: a pair in conflict in both is ``conflict``.
     """
     kind = pairs.schema["pair_id"].dataType.simpleString()
     simple = _one_sided(F.col("base"), F.col("local"), F.col("remote"))
     path = _one_sided(F.col("base_path"), F.col("local_path"), F.col("remote_path"))
     judged = pairs.withColumns({"_simple": simple, "merged_path": path})
-    open_pairs = judged.where("_simple IS NULL AND NOT remote_deleted AND merged_path IS NOT NULL")
+    open_pairs = judged.where("_simple IS NULL AND NOT remote_deleted")
     merged = (
         open_pairs.select("pair_id", "base", "local", "remote")
         .repartition("pair_id")

@@ -13,7 +13,6 @@ from quire.plans import (
     merge as G,
     rules as B,
     storage_keys as K,
-    structure as X,
 )
 from quire.registry.core import register
 from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, LEDGER_SQL, chapters, documents, ledger, table
@@ -170,29 +169,6 @@ def contract_audit(spark, folder):
     return C.contract_audit(batches, intents, projects, allowlist, known)
 
 
-@register("structure_replay", """
-WITH asked AS (SELECT c_nationkey AS project_id, c_custkey AS batch_id, c_custkey AS entity_id,
-  row_number() OVER (PARTITION BY c_nationkey, lower(c_mktsegment || CAST(floor(c_acctbal / 100) AS BIGINT)) ORDER BY c_custkey) AS n FROM customer)
-SELECT project_id, batch_id, CAST(NULLIF(n, 1) AS VARCHAR) IS NULL AS applied, CASE WHEN n > 1 THEN 'PATH_CONFLICT' END AS code FROM asked""")
-def structure_replay(spark, folder):
-    intents = table(spark, folder, "customer").select(
-        F.col("c_nationkey").alias("project_id"),
-        F.col("c_custkey").alias("batch_seq"),
-        F.col("c_custkey").alias("batch_id"),
-        F.lit(1).cast("bigint").alias("seq"),
-        F.lit("folder").alias("entity_kind"),
-        F.col("c_custkey").cast("string").alias("entity_id"),
-        F.lit("create").alias("intent_kind"),
-        F.lit(0).cast("bigint").alias("base_revision"),
-        F.concat("c_mktsegment", F.floor(F.col("c_acctbal") / 100).cast("string")).alias("name"),
-        F.lit(True).alias("has_name"),
-        F.lit(None).cast("string").alias("parent_id"),
-        F.lit(False).alias("has_parent"),
-        F.lit(None).cast("array<string>").alias("children"),
-    )
-    return X.structure_outcomes(intents).select("project_id", "batch_id", "applied", "code")
-
-
 _COMMITS_SQL = f"""WITH RECURSIVE {LEDGER_SQL.strip()},
 shaped AS (SELECT document_id, operation_id, base_revision, content_hash, line_id, byte_count,
     CASE WHEN base_revision = 0 THEN 'create' WHEN is_deleted THEN 'delete' WHEN byte_count < 20 THEN 'restore' ELSE 'update' END AS kind,

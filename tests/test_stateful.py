@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.chains import committed, committed_by_links
-from quire.plans import leases as Z, ledger as L, structure as X
+from quire.plans import leases as Z, ledger as L
 from quire.streaming import changes as K
 from tests.conftest import rows
 
@@ -189,41 +189,6 @@ def test_replay_by_brute_force(spark, seed):
     assert by_fold == by_links == sorted((k for k, v in expected.items() if v == "committed"), key=lambda r: (r[0], str(r[1])))
 
 
-def test_structure_replay(spark):
-    columns = (
-        "project_id string, batch_seq bigint, batch_id string, seq bigint, entity_kind string, entity_id string, intent_kind string, "
-        "base_revision bigint, name string, has_name boolean, parent_id string, has_parent boolean, children array<string>"
-    )
-
-    def intent(batch, seq, kind, entity, what, base, name=None, parent=None, children=None, has_parent=None):
-        return ("p", batch, f"b{batch}", seq, kind, entity, what, base, name, name is not None, parent, parent is not None if has_parent is None else has_parent, children)
-
-    data = [
-        intent(0, 1, "document", "doc", "existing", 1, "draft.txt"),
-        intent(1, 1, "folder", "a", "create", 0, "A"), intent(1, 2, "folder", "b", "create", 0, "B", "a"),
-        intent(2, 1, "folder", "c", "create", 0, "a"),
-        intent(3, 1, "folder", "a", "move", 1, parent="b"),
-        intent(4, 1, "folder", "a", "delete", 1),
-        intent(5, 1, "folder", "d", "create", 0, "D"), intent(5, 2, "folder", "d", "rename", 9, "E"), intent(5, 3, "folder", "f", "create", 0, "F"),
-        intent(6, 1, "folder", "d", "create", 0, "D"),
-        intent(7, 1, "document", "doc", "move", 1, parent="a"), intent(7, 2, "document", "doc", "rename", 2, "b"),
-        intent(8, 1, "tree_order", "t", "reorder", 0, children=["a", "doc"]), intent(8, 2, "tree_order", "t", "reorder", 1, children=["a", "gone"]),
-        intent(9, 1, "folder", "b", "delete", 1), intent(9, 2, "folder", "b", "restore", 2, "CON"),
-        intent(10, 1, "document", "doc", "move", 1, parent="a"), intent(10, 2, "folder", "b", "delete", 1), intent(10, 3, "document", "doc", "rename", 2, "b"),
-        intent(11, 1, "tree_order", "t", "reorder", 0, children=["a", "a"]),
-        intent(12, 1, "folder", "a", "rename", 7, "Z"),
-        intent(13, 1, "folder", "zz", "move", 1, parent="a"),
-    ]
-    df = spark.createDataFrame(data, columns)
-    out = {r.batch_id: (r.applied, r.failed_sequence, r.code) for r in X.structure_outcomes(df).collect()}
-    assert out == {
-        "b0": (True, None, None), "b1": (True, None, None), "b2": (False, 1, "PATH_CONFLICT"), "b3": (False, 1, "PARENT_CYCLE"),
-        "b4": (False, 1, "FOLDER_NOT_EMPTY"), "b5": (False, 2, "REVISION_CONFLICT"), "b6": (True, None, None), "b7": (False, 2, "PATH_CONFLICT"),
-        "b8": (False, 2, "TREE_REFERENCE_NOT_FOUND"), "b9": (False, 2, "STORAGE_NAME_RESERVED"), "b10": (True, None, None),
-        "b11": (False, 1, "TREE_REFERENCE_DUPLICATED"), "b12": (False, 1, "REVISION_CONFLICT"), "b13": (False, 1, "FOLDER_NOT_FOUND"),
-    }
-
-
 def test_document_commit_rules(spark):
     import hashlib
 
