@@ -8,9 +8,9 @@ filled consistently, one value of the document for one of the item and the
 other way round. An item is found where consistent diagonals cover enough of
 its windows.
 
-Documents send only windows that hit a bitmap of the items' hashes. The bitmap
-has a fixed size: with more items it passes more windows, and the join still
-decides.
+Documents send only windows that hit two bitmaps of the items' hashes, one by
+their lower and one by their upper half. The bitmaps have a fixed size: with
+more items they pass more windows, and the join still decides.
 """
 
 from __future__ import annotations
@@ -165,14 +165,14 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     read.
     """
 
-
     windows = durable(item_windows(items))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(windows, "hash"))
+    upper = windows.select(F.shiftrightunsigned("hash", 32).alias("upper"))
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(windows, "hash"), bitmap(upper, "upper")))
     widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # WINDOW - SHORTEST + 1 at most
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = shared.value
+        low, high = shared.value
         for batch in batches:
             sizes = np.array([len(t) if t else 0 for t in batch["text"]])
             group = np.cumsum(sizes) // TOGETHER
@@ -189,8 +189,9 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
                     hashes, usable = _hashes(codes, width)
                     if not len(hashes):
                         continue
-                    hit = hits(cells, hashes) & usable & (owner[: len(hashes)] == owner[width - 1 :])
-                    for p in np.flatnonzero(hit):
+                    hit = hits(low, hashes) & usable & (owner[: len(hashes)] == owner[width - 1 :])
+                    places = np.flatnonzero(hit)
+                    for p in places[hits(high, hashes[places] >> np.uint64(32))]:
                         d = int(owner[p])
                         if d not in words:
                             words[d] = template(part["text"].iat[d])
