@@ -24,18 +24,19 @@ def latest_event(ops: DataFrame, latest: DataFrame) -> DataFrame:
 def name_clashes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """Requests whose name is held by another node under the same parent.
 
-    Root nodes have a null parent, which counts as equal to another null.
+    One row a request, with one other holder: the smallest id, or the largest
+    where the request itself is the smallest. Holders are aggregated per name
+    first, so that a name held many times makes no pairs. Root nodes have a
+    null parent, which counts as equal to another null.
     """
-    held = nodes.select(
-        F.col("id").alias("holder_id"), F.col("parent_id").alias("_parent"), F.col("name").alias("_name")
+    held = nodes.groupBy(F.col("parent_id").alias("_parent"), F.col("name").alias("_name")).agg(
+        F.min("id").alias("_low"), F.max("id").alias("_high")
     )
     # name is part of the key, so a parent with very many children still spreads
-    same = (
-        (F.col("name") == F.col("_name"))
-        & F.col("parent_id").eqNullSafe(F.col("_parent"))
-        & (F.col("id") != F.col("holder_id"))
-    )
-    return requests.join(held, same).drop("_parent", "_name")
+    same = (F.col("name") == F.col("_name")) & F.col("parent_id").eqNullSafe(F.col("_parent"))
+    other = F.when(F.col("_low") != F.col("id"), F.col("_low")).when(F.col("_high") != F.col("id"), F.col("_high"))
+    found = requests.join(held, same).withColumn("holder_id", other)
+    return found.where("holder_id IS NOT NULL").drop("_parent", "_name", "_low", "_high")
 
 
 def range_lookup(points: DataFrame, point: str, ranges: DataFrame, bits: int = 8) -> DataFrame:

@@ -121,23 +121,29 @@ def subtree(nodes: DataFrame, root: str) -> DataFrame:
 
 
 def subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes with the root above them (or equal), for many roots at once."""
+    """Nodes with each root above them (or equal), for many roots at once.
+
+    Further columns of ``roots`` come along.
+    """
     path = F.col("relative_path")
     chain = F.array_append(ancestor_paths(path), path)
     spread = nodes.withColumn("root_path", F.explode(chain))
-    return spread.join(roots.select("root_path"), "root_path")
+    return spread.join(roots, "root_path")
 
 
 def relocate(nodes: DataFrame, moves: DataFrame, trashed: bool | None = None) -> DataFrame:
     """Rewrite the paths of whole subtrees.
 
     ``moves`` has ``root_path, new_path`` and optionally ``new_parent_id`` and
-    ``new_order``, which the root of the subtree takes. With ``trashed`` the
-    nodes are marked (and keep their original path) or unmarked.
+    ``new_order``, which the root of the subtree takes. Where roots lie inside
+    each other, a node goes with the deepest one above it. With ``trashed``
+    the nodes are marked (and keep their original path) or unmarked.
     """
-    spread = subtrees(nodes, moves)
     extra = [c for c in ("new_parent_id", "new_order") if c in moves.columns]
-    joined = spread.join(moves.select("root_path", "new_path", *extra), "root_path")
+    move = ["root_path", "new_path", *extra]
+    above = subtrees(nodes.select("relative_path").distinct(), moves.select(*move))
+    deepest = above.groupBy("relative_path").agg(F.max_by(F.struct(*move), F.length("root_path")).alias("_move"))
+    joined = nodes.join(deepest, "relative_path").select(*nodes.columns, "_move.*")
     old = F.col("relative_path")
     tail = F.expr("substring(relative_path, length(root_path) + 1)")
     is_root = old == F.col("root_path")

@@ -88,11 +88,15 @@ _FINGERPRINT_SQL = """count(*) AS row_count,
 
 @register("table_fingerprint", f"""
 WITH rows AS (SELECT md5(CAST(to_json({{'o_orderkey': o_orderkey, 'o_custkey': o_custkey,
-  'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority}}) AS VARCHAR)) AS h FROM orders)
+  'o_orderstatus': o_orderstatus, 'o_totalprice': CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR),
+  'o_orderdate': strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'o_orderpriority': o_orderpriority}}) AS VARCHAR)) AS h FROM orders)
 SELECT {_FINGERPRINT_SQL} FROM rows""")
 def table_fingerprint(spark, folder):
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-    return A.table_fingerprint(table(spark, folder, "orders").select(*columns))
+    shown = {
+        "o_totalprice": F.col("o_totalprice").cast("decimal(15, 2)").cast("string"),
+        "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
+    }
+    return A.table_fingerprint(table(spark, folder, "orders").withColumns(shown))
 
 
 @register("scoped_fingerprint", f"""

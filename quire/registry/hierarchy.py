@@ -59,13 +59,18 @@ def subtree(spark, folder):
 
 
 @register("relocated_subtrees", f"""WITH {NODE_PATHS_SQL},
-moves AS (SELECT path AS root_path, 'EUROPE/moved_' || name AS new_path FROM node_paths WHERE depth = 2)
+moves AS (SELECT path AS root_path, 'EUROPE/moved_' || name AS new_path FROM node_paths
+  WHERE depth = 2 OR path = 'AFRICA' OR (depth = 3 AND user_order % 2 = 1))
 SELECT n.id, m.new_path || substr(n.path, length(m.root_path) + 1) AS relative_path,
   CASE WHEN n.path = m.root_path THEN 'r3' ELSE n.parent_id END AS parent_id, n.path AS original_path, 'trashed' AS status
-FROM node_paths n JOIN moves m ON n.path = m.root_path OR starts_with(n.path, m.root_path || '/')""")
+FROM node_paths n JOIN moves m ON n.path = m.root_path OR starts_with(n.path, m.root_path || '/')
+QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY length(m.root_path) DESC) = 1""")
 def relocated_subtrees(spark, folder):
+    # roots inside each other: a region, all nations, every other leaf
     tree = _with_paths(spark, folder)
-    moves = tree.where(F.size(F.split("relative_path", "/")) == 2).select(
+    depth = F.size(F.split("relative_path", "/"))
+    chosen = (depth == 2) | (F.col("relative_path") == "AFRICA") | ((depth == 3) & (F.col("user_order") % 2 == 1))
+    moves = tree.where(chosen).select(
         F.col("relative_path").alias("root_path"),
         F.concat(F.lit("EUROPE/moved_"), "name").alias("new_path"),
         F.lit("r3").alias("new_parent_id"),
@@ -142,12 +147,12 @@ def applied_node_changes(spark, folder):
     return after.select("id", "parent_id", F.col("relative_path").alias("path"))
 
 
-@register("tree_order_document", f"""WITH {NODE_PATHS_SQL},
-lists AS (SELECT CASE WHEN depth = 1 THEN '<root>' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent_key,
-  list(name ORDER BY user_order, path) AS names FROM node_paths GROUP BY 1)
-SELECT parent_key, array_to_string(names, '|') AS names FROM lists""")
+@register("tree_order_document", f"""WITH {NODE_PATHS_SQL}
+SELECT CASE WHEN depth = 2 AND path LIKE 'ASIA/%' THEN '<root>' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent_key,
+  row_number() OVER (PARTITION BY parent_id ORDER BY user_order, path) - 1 AS position, name
+FROM node_paths WHERE depth > 1 AND path <> 'ASIA/CHINA' AND NOT starts_with(path, 'ASIA/CHINA/')""")
 def tree_order_document(spark, folder):
-    from quire.sources.sinks import tree_order_lists
+    from quire.sources.sinks import tree_order_entries
 
-    lists = tree_order_lists(_with_paths(spark, folder))
-    return lists.select("parent_key", F.array_join("names", "|").alias("names"))
+    # one region as the top container, one of its nations as the trash
+    return tree_order_entries(_with_paths(spark, folder), "ASIA", "ASIA/CHINA")

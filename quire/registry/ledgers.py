@@ -234,7 +234,7 @@ def stuck_work(spark, folder):
 saves AS (SELECT event_id AS save_id, user_id AS document_id, event_type AS relative_path, props AS content_hash FROM events),
 state AS (SELECT c_custkey AS document_id, CASE WHEN c_acctbal > 4000 THEN 'click' ELSE 'view' END AS base_path,
   '{"k": ' || c_custkey % 100 || '}' AS base_hash, 1 AS server_revision, c_acctbal < 0 AS is_deleted FROM customer),
-busy AS (SELECT DISTINCT document_id FROM operations WHERE status NOT IN ('completed', 'cancelled') AND base_revision > 450000),
+busy AS (SELECT DISTINCT document_id FROM operations WHERE status NOT IN ('completed', 'cancelled')),
 judged AS (SELECT save_id, s.document_id, CASE WHEN is_deleted THEN 'documentDeleted' WHEN relative_path = base_path AND content_hash = base_hash
     AND s.document_id NOT IN (SELECT document_id FROM busy) THEN 'unchanged' END AS reason FROM saves s JOIN state USING (document_id))
 SELECT * FROM judged WHERE reason IS NOT NULL""")
@@ -250,7 +250,7 @@ def noop_saves(spark, folder):
         F.lit(1).alias("server_revision"),
         (F.col("c_acctbal") < 0).alias("is_deleted"),
     )
-    return L.drop_noops(saves, state, operations(spark, folder).where("base_revision > 450000"))
+    return L.drop_noops(saves, state, operations(spark, folder))
 
 
 @register("coalesced_tree_orders", _OPS + """,

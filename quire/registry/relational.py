@@ -85,8 +85,8 @@ def latest_events(spark, folder):
 @register("name_clashes", """
 WITH parts AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN p_brand END AS parent_id, p_name AS name FROM part),
 requests AS (SELECT * FROM parts WHERE id IN (SELECT o_custkey FROM orders))
-SELECT r.id, r.parent_id, r.name, p.id AS holder_id FROM requests r
-JOIN parts p ON r.name = p.name AND r.parent_id IS NOT DISTINCT FROM p.parent_id AND r.id <> p.id""")
+SELECT r.id, r.parent_id, r.name, CASE WHEN r.id < min(p.id) THEN max(p.id) ELSE min(p.id) END AS holder_id FROM requests r
+JOIN parts p ON r.name = p.name AND r.parent_id IS NOT DISTINCT FROM p.parent_id AND r.id <> p.id GROUP BY r.id, r.parent_id, r.name""")
 def name_clashes(spark, folder):
     parts = table(spark, folder, "part").select(
         F.col("p_partkey").alias("id"),

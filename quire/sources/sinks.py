@@ -4,40 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions.names import ROOT_KEY, parent_path, stored_name
+from quire.functions.names import ROOT_KEY, TOP, TRASH, parent_path, stored_name
 from quire.operators.ordered import with_row_number
 
 
-#: Names per list; a larger folder continues in further lists.
-LIST_SIZE = 10_000
+def tree_order_entries(nodes: DataFrame, top: str = TOP, trash: str = f"{TOP}/{TRASH}") -> DataFrame:
+    """``parent_key, position, name`` of every child, by (order, path) from 0.
 
-
-def tree_order_lists(nodes: DataFrame, size: int = LIST_SIZE) -> DataFrame:
-    """Child names of every parent, by (order, path); ``<root>`` on top.
-
-    ``parent_key, part, names``: a folder with more than ``size`` children
-    gives several parts in order, so that no list grows with the data.
+    Children of the top container have the key ``<root>``, those of other
+    folders their folder's path. Nodes without a parent, trashed nodes (where
+    there is a ``status``) and the trash with all in it are not listed.
     """
-    path = F.col("relative_path")
-    children = nodes.select(
-        F.coalesce(parent_path(path), F.lit(ROOT_KEY)).alias("parent_key"),
+    path, above = F.col("relative_path"), parent_path(F.col("relative_path"))
+    live = above.isNotNull() & (path != trash) & ~path.startswith(f"{trash}/")
+    if "status" in nodes.columns:
+        live = live & (F.col("status") == "active")
+    children = nodes.where(live).select(
+        F.when(above == top, ROOT_KEY).otherwise(above).alias("parent_key"),
         "user_order",
         "relative_path",
         stored_name(path).alias("name"),
     )
     placed = with_row_number(children, ["parent_key"], ["user_order", "relative_path"], "_place")
-    part = F.floor((F.col("_place") - 1) / size).alias("part")
-    return (
-        placed.groupBy("parent_key", part)
-        .agg(F.array_sort(F.collect_list(F.struct("_place", "name"))).alias("_children"))
-        .select("parent_key", "part", F.col("_children.name").alias("names"))
-    )
+    return placed.select("parent_key", (F.col("_place") - 1).cast("long").alias("position"), "name")
 
 
 def write_tree_order(nodes: DataFrame, path: str) -> None:
-    """JSON lines ``{"<parent>": [names]}``, the parts of a parent in order."""
-    lists = tree_order_lists(nodes).orderBy("parent_key", "part")
-    lists.select(F.to_json(F.create_map("parent_key", "names")).alias("value")).write.mode("overwrite").text(path)
+    """JSON lines ``{"tree_order": {"<parent>": [names]}, "version": 1}``, one object per parent."""
+    lists = tree_order_entries(nodes).groupBy("parent_key").agg(
+        F.array_sort(F.collect_list(F.struct("position", "name"))).alias("_children")
+    )
+    order = F.create_map("parent_key", F.col("_children.name"))
+    lines = lists.select(F.to_json(F.struct(order.alias("tree_order"), F.lit(1).alias("version"))).alias("value"))
+    lines.write.mode("overwrite").text(path)
 
 
 def write_manuscript(manuscripts: DataFrame, path: str) -> None:

@@ -129,12 +129,17 @@ def test_canonical_json(spark):
 
 
 def test_writers(spark, tmp_path):
-    nodes = spark.createDataFrame([("a", 0), ("a/c", 1), ("a/b", 1), ("a/d", 0)], "relative_path string, user_order bigint")
+    nodes = spark.createDataFrame(
+        [("메인", 0), ("메인/a", 2), ("메인/설정집", 1), ("메인/설정집/c", 1), ("메인/설정집/b", 1), ("메인/설정집/d", 0), ("메인/휴지통", 3), ("메인/휴지통/x", 0)],
+        "relative_path string, user_order bigint",
+    )
     sinks.write_tree_order(nodes, str(tmp_path / "order"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "order")).collect()]
-    assert sorted(lines, key=str) == [{"<root>": ["a"]}, {"a": ["d", "b", "c"]}]
-    parts = sinks.tree_order_lists(nodes, size=2).where("parent_key = 'a'").select("part", F.array_join("names", ","))
-    assert rows(parts) == [(0, "d,b"), (1, "c")]
+    assert sorted(lines, key=str) == [
+        {"tree_order": {"<root>": ["설정집", "a"]}, "version": 1}, {"tree_order": {"메인/설정집": ["d", "b", "c"]}, "version": 1}
+    ]
+    live = nodes.withColumn("status", F.when(F.col("relative_path") == "메인/a", "trashed").otherwise("active"))
+    assert rows(sinks.tree_order_entries(live).where("parent_key = '<root>'")) == [("<root>", 0, "설정집")]
     books = spark.createDataFrame([("p(1~2화).txt", "one\n\ntwo"), ("q(1~1화).txt", "x")], "file_name string, content string")
     sinks.write_manuscript(books, str(tmp_path / "books"))
     back = spark.read.text(str(tmp_path / "books"), wholetext=True)

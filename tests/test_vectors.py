@@ -218,6 +218,10 @@ def test_trash_and_restore(spark):
     assert [(r.id, r.relative_path, r.parent_id, r.user_order, r.original_path) for r in moved] == [
         ("a", "메인/휴지통/a_2.txt", "t", 5, "메인/설정집/a.txt")
     ]
+    nested = spark.createDataFrame([("메인", "A"), ("메인/설정집", "B")], "root_path string, new_path string")
+    assert rows(H.relocate(nodes, nested).select("id", "relative_path")) == [
+        ("a", "B/a.txt"), ("m", "A"), ("s", "B"), ("t", "A/휴지통"), ("x", "A/휴지통/a.txt")
+    ]
     assert [r.id for r in H.purge_candidates(nodes, "t").collect()] == ["x"]
     trashed = spark.createDataFrame(
         [("x", "text", "메인/설정집/a.txt", "s", 7), ("y", "folder", "메인/gone/f", "gone", -1), ("z", "text", "메인/gone/z.txt", "gone", 0)],
