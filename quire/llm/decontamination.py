@@ -1,8 +1,11 @@
 """Benchmark items in documents, also with other numbers, names and units.
 
-Words become a template: numbers, names and units are typed slots, the rest is
-lower-cased without edge punctuation. Windows of template words of documents
-and of items meet in a hash join. A window match is laid on its diagonal, the
+Words become two templates. In the typed one numbers, names and units are
+slots and the rest is lower-cased without edge punctuation; a window needs
+enough literal words. In the folded one case is folded, names are literal words
+and numbers and units slots, and every window counts: one with too many slots
+is compared by its words themselves. An item is found by either template.
+Windows of documents and of items meet in a hash join. A window match is laid on its diagonal, the
 distance of its places in document and item; on a diagonal the slots must be
 filled consistently, one value of the document for one of the item and the
 other way round. An item is found where consistent diagonals cover enough of
@@ -31,7 +34,7 @@ from quire.session import durable
 
 #: Template words of a window; items with fewer are one window, down to SHORTEST.
 WINDOW, SHORTEST = 8, 5
-#: Words of a window that must not be slots, as a share.
+#: Words of a window that must not be slots, as a share; a folded window below it has no slots.
 LITERAL_SHARE = 0.5
 #: Share of an item's windows that must be found.
 COVERAGE = 0.5
@@ -55,8 +58,11 @@ _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _NUMBER_UNIT = re.compile(r"([+-]?\d[\d.,:/]*)([^\W\d_]+)")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-#: Canonical words of one word: (hash, slot type or None, text shown or slot value).
-Canonical = tuple[tuple[int, str | None, str], ...]
+#: Templates, and the seeds of their windows' hashes; WORDWISE ones are folded windows without slots.
+TYPED, FOLDED, WORDWISE = 0, 1, 2
+
+#: Canonical words of one word: (hash, slot type or None, text shown or slot value, word with case folded).
+Canonical = tuple[tuple[int, str | None, str, str], ...]
 
 
 def _canonical(word: str) -> Canonical:
@@ -64,7 +70,7 @@ def _canonical(word: str) -> Canonical:
     if core.isalpha():  # most words: nothing else to strip, split or match
         kind = UNIT if core.lower() in UNITS else NAME if core[0].isupper() else None
         shown = kind or core.lower()
-        return ((xxhash.xxh64_intdigest(shown), kind, core if kind else shown),)
+        return ((xxhash.xxh64_intdigest(shown), kind, core if kind else shown, core.casefold()),)
     core = _EDGE.sub("", word)
     if not core:
         return ()
@@ -76,7 +82,7 @@ def _canonical(word: str) -> Canonical:
     for part in parts:
         kind = NUMBER if _NUMBER.fullmatch(part) else UNIT if part.lower() in UNITS else NAME if part[0].isupper() else None
         shown = kind or part.lower()
-        out.append((xxhash.xxh64_intdigest(shown), kind, part if kind else shown))
+        out.append((xxhash.xxh64_intdigest(shown), kind, part if kind else shown, part.casefold()))
     return tuple(out)
 
 
@@ -92,10 +98,13 @@ _canon = _Canon()
 
 
 class _Codes(dict):
-    """Word to the hashes of its canonical words; the last bit is set for literal ones."""
+    """Word to three hashes of each canonical word: typed, folded and wordwise; the last bit is set for literal ones."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(h & ~1 | (kind is None) for h, kind, _ in _canonical(word))
+        found: tuple[int, ...] = ()
+        for h, kind, _, folded in _canonical(word):
+            own = xxhash.xxh64_intdigest(folded) | 1
+            found += (h & ~1 | (kind is None), h & ~1 if kind in (NUMBER, UNIT) else own, own)
         if len(self) < WORDS and len(word) <= 64:
             self[word] = found
         return found
@@ -104,34 +113,49 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def template(text: str | None) -> list[tuple[int, str | None, str]]:
+def template(text: str | None) -> list[tuple[int, str | None, str, str]]:
     if len(_canon) >= WORDS:
         _canon.clear()
     return [part for found in map(_canon.__getitem__, (text or "").split()) for part in found]
 
 
 def codes_of(text: str | None) -> list[int]:
-    """The hashes of the template's words."""
+    """Three hashes of each of the template's words."""
     if len(_codes) >= WORDS:
         _codes.clear()
     return list(chain.from_iterable(map(_codes.__getitem__, (text or "").split())))
 
 
-def _hashes(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window from each place, and whether it has enough literal words."""
-    many = len(codes) - width + 1
-    if many <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    total = np.full(many, width, dtype=np.uint64)
-    for k in range(width):
-        total = (total ^ codes[k : k + many]) * _BASE
+def _mixed(codes: Iterator[np.ndarray], many: int, width: int, seed: int) -> np.ndarray:
+    total = np.full(many, width + (seed << 8), dtype=np.uint64)
+    for part in codes:
+        total ^= part
+        total *= _BASE
         total ^= total >> np.uint64(31)
-    run = np.concatenate([[0], np.cumsum((codes & np.uint64(1)).astype(np.int64))])
-    return total, run[width:] - run[:-width] >= LITERAL_SHARE * width
+    return total
+
+
+def _hashes(codes: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each template, the hash of the window from each place and whether it has enough literal words.
+
+    A folded window without enough is hashed wordwise.
+    """
+    many = codes.shape[1] - width + 1
+    if many <= 0:
+        return [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool))] * 2
+    out = []
+    for which in (TYPED, FOLDED):
+        run = np.concatenate([[0], np.cumsum((codes[which] & np.uint64(1)).astype(np.int64))])
+        usable = run[width:] - run[:-width] >= LITERAL_SHARE * width
+        out.append((_mixed((codes[which, k : k + many] for k in range(width)), many, width, which), usable))
+    total, usable = out[FOLDED]
+    rest = np.flatnonzero(~usable)
+    total[rest] = _mixed((codes[WORDWISE, rest + k] for k in range(width)), len(rest), width, WORDWISE)
+    return out
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, place, width, windows, hash, words, slots) of every usable window of every item."""
+    """(item_id, template, place, width, windows, hash, words, slots) of every window that counts of every item."""
     kind = items.schema["item_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,27 +166,36 @@ def item_windows(items: DataFrame) -> DataFrame:
                 width = min(WINDOW, len(words))
                 if width < SHORTEST:
                     continue
-                hashes, usable = _hashes(np.array(codes_of(text), dtype=np.uint64), width)
-                places = np.flatnonzero(usable)
-                out += [(item, int(p), width, len(places), int(hashes[p].astype(np.int64)), *_shown(words[p : p + width])) for p in places]
-            yield pd.DataFrame(out, columns=["item_id", "place", "width", "windows", "hash", "words", "slots"]).astype({"item_id": batch["item_id"].dtype})
-
-    schema = f"item_id {kind}, place int, width int, windows int, hash long, words string, slots array<string>"
+                codes = np.array(codes_of(text), dtype=np.uint64).reshape(-1, 3).T
+                for which, (hashes, usable) in enumerate(_hashes(codes, width)):
+                    places = np.flatnonzero(usable) if which == TYPED else np.arange(len(hashes))
+                    for p in places.tolist():
+                        shown = _shown(words[p : p + width], which, usable[p])
+                        out.append((item, which, p, width, len(places), int(hashes[p].astype(np.int64)), *shown))
+            yield pd.DataFrame(out, columns=["item_id", "template", "place", "width", "windows", "hash", "words", "slots"]).astype({"item_id": batch["item_id"].dtype})
+
+    schema = f"item_id {kind}, template int, place int, width int, windows int, hash long, words string, slots array<string>"
     return items.where("item_id is not null").select("item_id", "text").mapInPandas(cut, schema)
 
 
-def _shown(words: list[tuple[int, str | None, str]]) -> tuple[str, list[str]]:
-    return " ".join(w[1] or w[2] for w in words), [w[2] for w in words if w[1]]
+def _shown(words: list[tuple[int, str | None, str, str]], which: int, usable: bool) -> tuple[str, list[str]]:
+    """The words of a window with its slots by their types, and the values of the slots."""
+    if which == TYPED:
+        return " ".join(w[1] or w[2] for w in words), [w[2] for w in words if w[1]]
+    if not usable:
+        return " ".join(w[3] for w in words), []
+    slot = [w[1] in (NUMBER, UNIT) for w in words]
+    return " ".join(w[1] if s else w[3] for w, s in zip(words, slot, strict=True)), [w[3] for w, s in zip(words, slot, strict=True) if s]
 
 
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per document text and item found in it.
 
     (doc_id, text_hash, item_id, windows found, coverage, changed slot values,
-    kind: verbatim or reparameterised). Null texts and items under SHORTEST
-    template words, or made of slots only, match nothing; repeated rows of a
-    document give one row; an empty side gives none; further columns are not
-    read.
+    kind: verbatim or reparameterised), of the template that covers more. Null
+    texts and items under SHORTEST template words match nothing; repeated rows
+    of a document give one row; an empty side gives none; further columns are
+    not read.
     """
 
     windows = durable(item_windows(items))
@@ -180,35 +213,39 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
                 part = batch[group == g]
                 out = []
                 found = [codes_of(t) for t in part["text"]]
-                counts = [len(c) for c in found]
+                counts = [len(c) // 3 for c in found]
                 owner = np.repeat(np.arange(len(part)), counts)
                 begin = np.cumsum([0, *counts])
-                codes = np.fromiter(chain.from_iterable(found), dtype=np.uint64, count=int(begin[-1]))
+                codes = np.fromiter(chain.from_iterable(found), dtype=np.uint64, count=3 * int(begin[-1]))
+                codes = np.ascontiguousarray(codes.reshape(-1, 3).T)
                 words: dict[int, list] = {}  # templates of the documents that hit
                 for width in widths:
-                    hashes, usable = _hashes(codes, width)
-                    if not len(hashes):
-                        continue
-                    hit = hits(low, hashes) & usable & (owner[: len(hashes)] == owner[width - 1 :])
-                    places = np.flatnonzero(hit)
-                    for p in places[hits(high, hashes[places] >> np.uint64(32))]:
-                        d = int(owner[p])
-                        if d not in words:
-                            words[d] = template(part["text"].iat[d])
-                        at = int(p - begin[d])
-                        out.append((part["doc_id"].iat[d], part["text_hash"].iat[d], at, int(hashes[p].astype(np.int64)), *_shown(words[d][at : at + width])))
-                yield pd.DataFrame(out, columns=["doc_id", "text_hash", "doc_place", "hash", "words", "doc_slots"]).astype({"doc_id": part["doc_id"].dtype})
+                    for which, (hashes, usable) in enumerate(_hashes(codes, width)):
+                        if not len(hashes):
+                            continue
+                        hit = hits(low, hashes) & (owner[: len(hashes)] == owner[width - 1 :])
+                        if which == TYPED:
+                            hit &= usable
+                        places = np.flatnonzero(hit)
+                        for p in places[hits(high, hashes[places] >> np.uint64(32))]:
+                            d = int(owner[p])
+                            if d not in words:
+                                words[d] = template(part["text"].iat[d])
+                            at = int(p - begin[d])
+                            shown = _shown(words[d][at : at + width], which, usable[p])
+                            out.append((part["doc_id"].iat[d], part["text_hash"].iat[d], which, at, int(hashes[p].astype(np.int64)), *shown))
+                yield pd.DataFrame(out, columns=["doc_id", "text_hash", "template", "doc_place", "hash", "words", "doc_slots"]).astype({"doc_id": part["doc_id"].dtype})
 
     sent = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(
-        send, f"doc_id {kind}, text_hash long, doc_place int, hash long, words string, doc_slots array<string>"
+        send, f"doc_id {kind}, text_hash long, template int, doc_place int, hash long, words string, doc_slots array<string>"
     )
-    met = sent.distinct().join(windows, ["hash", "words"])
+    met = sent.distinct().join(windows, ["template", "hash", "words"])
     pairs = F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc"))
-    diagonal = ["doc_id", "text_hash", "item_id", (F.col("doc_place") - F.col("place")).alias("diagonal")]
+    diagonal = ["doc_id", "text_hash", "item_id", "template", (F.col("doc_place") - F.col("place")).alias("diagonal")]
     # lists are bounded by the windows of an item
     laid = (
         met.select(*diagonal, "place", "windows", pairs.alias("pairs"))
-        .groupBy("doc_id", "text_hash", "item_id", "diagonal")
+        .groupBy("doc_id", "text_hash", "item_id", "template", "diagonal")
         .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("windows").alias("windows"))
     )
     one_way = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item")))
@@ -217,14 +254,16 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     found = (
         laid.where(one_way & back)
         .withColumn("changed", changed)
-        .groupBy("doc_id", "text_hash", "item_id")
+        .groupBy("doc_id", "text_hash", "item_id", "template")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("found"),
             F.max("windows").alias("windows"),
             F.max_by("changed", F.struct(F.size("places"), -F.col("changed"))).alias("changed"),
         )
     )
-    return found.where(F.col("found") >= F.col("windows") * coverage).select(
+    best = F.max_by(F.struct("found", "windows", "changed"), F.struct(F.col("found") / F.col("windows"), -F.col("template")))
+    whole = found.where(F.col("found") >= F.col("windows") * coverage).groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best"))
+    return whole.select("doc_id", "text_hash", "item_id", "best.*").select(
         "doc_id", "text_hash", "item_id", "found",
         (F.col("found") / F.col("windows")).alias("coverage"),
         F.col("changed").alias("changed_slots"),
