@@ -6,10 +6,10 @@ enough literal words. In the folded one case is folded, names are literal words
 and numbers and units slots, and every window counts: one with too many slots
 is compared by its words themselves. An item is found by either template.
 Windows of documents and of items meet in a hash join. A window match is laid on its diagonal, the
-distance of its places in document and item; on a diagonal the slots must be
-filled consistently, one value of the document for one of the item and the
-other way round. An item is found where consistent diagonals cover enough of
-its windows.
+distance of its places in document and item. On a diagonal the most frequent
+value of the document for one of the item holds, and for names and units also
+the other way round; windows with other values drop out, unless they are
+verbatim. An item is found where the rest covers enough of its windows.
 
 Documents send only windows that hit two bitmaps of the items' hashes, one by
 their lower and one by their upper half. The bitmaps have a fixed size: with
@@ -19,6 +19,7 @@ more items they pass more windows, and the join still decides.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 from string import punctuation
@@ -188,6 +189,45 @@ def _shown(words: list[tuple[int, str | None, str, str]], which: int, usable: bo
     return " ".join(w[1] if s else w[3] for w, s in zip(words, slot, strict=True)), [w[3] for w, s in zip(words, slot, strict=True) if s]
 
 
+#: (type, value in the item, value in the document) of one slot.
+Pair = tuple[str, str, str]
+
+
+def _held(votes: dict[tuple[str, str], Counter]) -> dict[tuple[str, str], str]:
+    """The most frequent value of each key; among equals the key's own, then the smallest."""
+    return {key: min(seen, key=lambda v: (-seen[v], v != key[1], v)) for key, seen in votes.items()}
+
+
+def consistent(windows: list[tuple[int, str, list[str], list[str]]]) -> tuple[list[int], int]:
+    """Places of the windows of one diagonal that agree with its majority or are verbatim, and their changed slot values.
+
+    A window is (place, words with slot types, values in the item, values in
+    the document). Different numbers of an item may have become equal.
+    """
+    pairs: dict[int, Pair] = {}  # by place in the item
+    slots: list[tuple[int, list[Pair]]] = []
+    for place, words, item, doc in windows:
+        types = [(k, w) for k, w in enumerate(words.split(" ")) if w in (NUMBER, NAME, UNIT)] if item else []
+        mine = [(w, a, b) for (_, w), a, b in zip(types, item, doc, strict=True)]
+        pairs.update((place + k, pair) for (k, _), pair in zip(types, mine, strict=True))
+        slots.append((place, mine))
+    forth: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    back: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    for kind, a, b in pairs.values():
+        forth[kind, a][b] += 1
+    to = _held(forth)
+    for kind, a, b in pairs.values():
+        if kind != NUMBER and to[kind, a] == b:
+            back[kind, b][a] += 1
+    origin = _held(back)
+    kept = [
+        (place, mine)
+        for place, mine in slots
+        if all(a == b for _, a, b in mine) or all(to[k, a] == b and (k == NUMBER or origin[k, b] == a) for k, a, b in mine)
+    ]
+    return [place for place, _ in kept], len({pair for _, mine in kept for pair in mine if pair[1] != pair[2]})
+
+
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per document text and item found in it.
 
@@ -240,21 +280,27 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
         send, f"doc_id {kind}, text_hash long, template int, doc_place int, hash long, words string, doc_slots array<string>"
     )
     met = sent.distinct().join(windows, ["template", "hash", "words"])
-    pairs = F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc"))
     diagonal = ["doc_id", "text_hash", "item_id", "template", (F.col("doc_place") - F.col("place")).alias("diagonal")]
     # lists are bounded by the windows of an item
     laid = (
-        met.select(*diagonal, "place", "windows", pairs.alias("pairs"))
+        met.select(*diagonal, "windows", F.struct("place", "words", "slots", "doc_slots").alias("window"))
         .groupBy("doc_id", "text_hash", "item_id", "template", "diagonal")
-        .agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("windows").alias("windows"))
+        .agg(F.collect_list("window").alias("met"), F.max("windows").alias("windows"))
+        .drop("diagonal")
+    )
+    item = items.schema["item_id"].dataType.simpleString()
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            judged = [consistent([(w["place"], w["words"], list(w["slots"]), list(w["doc_slots"])) for w in m]) for m in batch["met"]]
+            batch["places"], batch["changed"] = [p for p, _ in judged], [c for _, c in judged]
+            yield batch.drop(columns="met")
+
+    fits = laid.select("doc_id", "text_hash", "item_id", "template", "windows", "met").mapInPandas(
+        judge, f"doc_id {kind}, text_hash long, item_id {item}, template int, windows int, places array<int>, changed int"
     )
-    one_way = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item")))
-    back = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.doc")))
-    changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
     found = (
-        laid.where(one_way & back)
-        .withColumn("changed", changed)
-        .groupBy("doc_id", "text_hash", "item_id", "template")
+        fits.groupBy("doc_id", "text_hash", "item_id", "template")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("found"),
             F.max("windows").alias("windows"),

@@ -25,3 +25,22 @@ def test_copies_in_another_case(spark):
         (0, 1): "verbatim", (1, 1): "verbatim", (2, 1): "reparameterised",
         (3, 2): "verbatim", (4, 2): "verbatim", (7, 3): "verbatim",
     }
+
+
+def test_one_conflict_leaves_the_rest_of_a_diagonal(spark):
+    item = "The old ferry leaves Oslo at noon with 120 guests and 45 crates while slow winds push it far out to sea. The crew of Oslo then counts 120 sails"
+    texts = [
+        item.replace("The crew", "A crew"), item.replace("Oslo then", "Olso then"),
+        item.replace("120", "80").replace("45", "80").replace("Oslo", "Rome"),
+        " ".join(f"w{i}" if i % 4 == 0 else w for i, w in enumerate(item.split())),
+    ]
+    assert {d for d, _ in _found(spark, texts, [item])} == {0, 1, 2}
+
+
+def test_majority_of_a_diagonal():
+    name, num = decontamination.NAME, decontamination.NUMBER
+    window = lambda place, *slots: (place, " ".join([*(k for k, _, _ in slots), "word"]), [a for _, a, _ in slots], [b for _, _, b in slots])
+    met = [window(9 * i, (name, "Oslo", to)) for i, to in enumerate(["Rome", "Rome", "Pisa", "Oslo"])]
+    assert decontamination.consistent(met) == ([0, 9, 27], 1)
+    assert decontamination.consistent([window(0, (num, "1", "7"), (num, "2", "7"))]) == ([0], 2)
+    assert decontamination.consistent([window(0, (name, "A", "X")), window(9, (name, "B", "X")), window(18, (name, "B", "X"))]) == ([9, 18], 1)
