@@ -1,6 +1,9 @@
 """Removal of repeated spans of consecutive sentences.
 
-Every run of SPAN consecutive sentences is hashed and all runs meet by hash.
+Every run of SPAN consecutive sentences is hashed and all runs meet by hash. A
+run with fewer than LEAST_WORDS words grows by sentences until it has enough,
+once by those that follow and once by those before, so that a repeated stretch
+of SPAN sentences and LEAST_WORDS words is covered up to both its ends.
 The first run, by document id and place, stays; sentences covered by any other
 equal run go. A run that repeats inside its own document is told in place, so
 each document sends a hash once.
@@ -24,13 +27,16 @@ from pyspark.sql import functions as F
 
 from quire.session import durable
 
-#: Sentences of a run, and words below which a run is no evidence.
+#: Sentences of a run at least, and the words up to which it grows.
 SPAN, LEAST_WORDS = 2, 10
+#: Characters that count as a word where a script has no spaces.
+DENSE = 2
 #: Words from which a sentence is cut, and one word in so many ends a piece.
 LONG, CUT = 24, 6
 
 _END = re.compile(r"(?<=[.!?…。！？])\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,6 +50,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _amount(words: list[str], joined: str) -> int:
+    """Number of words; characters of scripts without spaces count too."""
+    return len(words) if joined.isascii() else max(len(words), len(_DENSE.findall(joined)) // DENSE)
+
+
 def _pieces(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Spans of the sentences and pieces, their hashes and numbers of words."""
     spans, hashes, counts = [], [], []
@@ -51,8 +62,9 @@ def _pieces(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
         words = text[start:stop].lower().split()
         if len(words) <= LONG:
             spans.append((start, stop))
-            hashes.append(xxhash.xxh64_intdigest(" ".join(words)))
-            counts.append(len(words))
+            joined = " ".join(words)
+            hashes.append(xxhash.xxh64_intdigest(joined))
+            counts.append(_amount(words, joined))
             continue
         piece: list[str] = []
         begin = end = None
@@ -62,37 +74,50 @@ def _pieces(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
             piece.append(m.group().lower())
             if zlib.crc32(piece[-1].encode()) % CUT == 0:
                 spans.append((begin, end))
-                hashes.append(xxhash.xxh64_intdigest(" ".join(piece)))
-                counts.append(len(piece))
+                joined = " ".join(piece)
+                hashes.append(xxhash.xxh64_intdigest(joined))
+                counts.append(_amount(piece, joined))
                 piece, begin = [], None
         if piece:
             spans.append((begin, end))
-            hashes.append(xxhash.xxh64_intdigest(" ".join(piece)))
-            counts.append(len(piece))
+            joined = " ".join(piece)
+            hashes.append(xxhash.xxh64_intdigest(joined))
+            counts.append(_amount(piece, joined))
     return spans, np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
 
 
+def _bounds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, sentence behind the last) of each run, in order of the text."""
+    n = len(counts)
+    total = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(n + 1)
+    stop = np.maximum(np.searchsorted(total, total + LEAST_WORDS), at + SPAN)
+    start = np.minimum(np.searchsorted(total, total - LEAST_WORDS, side="right") - 1, at - SPAN)
+    both = np.concatenate([(at << 32 | stop)[stop <= n], (start << 32 | at)[start >= 0]])
+    both = np.unique(both)
+    return both >> 32, both & 0xFFFFFFFF
+
+
 def runs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, repeats an earlier run of this text) of each run with enough words."""
+    """(hash, first sentence << 32 | sentence behind the last, repeats an earlier run of this text) of each run."""
     _, hashes, counts = _pieces(text or "")
-    many = len(hashes) - SPAN + 1
-    if many <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
-    total, words = np.full(many, SPAN, dtype=np.uint64), np.zeros(many, dtype=np.int64)
-    for k in range(SPAN):
-        total = (total ^ hashes[k : k + many]) * _MIX
-        total ^= total >> np.uint64(31)
-        words += counts[k : k + many]
-    place = np.flatnonzero(words >= LEAST_WORDS)
-    total = total[place].astype(np.int64)
+    start, stop = _bounds(counts)
+    if not len(start):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    total = np.full(len(start), SPAN, dtype=np.uint64)
+    for k in range(int((stop - start).max())):
+        more = np.flatnonzero(start + k < stop)
+        mixed = (total[more] ^ hashes[start[more] + k]) * _MIX
+        total[more] = mixed ^ (mixed >> np.uint64(31))
+    total = total.astype(np.int64)
     _, first = np.unique(total, return_index=True)
     again = np.ones(len(total), dtype=bool)
     again[first] = False
-    return total, place.astype(np.int32), again
+    return total, start << 32 | stop, again
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, places): where runs begin that are not the first of their content.
+    """(doc_id, text_hash, places): bounds, as ``runs`` gives them, of runs that are not the first of their content.
 
     Rows of one id count as one document among each other: they remove
     nothing from one another. A row without an id comes last.
@@ -112,7 +137,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 }).astype({"doc_id": part["doc_id"].dtype})
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    cuts = durable(rows.mapInPandas(cut, f"doc_id {kind}, text_hash long, hash long, place int, again boolean"))
+    cuts = durable(rows.mapInPandas(cut, f"doc_id {kind}, text_hash long, hash long, place long, again boolean"))
     once = cuts.where("not again")
     # two longs a hash, combined before the shuffle
     firsts = once.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
@@ -138,7 +163,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 spans = _pieces(text or "")[0]
                 gone = np.zeros(len(spans), dtype=bool)
                 for p in places if places is not None else ():
-                    gone[p : p + SPAN] = True
+                    gone[int(p) >> 32 : int(p) & 0xFFFFFFFF] = True
                 stretches: list[list[int]] = []
                 for i in np.flatnonzero(gone):
                     # white space behind a removed sentence goes with it
