@@ -318,13 +318,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     component no name. An empty table gives no rows; further columns are not
     read.
     """
-    facts = durable(set_facts(docs))
-    classes = durable(
-        facts.where("cls is not null").groupBy("cls").agg(
-            F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
-        )
-    )
-    labels = _links(docs, facts, classes)
+    facts, classes, labels = _joined(docs)
     named = classes.select("cls", "least")
     if labels is not None:
         joined = named.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -334,9 +328,38 @@ def join_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The facts of the rows, the classes, and (cls, comp) of the linked ones, if any."""
+    facts = durable(set_facts(docs))
+    classes = durable(
+        facts.where("cls is not null").groupBy("cls").agg(
+            F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
+        )
+    )
+    return facts, classes, _links(docs, facts, classes)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows that give their component its name, in their own columns; repeated rows once."""
-    found = join_components(docs)
-    others = found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("_doc")).distinct()
-    kept = docs.join(others, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    return kept
+    """One row of each component, in its own columns.
+
+    Decided by rows: the smallest id stays, null ids last, and of its texts the
+    one with the smallest hash. Rows without words all stay. Repeated rows, by
+    id and text, stay once, with their smallest further columns.
+    """
+    facts, classes, labels = _joined(docs)
+    keys = durable(facts.groupBy("doc_id", "text_hash").agg(F.max("cls").alias("cls"), F.count("*").alias("n")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = keys.where("cls is not null").groupBy("cls").agg(F.min(key).alias("best"))
+    if labels is not None:
+        joined = best.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        smallest = joined.groupBy("comp").agg(F.min("best").alias("best"))
+        best = joined.select("cls", "comp").join(smallest, "comp").select("cls", "best")
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    kept = durable(keys.join(best, "cls", "left").where(F.col("best").isNull() | first).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "n"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    single = docs.join(kept.where("n = 1"), same, "left_semi")
+    more = kept.where("n > 1")
+    if more.isEmpty():
+        return single
+    repeated = docs.join(more, same).groupBy("_doc", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.union(repeated.select("row.*"))
