@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, jaccard, language, mixing, quality, secret_scan, sentence_spans, sharding, token_counts, topk
+from quire.llm import decontamination, exact_dedup, jaccard, language, mixing, quality, secret_scan, sentence_spans, sharding, token_counts, topk
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,22 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(table(spark, folder, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_dedup.deduplicate(spark, f"{folder}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP13_SQL = """
+WITH n AS (
+  SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST, id DESC) = 1 AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY norm)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontamination": op2_decontamination,
@@ -156,5 +172,11 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_shards": op10_shards,
+    "op13_exact_dedup": op13_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op5_jaccard_join": OP5_SQL,
+    "op8_exact_top_k": OP8_SQL,
+    "op9_mix_sources": OP9_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op8_exact_top_k": OP8_SQL, "op9_mix_sources": OP9_SQL}
