@@ -64,7 +64,9 @@ def _table(spark: SparkSession, path: str, digest: Digest) -> DataFrame:
     return _located(spark.read.schema(_schema(spark, path)).parquet(path), digest)
 
 
-_KEEP = F.struct("doc_id", "file", "place")
+def _row() -> Column:
+    """What of a row is retained; the largest stays."""
+    return F.struct("doc_id", "file", "place")
 
 
 def index(spark: SparkSession, path: str, folder: str | None = None, digest: Digest = sha256) -> DataFrame:
@@ -76,7 +78,7 @@ def index(spark: SparkSession, path: str, folder: str | None = None, digest: Dig
     folder = folder or shared_folder(spark)
     # a pattern, as a stream takes a folder or a pattern but not one file
     stream = spark.readStream.schema(_schema(spark, path)).parquet(f"{path[:-1]}[{path[-1]}]")
-    state = _located(stream, digest).groupBy("digest").agg(F.max(_KEEP).alias("keep"), F.count("*").alias("size"))
+    state = _located(stream, digest).groupBy("digest").agg(F.max(_row()).alias("keep"), F.count("*").alias("size"))
 
     def put(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/groups/batch={batch}")
@@ -131,10 +133,10 @@ def deduplicate(spark: SparkSession, path: str, folder: str | None = None, diges
     found = facts.join(largest, "digest").unionByName(others)
     if not collided.isEmpty():
         mixed = rows.join(collided, "digest", "left_semi")
-        split = mixed.groupBy("digest", "norm").agg(F.max(_KEEP).alias("keep"), F.count("*").alias("size"))
+        split = mixed.groupBy("digest", "norm").agg(F.max(_row()).alias("keep"), F.count("*").alias("size"))
         again = mixed.join(split, ["digest", "norm"]).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
         found = found.join(collided, "digest", "left_anti").unionByName(again.drop("norm"))
-    keep, size = F.coalesce("keep", _KEEP), F.coalesce("size", F.lit(1))
+    keep, size = F.coalesce("keep", _row()), F.coalesce("size", F.lit(1))
     return found.withColumn("keep", keep).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), size.cast("long").alias("group_size"),
         ((F.col("keep.file") == F.col("file")) & (F.col("keep.place") == F.col("place"))).alias("kept"), "text_sha256", "file", "place",
