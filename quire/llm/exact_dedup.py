@@ -30,10 +30,12 @@ Digest = Callable[[Column], Column]
 
 #: Largest groups, joined by broadcast; no other key has more than a share of 1 / LARGEST of the rows.
 LARGEST = 1000
-#: Where the keyed state is kept, and that its changes are written rather than whole snapshots.
+#: Where the keyed state is kept, that its changes are written rather than whole
+#: snapshots, and that a partition's files take no room in advance.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
