@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, exact_dedup, jaccard, language, mixing, quality, secret_scan, sentence_spans, sharding, token_counts, topk
+from quire.llm import decontamination, exact_dedup, jaccard, language, manifest, mixing, quality, secret_scan, sentence_spans, sharding, token_counts, topk
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,69 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.tamper_report(table(spark, folder, "documents"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    shown = [f"coalesce(octet_length(encode(CAST({f} AS VARCHAR))) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields]
+    return f"sha256({' || '.join(shown)})"
+
+
+# DuckDB has no crc32: its table is built from the polynomial
+OP11_SQL = f"""
+WITH RECURSIVE polynomial AS (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256) r(i)
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM polynomial
+), d AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) % 5 = 0 AS chosen
+  FROM documents, crc_table
+), l AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN chosen THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql("text")} END AS altered,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid
+  FROM d
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY sid ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY sid) AS n,
+         row_number() OVER () AS id
+  FROM l
+), t AS (
+  SELECT sid, 0 AS lvl, pos, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT sid, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM t WHERE n > 1 GROUP BY sid, lvl, pos // 16
+), s AS (
+  SELECT 0 AS lvl, sid AS pos, h, (SELECT count(DISTINCT sid) FROM leaves) AS n FROM t WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM s WHERE n > 1 GROUP BY lvl, pos // 16
+), steps AS MATERIALIZED (
+  SELECT id, lvl AS step, coalesce(string_agg(h, '' ORDER BY t.pos) FILTER (t.pos < leaves.pos >> (4 * lvl)), '') AS l,
+         coalesce(string_agg(h, '' ORDER BY t.pos) FILTER (t.pos > leaves.pos >> (4 * lvl)), '') AS r
+  FROM leaves JOIN t ON t.sid = leaves.sid AND t.n > 1 AND t.pos // 16 = leaves.pos >> (4 * lvl + 4) GROUP BY id, lvl
+  UNION ALL
+  SELECT id, 100 + lvl, coalesce(string_agg(h, '' ORDER BY s.pos) FILTER (s.pos < sid >> (4 * lvl)), ''),
+         coalesce(string_agg(h, '' ORDER BY s.pos) FILTER (s.pos > sid >> (4 * lvl)), '')
+  FROM leaves JOIN s ON s.n > 1 AND s.pos // 16 = sid >> (4 * lvl + 4) GROUP BY id, lvl
+), proved AS (
+  SELECT id, list(l ORDER BY step) AS ls, list(r ORDER BY step) AS rs, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM steps GROUP BY id
+), fold AS (
+  SELECT id, 1 AS step, altered AS h FROM leaves
+  UNION ALL
+  SELECT fold.id, step + 1, sha256(ls[step] || h || rs[step]) FROM fold JOIN proved ON fold.id = proved.id WHERE step <= len(ls)
+), ends AS (
+  SELECT id, arg_max(h, step) AS h FROM fold GROUP BY id
+), whole AS (
+  SELECT h AS root FROM s WHERE n = 1
+)
+SELECT doc_id, leaf, t.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, ends.h AS folded_root, ends.h = root AS verified
+FROM leaves JOIN t ON t.sid = leaves.sid AND t.n = 1 JOIN ends ON ends.id = leaves.id LEFT JOIN proved ON proved.id = leaves.id, whole
+"""
+
+
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.deduplicate(spark, f"{folder}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -172,11 +235,13 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_shards": op10_shards,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op5_jaccard_join": OP5_SQL,
     "op8_exact_top_k": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
