@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, exact_dedup, jaccard, language, manifest, mixing, quality, secret_scan, sentence_spans, sharding, token_counts, topk
+from quire.llm import decontamination, exact_dedup, jaccard, language, manifest, mixing, quality, secret_scan, sentence_spans, sharding, token_counts, topk, whitening
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,10 @@ FROM leaves JOIN t ON t.sid = leaves.sid AND t.n = 1 JOIN ends ON ends.id = leav
 """
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings")).drop("eigenvalue")
+
+
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.deduplicate(spark, f"{folder}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -236,6 +240,7 @@ QUERIES: dict[str, Query] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_shards": op10_shards,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
