@@ -17,6 +17,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def whole(docs: DataFrame, *needed: str) -> DataFrame:
+    """All of a row under ``row``, beside the columns an operator reads.
+
+    Whatever names a user's columns have, they cannot meet an operator's own;
+    ``select("row.*")`` gives them back.
+    """
+    own = F.struct(*[F.col(_quoted(c)).alias(c) for c in docs.columns])
+    return docs.select(own.alias("row"), *[F.col(_quoted(c)).alias(c) for c in needed])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor; a null id counts as empty."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
@@ -46,6 +60,11 @@ def smallest_hashes(df: DataFrame, key: str, size: int, *hashed: str) -> DataFra
     return smallest_draws(drawn, key, size, "_draw", *hashed).drop("_draw")
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, with the text of the smallest hash: repeated ids teach once."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def numbered(df: DataFrame, key: str, order: list[str], buckets: int, name: str) -> DataFrame:
     """Number the rows of each key from 0 without gaps, no key in one task.
 

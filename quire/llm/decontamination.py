@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bitmap, hits
+from quire.llm.common import bitmap, hits, whole
 from quire.session import durable
 
 #: Template words of a window; items with fewer are one window, down to SHORTEST.
@@ -318,7 +318,11 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows in which no item is found, in their own columns."""
-    found = leaks(docs, items, coverage).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(found, same, "left_anti")
+    """The rows in which no item is found, in their own columns.
+
+    Columns may have any names and types. Null texts and repeated rows as in
+    :func:`leaks`: repeated rows share their fate; no items, no row goes.
+    """
+    found = leaks(docs, items, coverage).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_hash"))
+    return whole(docs, "doc_id", "text").join(found, same, "left_anti").select("row.*")

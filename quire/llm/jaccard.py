@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bitmap, in_bitmap
+from quire.llm.common import bitmap, in_bitmap, whole
 from quire.session import durable
 
 #: Words of a shingle.
@@ -344,7 +344,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Decided by rows: the smallest id stays, null ids last, and of its texts the
     one with the smallest hash. Rows without words all stay. Repeated rows, by
-    id and text, stay once, with their smallest further columns.
+    id and text, stay once, with the further columns that are smallest as JSON.
+    Columns may have any names and types; an empty table gives no rows.
     """
     facts, classes, labels = _joined(docs)
     keys = durable(facts.groupBy("doc_id", "text_hash").agg(F.max("cls").alias("cls"), F.count("*").alias("n")))
@@ -355,11 +356,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         smallest = joined.groupBy("comp").agg(F.min("best").alias("best"))
         best = joined.select("cls", "comp").join(smallest, "comp").select("cls", "best")
     first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    kept = durable(keys.join(best, "cls", "left").where(F.col("best").isNull() | first).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    single = docs.join(kept.where("n = 1"), same, "left_semi")
+    kept = keys.join(best, "cls", "left").where(F.col("best").isNull() | first)
+    kept = durable(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "n"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
+    rows = whole(docs, "doc_id", "text")
+    single = rows.join(kept.where("n = 1"), same, "left_semi").select("row.*")
     more = kept.where("n > 1")
     if more.isEmpty():
         return single
-    repeated = docs.join(more, same).groupBy("_doc", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    repeated = rows.join(more, same).groupBy("kept_id", "kept_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return single.union(repeated.select("row.*"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import remainder, smallest_hashes
+from quire.llm.common import one_text, remainder, smallest_hashes
 
 #: Labelled documents of one language to learn from, and their largest length.
 PER_LANGUAGE, MOST_CHARACTERS = 200, 20_000
@@ -262,8 +262,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     known = known.where((remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.length("text") <= MOST_CHARACTERS))
     chosen = F.broadcast(smallest_hashes(known.select("doc_id", "lang").distinct(), "lang", per_language, "doc_id"))
-    rows = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text").collect()
-    return learn([(r["lang"], r["text"]) for r in rows])
+    rows = one_text(known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]), "doc_id", "lang").select("lang", "text").collect()
+    return learn(sorted((r["lang"], r["text"]) for r in rows))
 
 
 def has_letter(text: str) -> bool:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.common import whole
 from quire.session import durable
 
 #: Weights of the sources in code point order, repeating.
@@ -138,9 +139,11 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row as often as it is taken, in its own columns.
 
-    Texts stay where they are read; only edge buckets are sorted.
+    Texts stay where they are read; only edge buckets are sorted. Columns may
+    have any names and types. Nulls, repeated rows and an empty table as in
+    :func:`mix_report`.
     """
-    rows = measured(docs)
+    rows = measured(whole(docs, "doc_id", "source", "text"))
     taken = mix(rows, plan(rows)).where("_copies > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return taken.withColumn("_copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("_copy", copies).select("row.*")

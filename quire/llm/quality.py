@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import remainder, smallest_hashes
+from quire.llm.common import one_text, remainder, smallest_hashes
 
 #: Hashed forms, and latent dimensions.
 FORMS, LATENT = 1024, 48
@@ -138,19 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Space
                 "n": [r[r > 0] for r in rows],
             })
 
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("quality", "text")
-    found = texts.mapInPandas(bags, "quality int, forms array<int>, n array<float>").toPandas()
+    texts = one_text(docs.select("doc_id", "text").join(chosen, "doc_id"), "doc_id", "quality")
+    found = texts.select("quality", "text").mapInPandas(bags, "quality int, forms array<int>, n array<float>").collect()
     frequency, rows = _form_counts(docs)
     rarity = np.log((1 + rows) / (1 + frequency)).astype(np.float32) + 1
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.5
-    if found.empty:
+    if not found:
         empty = np.zeros((0, LATENT), dtype=np.float32)
         return Space(rarity, np.zeros((FORMS, LATENT), dtype=np.float32), empty, np.zeros(0), np.zeros(0), prior)
     dense = np.zeros((len(found), FORMS), dtype=np.float32)
-    for i, (forms, n) in enumerate(zip(found["forms"], found["n"], strict=True)):
-        dense[i, forms] = n
-    votes = found["quality"].to_numpy()
+    for i, r in enumerate(found):
+        dense[i, r["forms"]] = r["n"]
+    votes = np.array([r["quality"] for r in found])
     # rows in a fixed order, so that the decomposition does not depend on tasks
     order = np.lexsort((*dense.T[:64], dense.sum(axis=1), votes))
     dense, votes = dense[order], votes[order]
