@@ -2,7 +2,8 @@
 
 Each stage works on all rows its predecessor kept and returns the columns of
 documents; the last adds the shard. A stage's rows are written to the shared
-folder and read again by the next.
+folder and read again by the next. Columns may have any names and types; null
+ids, repeated rows and empty tables are handled as each operator says.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontamination, jaccard, language, mixing, sharding
-from quire.llm.common import table
+from quire.llm.common import table, whole
 from quire.session import durable
 
 #: Share of a document's words below which its language is not accepted.
@@ -20,11 +21,15 @@ SHARDS = 24
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with letters, most of whose words are in one language."""
+    """Keep documents with letters, most of whose words are in one language.
+
+    A null or empty text goes. Rows are judged one by one, so repeated rows
+    and null ids change nothing; an empty table stays empty.
+    """
     found = language.labelled(language.fit(docs), docs)
-    named = docs.withColumn("_found", found("text"))
-    kept = named.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SHARE))
-    return kept.drop("_found")
+    named = whole(docs, "text").withColumn("found", found("text"))
+    kept = named.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_SHARE))
+    return kept.select("row.*")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the shard of each row."""
+    """Add the shard of each row, by its id; a column ``shard`` is replaced."""
     return sharding.with_shard(docs, sharding.topology(SHARDS))
 
 
