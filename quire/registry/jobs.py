@@ -15,7 +15,7 @@ from quire.plans import (
     storage_keys as K,
 )
 from quire.registry.core import register
-from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, LEDGER_SQL, chapters, documents, ledger, table
+from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, LEASES_SQL, LEDGER_SQL, chapters, documents, lease_events, ledger, table
 from quire.streaming.changes import debounced_bursts
 
 _LINES_SQL = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS name FROM documents)"
@@ -212,19 +212,11 @@ def document_commit_replay(spark, folder):
     return L.document_commit_replay(requests).select("document_id", "seq", "operation_id", "outcome")
 
 
-@register("lease_timeline")
+@register("lease_timeline", f"""WITH RECURSIVE {LEASES_SQL.strip()}
+SELECT lease_event_id, document_id, who AS holder, make_timestamp(moment) AS at, result, make_timestamp(until) AS expires_at FROM walk WHERE n > 0""")
 def lease_timeline(spark, folder):
-    # no SQL twin: the holder depends on every earlier grant; tests compare with brute force
-    events = table(spark, folder, "events").select(
-        F.col("event_id").alias("lease_event_id"),
-        F.col("event_type").alias("document_id"),
-        "user_id",
-        F.lit("d").alias("device_id"),
-        F.when(F.col("value") > 60, "release").otherwise("acquire").alias("action"),
-        "ts",
-        F.floor("value").cast("int").alias("ttl_seconds"),
-    )
-    return Z.lease_timeline(events)
+    timeline = Z.lease_timeline(lease_events(table(spark, folder, "events")))
+    return timeline.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "expires_at")})
 
 
 @register("debounced_bursts", """

@@ -290,3 +290,39 @@ node_paths AS (
          CAST(1 + (p1.id IS NOT NULL)::INT + (p2.id IS NOT NULL)::INT AS BIGINT) AS depth
   FROM nodes n LEFT JOIN nodes p1 ON n.parent_id = p1.id LEFT JOIN nodes p2 ON p1.parent_id = p2.id)
 """
+
+
+# --- leases: events on the document a user works on, held by the kind of event --------
+
+LEASES_SQL = """
+offered AS (
+  SELECT event_id AS lease_event_id, user_id AS document_id, event_type || '/d' AS holder, value > 60 AS gives_up, epoch_us(ts) AS moment,
+         1000000 * greatest(30, least(CAST(floor(value) AS BIGINT), 120)) AS ttl,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events),
+walk AS (
+  SELECT DISTINCT document_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS lease_event_id, CAST(NULL AS VARCHAR) AS who,
+         CAST(NULL AS BIGINT) AS moment, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS BIGINT) AS until
+  FROM offered
+  UNION ALL
+  SELECT document_id, n, lease_event_id, holder, moment,
+         CASE WHEN gives_up THEN CASE WHEN h = holder THEN 'released' ELSE 'notHeld' END
+              WHEN h <> holder THEN 'LEASE_CONFLICT' WHEN h = holder THEN 'renewed' ELSE 'acquired' END,
+         CASE WHEN gives_up THEN CASE WHEN h = holder THEN NULL ELSE h END WHEN h <> holder THEN h ELSE holder END,
+         CASE WHEN gives_up THEN CASE WHEN h = holder THEN NULL ELSE u END WHEN h <> holder THEN u ELSE moment + ttl END
+  FROM (SELECT o.*, CASE WHEN w.until > o.moment THEN w.held END AS h, CASE WHEN w.until > o.moment THEN w.until END AS u
+        FROM walk w JOIN offered o ON o.document_id = w.document_id AND o.n = w.n + 1))
+"""
+
+
+def lease_events(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("event_id").alias("lease_event_id"),
+        F.col("user_id").alias("document_id"),
+        F.concat("event_type", F.lit("/d")).alias("holder"),
+        F.col("event_type").alias("user_id"),
+        F.lit("d").alias("device_id"),
+        F.when(F.col("value") > 60, "release").otherwise("acquire").alias("action"),
+        "ts",
+        F.floor("value").cast("int").alias("ttl_seconds"),
+    )

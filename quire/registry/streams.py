@@ -9,14 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.registry.core import register
-from quire.registry.roles import SNAPSHOTS_SQL, snapshots_of
+from quire.registry.roles import LEASES_SQL, SNAPSHOTS_SQL, lease_events, snapshots_of, table
 from quire.session import checkpointed_stream
 from quire.streaming import changes as K
+from quire.streaming.ordered import settled
+
+#: Rows of the table come in no order of time: none is late within this.
+SPAN = "60 days"
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # a pattern, as a stream takes a folder or a pattern but not one file
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -56,7 +61,8 @@ def streamed_save_states(spark, folder):
         .otherwise("saveSucceeded").alias("event"),
         "ts",
     )
-    return checkpointed_stream(K.save_state(saves).select("document_id", "generation", "stale", "state"))
+    out = settled(saves, "ts", lambda feed: K.save_state(feed, SPAN))
+    return out.select("document_id", "generation", "stale", "state")
 
 
 @register("streamed_rate_limit", f"""WITH RECURSIVE {SNAPSHOTS_SQL.strip()},
@@ -68,8 +74,9 @@ walk AS (SELECT document_id, n, backup_id, created_at AS last_kept, true AS kept
     FROM walk w JOIN autos a ON a.document_id = w.document_id AND a.n = w.n + 1))
 SELECT document_id, backup_id FROM walk WHERE kept""")
 def streamed_rate_limit(spark, folder):
-    kept = K.rate_limited_snapshots(snapshots_of(_events(spark, folder)), seconds=172800)
-    return checkpointed_stream(kept.select("document_id", "backup_id"))
+    taken = snapshots_of(_events(spark, folder))
+    kept = settled(taken, "created_at", lambda feed: K.rate_limited_snapshots(feed, seconds=172800, delay=SPAN))
+    return kept.select("document_id", "backup_id")
 
 
 @register("streamed_operation_states", """
@@ -91,4 +98,25 @@ def streamed_operation_states(spark, folder):
         .when(kind == "error", "conflict_detected").otherwise("retry_scheduled").alias("event_type"),
         "ts",
     )
-    return checkpointed_stream(K.operation_states(offered))
+    return settled(offered, "ts", lambda feed: K.operation_states(feed, SPAN))
+
+
+@register("streamed_leases", f"""WITH RECURSIVE {LEASES_SQL.strip()}
+SELECT document_id, lease_event_id, who AS holder, result, make_timestamp(moment) AS at, make_timestamp(until) AS expires_at FROM walk WHERE n > 0
+UNION ALL SELECT document_id, NULL, held, 'expired', make_timestamp(until), make_timestamp(until)
+FROM (SELECT *, lead(moment) OVER (PARTITION BY document_id ORDER BY n) AS next_at FROM walk) WHERE held IS NOT NULL AND (next_at IS NULL OR until <= next_at)""")
+def streamed_leases(spark, folder):
+    out = settled(lease_events(_events(spark, folder)), "ts", lambda feed: K.lease_state(feed, SPAN))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "expires_at")})
+
+
+@register("tailed_changes", """
+SELECT user_id AS document_id, event_id AS revision, 'feed' AS via FROM events WHERE event_type <> 'error'
+UNION ALL SELECT user_id, max(event_id), 'pull' FROM events GROUP BY user_id
+HAVING max(event_id) > coalesce(max(event_id) FILTER (event_type <> 'error'), -1)""")
+def tailed_changes(spark, folder):
+    # a feed that loses the changes of one kind, and pulls that see them
+    revisions = lambda rows: rows.select(F.col("user_id").alias("document_id"), F.col("event_id").alias("revision"), "ts")
+    feed = revisions(_events(spark, folder).where("event_type <> 'error'"))
+    newest = lambda: revisions(table(spark, folder, "events")).groupBy("document_id").agg(F.max("revision").alias("revision"))
+    return K.tail_with_pulls(feed, newest).drop("batch")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +105,28 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keyed state in RocksDB, its changes written rather than whole snapshots, no
+#: room taken in advance by the files of a partition.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started meanwhile keep their state on disk."""
+    before = {name: spark.conf.get(name, None) for name in DISK_STATE}
+    try:
+        for name, value in DISK_STATE.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def checkpointed_stream(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Run an append stream over what its source now holds; read its rows back."""
     path = path or shared_folder(stream.sparkSession)

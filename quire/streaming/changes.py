@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quire.plans.leases import clamp_ttl
 from quire.plans.ledger import TERMINAL_EVENTS
+from quire.session import durable, shared_folder
+from quire.streaming.ordered import TICK, Rule, in_event_order, instant
 
 # Full pull as a safety net, quiet gaps before pull and autosave.
 PERIODIC_PULL = "90 seconds"
@@ -30,7 +32,7 @@ def read_change_feed(
 
 
 def tail_changes(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """What a periodic full pull finds beyond the changes seen so far.
+    """What a full pull finds beyond the changes seen so far.
 
     The batch is the truth: rows of ``snapshot`` newer than the highest
     revision seen in ``changes``, or never seen.
@@ -39,6 +41,58 @@ def tail_changes(changes: DataFrame, snapshot: DataFrame) -> DataFrame:
     return snapshot.join(seen, "document_id", "left").where("_seen IS NULL OR revision > _seen").drop("_seen")
 
 
+def tail_with_pulls(
+    changes: DataFrame, pull: Callable[[], DataFrame], folder: str | None = None, every: str = PERIODIC_PULL
+) -> DataFrame:
+    """Tail a change stream; a full pull from time to time adds what it missed.
+
+    ``changes``: ``document_id, revision, ts``; ``pull`` reads the newest
+    ``document_id, revision`` of all documents. Result: ``document_id,
+    revision, via`` (``feed`` or ``pull``) and the micro-batch.
+
+    A micro-batch passes its changes on and writes the highest revision of
+    each of its documents. When the newest change is ``every`` past the last
+    pull, the kept high-water table, with the marks since it was written, is
+    compared with a full pull; what is newer there goes out, and the table is
+    written anew. All of it lies under ``folder`` by micro-batch, so that one
+    that runs twice writes the same, and a later run goes on from there.
+    """
+    spark = changes.sparkSession
+    folder = folder or shared_folder(spark)
+    marks = changes.select("document_id", "revision").schema
+    for name in ("high", "marks", "out/via=feed", "out/via=pull"):
+        spark.createDataFrame([], marks).write.mode("ignore").parquet(f"{folder}/{name}/batch=-1")
+    spark.createDataFrame([(None,)], "at timestamp").write.mode("ignore").parquet(f"{folder}/pulls/batch=-1")
+    wait = pd.Timedelta(every)
+
+    def read(name: str, schema: str | StructType) -> DataFrame:
+        own = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return spark.read.schema(StructType([*own.fields, StructField("batch", LongType())])).parquet(f"{folder}/{name}")
+
+    def take(batch: DataFrame, number: int) -> None:
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        put(batch.select("document_id", "revision").distinct(), "out/via=feed")
+        put(batch.groupBy("document_id").agg(F.max("revision").alias("revision")), "marks")
+        newest = batch.agg(F.max("ts")).first()[0]
+        last = read("pulls", "at timestamp").where(F.col("batch") < number).orderBy(F.desc("batch")).first()
+        if newest is None or (last["at"] is not None and newest - last["at"] < wait):
+            return
+        high = read("high", marks).where(F.col("batch") == last["batch"])
+        since = read("marks", marks).where(F.col("batch").between(last["batch"] + 1, number))
+        seen = high.union(since).select("document_id", "revision")
+        found = durable(tail_changes(seen, pull().select("document_id", "revision")))
+        put(found, "out/via=pull")
+        put(seen.union(found).groupBy("document_id").agg(F.max("revision").alias("revision")), "high")
+        put(spark.createDataFrame([(newest,)], "at timestamp"), "pulls")
+
+    query = (
+        changes.writeStream.foreachBatch(take).trigger(availableNow=True).option("checkpointLocation", f"{folder}/log").start()
+    )
+    query.awaitTermination()
+    own = StructType([*marks.fields, StructField("via", StringType()), StructField("batch", LongType())])
+    return spark.read.schema(own).parquet(f"{folder}/out")
+
+
 def dedupe_events(events: DataFrame, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
     """First of each id within the watermark; later repeats are the batch's."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
@@ -60,115 +114,81 @@ def debounced_bursts(changes: DataFrame, gap: str = PULL_QUIET, delay: str | Non
 
 # --- stateful operators ---------------------------------------------------------------
 #
-# Each keeps a few values per key. State expires by event time where the rule
-# has an end; the others keep one small row per document.
+# Each is a rule over the events of a key in order of time. State expires by
+# event time where the rule has an end; the others keep one small row per key.
 
 _SAVE_STATES = {"edited": "editing", "saveStarted": "saving", "saveSucceeded": "saved", "saveFailed": "failed"}
 
 
-def _save_states(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    generation, shown = state.get if state.exists else (None, None)
-    for frame in frames:
-        frame = frame.sort_values(["ts", "generation"], kind="stable")
-        rows = []
-        for event, at in zip(frame.itertuples(index=False), frame["ts"]):
-            stale = generation is not None and event.generation < generation
-            if not stale:
-                generation, shown = int(event.generation), _SAVE_STATES[event.event]
-            rows.append((key[0], int(event.generation), event.event, at, bool(stale), shown))
-        yield pd.DataFrame(rows, columns=["document_id", "generation", "event", "ts", "stale", "state"])
-    state.update((generation, shown))
-
-
-def save_state(events: DataFrame) -> DataFrame:
-    """Save state after each event; events of an older generation are stale."""
-    return events.groupBy("document_id").applyInPandasWithState(
-        _save_states,
-        "document_id string, generation bigint, event string, ts timestamp, stale boolean, state string",
-        "generation bigint, state string",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+def _saved(state, event):
+    at, generation, kind = event
+    newest, shown = state or (None, None)
+    stale = newest is not None and generation < newest
+    if not stale:
+        newest, shown = generation, _SAVE_STATES[kind]
+    return (newest, shown), [(generation, kind, at, stale, shown)]
+
 
+def save_state(events: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Save state after each event; events of an older generation are stale.
 
-def _leases(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    columns = ["document_id", "holder", "result", "at", "expires_at"]
-    if state.hasTimedOut:
-        holder, expires = state.get
-        state.remove()
-        end = pd.Timestamp(expires, unit="us")
-        yield pd.DataFrame([(key[0], holder, "expired", end, end)], columns=columns)
-        return
-    holder, expires = state.get if state.exists else (None, None)
-    for frame in frames:
-        frame = frame.sort_values(["ts"], kind="stable")
-        rows = []
-        for event in frame.itertuples(index=False):
-            at = event.ts.value // 1000
-            if expires is not None and expires <= at:
-                end = pd.Timestamp(expires, unit="us")
-                rows.append((key[0], holder, "expired", end, end))
-                holder, expires = None, None
-            if event.action == "release":
-                result = "released" if holder == event.holder else "notHeld"
-                if holder == event.holder:
-                    holder, expires = None, None
-            elif holder is not None and holder != event.holder:
-                result = "LEASE_CONFLICT"
-            else:
-                result = "renewed" if holder == event.holder else "acquired"
-                holder, expires = event.holder, at + int(event.ttl) * 1_000_000
-            rows.append((key[0], event.holder, result, event.ts, None if expires is None else pd.Timestamp(expires, unit="us")))
-        yield pd.DataFrame(rows, columns=columns).astype({"expires_at": "datetime64[us]", "at": "datetime64[us]"})
-    if holder is None:
-        if state.exists:
-            state.remove()
+    ``events``: ``document_id, generation, event, ts``.
+    """
+    rule = Rule("generation bigint, shown string", "generation bigint, event string, ts bigint, stale boolean, state string", _saved)
+    out = in_event_order(events, ["document_id"], "ts", ["generation", "event"], [], rule, delay)
+    return out.withColumn("ts", instant("ts"))
+
+
+def _leased(state, event):
+    at, _, holder, action, ttl = event
+    held, until = state or (None, None)
+    if action == "release":
+        mine = held == holder
+        held, until = (None, None) if mine else (held, until)
+        result = "released" if mine else "notHeld"
+    elif held is not None and held != holder:
+        result = "LEASE_CONFLICT"
     else:
-        state.update((holder, expires))
-        state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs() + 1))
+        result = "renewed" if held == holder else "acquired"
+        held, until = holder, at + ttl * 1_000_000
+    return (None if held is None else (held, until)), [(event[1], holder, result, at, until)]
 
 
 def lease_state(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Leases as they change; a timer reports those that run out.
 
-    ``events``: ``document_id, holder, action, ttl_seconds, ts``.
+    ``events``: ``document_id, lease_event_id, holder, action, ttl_seconds,
+    ts``. A lease that ends at the instant of an event has ended before it.
+    Rows of ``expired`` have no event.
     """
-    timed = events.withWatermark("ts", delay).withColumn("ttl", clamp_ttl(F.col("ttl_seconds")).cast("bigint"))
-    return timed.groupBy("document_id").applyInPandasWithState(
-        _leases,
-        "document_id string, holder string, result string, at timestamp, expires_at timestamp",
-        "holder string, expires bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    kind = events.schema["lease_event_id"].dataType.simpleString()
+    rule = Rule(
+        "holder string, until bigint",
+        f"lease_event_id {kind}, holder string, result string, at bigint, expires_at bigint",
+        _leased,
+        end=lambda state: state[1],
+        close=lambda state: [(None, state[0], "expired", state[1], state[1])],
     )
+    timed = events.withColumn("ttl", clamp_ttl(F.col("ttl_seconds")).cast("bigint"))
+    out = in_event_order(timed, ["document_id"], "ts", ["lease_event_id"], ["holder", "action", "ttl"], rule, delay)
+    return out.withColumns({"at": instant("at"), "expires_at": instant("expires_at")})
 
 
-def rate_limited_snapshots(snapshots: DataFrame, large: int = 1024 * 1024, seconds: int = 300) -> DataFrame:
-    """Automatic snapshots kept, as they arrive; state is the last kept time."""
-
-    def keep(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values(["created_at", "backup_id"], kind="stable")
-            kept = []
-            for at, size in zip(frame["created_at"], frame["byte_count"]):
-                now = at.value // 1000
-                take = size < large or last is None or not 0 <= now - last < seconds * 1_000_000
-                last = now if take else last
-                kept.append(take)
-            yield frame.loc[kept, ["document_id", "backup_id", "created_at"]]
-        if last is not None:
-            state.update((last,))
-
-    automatic = snapshots.where("reason = 'automaticSave'")
-    kinds = {c: automatic.schema[c].dataType.simpleString() for c in ("document_id", "backup_id")}
-    return automatic.groupBy("document_id").applyInPandasWithState(
-        keep,
-        f"document_id {kinds['document_id']}, backup_id {kinds['backup_id']}, created_at timestamp",
-        "last bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+def rate_limited_snapshots(snapshots: DataFrame, large: int = 1024 * 1024, seconds: int = 300, delay: str = "1 minute") -> DataFrame:
+    """Automatic snapshots kept; state is the last kept time, while it still matters."""
+    gap = seconds * 1_000_000
+
+    def keep(state, event):
+        at, backup, size = event
+        if size >= large and state is not None and at - state[0] < gap:
+            return state, []
+        return (at,), [(backup, at)]
+
+    automatic = snapshots.where("reason = 'automaticSave'") if TICK not in snapshots.columns else snapshots.where(f"reason = 'automaticSave' OR {TICK}")
+    kind = snapshots.schema["backup_id"].dataType.simpleString()
+    rule = Rule("last bigint", f"backup_id {kind}, created_at bigint", keep, end=lambda state: state[0] + gap)
+    out = in_event_order(automatic, ["document_id"], "created_at", ["backup_id"], ["byte_count"], rule, delay)
+    return out.withColumn("created_at", instant("created_at"))
 
 
 # State shown for each event type.
@@ -179,29 +199,21 @@ _OPERATION_STATES = {
 }
 
 
-def _operations(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    sequence, last = state.get if state.exists else (0, None)
-    for frame in frames:
-        frame = frame.sort_values(["ts", "event_id"], kind="stable")
-        rows = []
-        for event in frame.itertuples(index=False):
-            closed = last in TERMINAL_EVENTS
-            if not closed:
-                sequence, last = sequence + 1, event.event_type
-            shown = _OPERATION_STATES.get(last, "pending")
-            rows.append((key[0], event.event_id, None if closed else sequence, shown, closed))
-        out = pd.DataFrame(rows, columns=["operation_id", "event_id", "event_sequence", "state", "late"])
-        yield out.astype({"event_sequence": "Int64"})
-    state.update((sequence, last))
+def _operated(state, event):
+    _, event_id, kind = event
+    sequence, last = state or (0, None)
+    closed = last in TERMINAL_EVENTS
+    if not closed:
+        sequence, last = sequence + 1, kind
+    return (sequence, last), [(event_id, None if closed else sequence, _OPERATION_STATES.get(last, "pending"), closed)]
 
 
-def operation_states(events: DataFrame) -> DataFrame:
+def operation_states(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """State of each operation after each event; ``late`` marks events after
-    the end, which leave the state alone and can be routed aside."""
-    return events.groupBy("operation_id").applyInPandasWithState(
-        _operations,
-        "operation_id string, event_id string, event_sequence bigint, state string, late boolean",
-        "sequence bigint, last string",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    the end, which leave the state alone and can be routed aside.
+
+    ``events``: ``operation_id, event_id, event_type, ts``.
+    """
+    kind = events.schema["event_id"].dataType.simpleString()
+    rule = Rule("sequence bigint, last string", f"event_id {kind}, event_sequence bigint, state string, late boolean", _operated)
+    return in_event_order(events, ["operation_id"], "ts", ["event_id"], ["event_type"], rule, delay)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from quire.operators.chains import committed, committed_by_links
 from quire.plans import leases as Z, ledger as L
+from quire.session import disk_state
 from quire.streaming import changes as K
+from quire.streaming.ordered import settled
 from tests.conftest import rows
 
 T0 = dt.datetime(2026, 1, 1)
@@ -62,44 +64,101 @@ def test_bursts_stream_equals_batch(spark, tmp_path):
     assert rows(stream.where("document_id <> 'zz'")) == batch
 
 
-def test_save_state_drops_stale_generations(spark, tmp_path):
-    data = [("d", 1, "edited", T0), ("d", 2, "edited", T0 + dt.timedelta(seconds=1)), ("d", 1, "saveSucceeded", T0 + dt.timedelta(seconds=2)),
-            ("d", 2, "saveStarted", T0 + dt.timedelta(seconds=3)), ("d", 2, "saveFailed", T0 + dt.timedelta(seconds=4))]
-    events = _stream(spark, tmp_path, data, "document_id string, generation bigint, event string, ts timestamp")
-    out = _run(K.save_state(events), "saves", tmp_path)
-    assert [(r.stale, r.state) for r in out.orderBy("ts").collect()] == [
-        (False, "editing"), (False, "editing"), (True, "editing"), (False, "saving"), (False, "failed")
-    ]
+@pytest.fixture
+def small_frames(spark):
+    """Python sees five rows at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _shuffled(spark, tmp_path, data, schema, seed):
+    """The rows in any order over five files, one micro-batch each."""
+    return _stream(spark, tmp_path, random.Random(seed).sample(data, len(data)), schema, parts=5)
+
+
+def test_save_state_drops_stale_generations(spark, tmp_path, small_frames):
+    rng = random.Random(7)
+    kinds = {"edited": "editing", "saveStarted": "saving", "saveSucceeded": "saved", "saveFailed": "failed"}
+    data = [(f"d{rng.randrange(2)}", rng.randrange(30), rng.choice(list(kinds)), T0 + dt.timedelta(microseconds=rng.randrange(10**8))) for _ in range(150)]
+    data += [(None, 1, "edited", T0), ("d0", 99, "edited", None)]  # a null key is a key, an event without a time is none
+    want, last = [], {}
+    for doc, generation, kind, at in sorted((r for r in data if r[3]), key=lambda r: (str(r[0]), r[3], r[1], r[2])):
+        newest, shown = last.get(doc, (None, None))
+        stale = newest is not None and generation < newest
+        newest, shown = (newest, shown) if stale else (generation, kinds[kind])
+        last[doc] = (newest, shown)
+        want.append((doc, generation, kind, at, stale, shown))
+    events = _shuffled(spark, tmp_path, data, "document_id string, generation bigint, event string, ts timestamp", 1)
+    out = settled(events, "ts", lambda feed: K.save_state(feed, "1 hour"))
+    assert rows(out) == sorted(want, key=lambda r: tuple(str(v) for v in r))
 
 
-def test_rate_limit_stream_equals_batch(spark, tmp_path):
+def test_events_wait_for_the_watermark(spark, tmp_path):
+    data = [("d", i, "edited", T0 + dt.timedelta(minutes=10 * i)) for i in range(6)]
+    events = _stream(spark, tmp_path, data, "document_id string, generation bigint, event string, ts timestamp", parts=6)
+    with disk_state(spark):
+        out = _run(K.save_state(events, "15 minutes"), "waiting", tmp_path)
+    # the newest event is at 50 minutes, so those up to 35 are settled
+    assert sorted(r.generation for r in out.collect()) == [0, 1, 2, 3]
+
+
+def test_rate_limit_stream_equals_batch(spark, tmp_path, small_frames):
     rng = random.Random(4)
-    data = sorted(
-        ((f"d{rng.randrange(2)}", f"b{i:03d}", T0 + dt.timedelta(seconds=rng.randrange(9000)), rng.choice([5, 2_000_000]), "automaticSave") for i in range(150)),
-        key=lambda r: (r[2], r[1]),
-    )
+    data = [(f"d{rng.randrange(2)}", f"b{i:03d}", T0 + dt.timedelta(seconds=rng.randrange(9000)), rng.choice([5, 2_000_000]), "automaticSave") for i in range(150)]
     schema = "document_id string, backup_id string, created_at timestamp, byte_count bigint, reason string"
     batch = rows(L.rate_limit_large(spark.createDataFrame(data, schema)).select("backup_id"))
-    stream = _run(K.rate_limited_snapshots(_stream(spark, tmp_path, data, schema)), "limited", tmp_path)
+    taken = _shuffled(spark, tmp_path, data, schema, 2)
+    stream = settled(taken, "created_at", lambda feed: K.rate_limited_snapshots(feed, delay="1 day"))
     assert rows(stream.select("backup_id")) == batch
 
 
-def test_operation_states_stream(spark, tmp_path):
+def test_operation_states_stream(spark, tmp_path, small_frames):
     kinds = ["enqueued", "dispatch_started", "committed", "retry_scheduled"]
     data = [("o", f"e{i}", kind, T0 + dt.timedelta(seconds=i)) for i, kind in enumerate(kinds)]
-    events = _stream(spark, tmp_path, data, "operation_id string, event_id string, event_type string, ts timestamp")
-    out = _run(K.operation_states(events), "operations_out", tmp_path).orderBy("event_id").collect()
-    assert [(r.event_sequence, r.state, r.late) for r in out] == [(1, "pending", False), (2, "inflight", False), (3, "completed", False), (None, "completed", True)]
+    data += [("p", f"p{i:02d}", "retry_scheduled", T0 + dt.timedelta(seconds=i)) for i in range(30)] + [("p", "p99", "superseded", T0 + dt.timedelta(seconds=20, microseconds=1))]
+    events = _shuffled(spark, tmp_path, data, "operation_id string, event_id string, event_type string, ts timestamp", 3)
+    out = settled(events, "ts", lambda feed: K.operation_states(feed, "1 hour")).orderBy("event_id").collect()
+    first = [(r.event_sequence, r.state, r.late) for r in out if r.operation_id == "o"]
+    assert first == [(1, "pending", False), (2, "inflight", False), (3, "completed", False), (None, "completed", True)]
+    second = {r.event_id: (r.event_sequence, r.state, r.late) for r in out if r.operation_id == "p"}
+    assert second["p20"] == (21, "retry_wait", False) and second["p99"] == (22, "cancelled", False) and second["p21"] == (None, "cancelled", True)
 
 
-def test_lease_stream_reports_expiry(spark, tmp_path):
+def test_lease_stream_equals_timeline(spark, tmp_path, small_frames):
+    rng = random.Random(9)
+    data = [(f"d{rng.randrange(2)}", i, f"u{rng.randrange(3)}", rng.choice(["acquire"] * 4 + ["release"]), rng.randrange(10, 200), T0 + dt.timedelta(seconds=rng.randrange(6000))) for i in range(200)]
+    schema = "document_id string, lease_event_id bigint, user_id string, action string, ttl_seconds int, ts timestamp"
+    own = lambda df: df.withColumns({"device_id": F.lit("x"), "holder": F.concat("user_id", F.lit("/x"))})
+    events = own(_shuffled(spark, tmp_path, data, schema, 4))
+    out = settled(events, "ts", lambda feed: K.lease_state(feed, "1 day"))
+    columns = ["lease_event_id", "document_id", "holder", "at", "result", "expires_at"]
+    timeline = Z.lease_timeline(own(spark.createDataFrame(data, schema)))
+    assert rows(out.where("result <> 'expired'").select(columns)) == rows(timeline.select(columns))
+    # every lease that was granted ends in a release, a renewal or an end of its own
+    expired = out.where("result = 'expired'").collect()
+    assert expired and all(r.lease_event_id is None and r.at == r.expires_at for r in expired)
+    given = [r for r in timeline.collect() if r.result in ("acquired", "renewed")]
+    assert {(r.document_id, r.holder, r.at) for r in expired} <= {(r.document_id, r.holder, r.expires_at) for r in given}
+    assert len([r for r in given if r.result == "acquired"]) == len(expired) + timeline.where("result = 'released'").count()
+
+
+def test_tail_pulls_what_the_feed_missed(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(seconds=s)
-    data = [("d", "a", "acquire", 60, at(0)), ("d", "b", "acquire", 60, at(30)), ("d", "a", "acquire", 60, at(50)), ("d", "b", "acquire", 60, at(120)), ("z", "a", "release", 60, at(4000))]
-    events = _stream(spark, tmp_path, data, "document_id string, holder string, action string, ttl_seconds int, ts timestamp", parts=5)
-    out = _run(K.lease_state(events), "leases", tmp_path).where("document_id = 'd'").orderBy("at", "result").collect()
-    results = [(r.holder, r.result) for r in out]
-    assert results[:3] == [("a", "acquired"), ("b", "LEASE_CONFLICT"), ("a", "renewed")]
-    assert ("a", "expired") in results and ("b", "acquired") in results
+    batches = [[("a", 1, at(0)), ("a", 2, at(1))], [("b", 1, at(30))], [("b", 2, at(100)), ("b", 2, at(100))]]
+    now = iter([[("a", 2)], [("a", 3), ("b", 2), ("c", 7)], [("a", 9), ("b", 2), ("c", 7)]])
+    schema = "document_id string, revision bigint, ts timestamp"
+    path, folder = str(tmp_path / "in"), str(tmp_path / "tail")
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    pull = lambda: spark.createDataFrame(next(now), "document_id string, revision bigint")
+    out = K.tail_with_pulls(feed, pull, folder)
+    want = [("a", 1, "feed", 0), ("a", 2, "feed", 0), ("b", 1, "feed", 1), ("b", 2, "feed", 2), ("a", 3, "pull", 2), ("c", 7, "pull", 2)]
+    assert rows(out) == sorted(want, key=str)
+    # a later run goes on from the kept table
+    spark.createDataFrame([("c", 8, at(200))], schema).coalesce(1).write.mode("append").parquet(path)
+    assert rows(K.tail_with_pulls(feed, pull, folder).where("batch > 2")) == [("a", 9, "pull", 3), ("c", 8, "feed", 3)]
 
 
 def _brute_leases(events):
