@@ -24,19 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import bitmap, hits
-from quire.session import durable, shared_folder
+from quire.session import disk_state, durable, shared_folder
 
 Digest = Callable[[Column], Column]
 
 #: Largest groups, joined by broadcast; no other key has more than a share of 1 / LARGEST of the rows.
 LARGEST = 1000
-#: Where the keyed state is kept, that its changes are written rather than whole
-#: snapshots, and that a partition's files take no room in advance.
-STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-}
 
 
 def normalised(text: Column) -> Column:
@@ -85,18 +78,12 @@ def index(spark: SparkSession, path: str, folder: str | None = None, digest: Dig
     def put(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/groups/batch={batch}")
 
-    was = {k: spark.conf.get(k, None) for k in STATE}
-    try:
-        for k, v in STATE.items():
-            spark.conf.set(k, v)
+    with disk_state(spark):
         query = (
             state.writeStream.outputMode("update").foreachBatch(put).trigger(availableNow=True)
             .option("checkpointLocation", f"{folder}/state").start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in was.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     groups = spark.read.parquet(f"{folder}/groups")
     last = groups.groupBy("digest").agg(F.max_by(F.struct("keep", "size"), "batch").alias("last"))
     return durable(last.select("digest", "last.keep", "last.size"))
