@@ -102,43 +102,53 @@ def committed(requests: DataFrame) -> DataFrame:
 
 
 def committed_by_links(requests: DataFrame) -> DataFrame:
-    """:func:`committed` without a fold, for documents of any size."""
-    requests = durable(
-        requests.withColumn("id", F.struct("document_id", "seq")).withColumn("_bad", F.lit(False))
-    )
+    """:func:`committed` without a fold, for documents of any size.
+
+    Repeated operation ids are taken out beforehand or in rounds: after a run,
+    every row whose id an earlier reached row of its document has is left out
+    of the next, until the same rows stay out.
+    """
+    requests = durable(requests.withColumn("id", F.struct("document_id", "seq")))
+    operation = ["document_id", "operation_id"]
+    repeated = durable(requests.groupBy(*operation).count().where("count > 1").select(*operation))
+    several = durable(requests.join(repeated, operation, "left_semi").select(*operation, "seq", "id"))
+    out = None
     while True:
-        usable = requests.where("NOT _bad")
-        heads = top_rows(usable.where("is_head"), ["document_id"], ["seq"], 1).select("id", F.lit(True).alias("is_head"))
-        probes = usable.select(
-            "document_id",
-            (F.col("base_revision") + 1).alias("base_revision"),
-            F.explode("opens").alias("slot"),
-            "seq",
-            F.col("id").alias("probe_id"),
-        )
-        # equal sequence numbers never meet: a row's base differs from the one it opens
-        found = next_at_or_after(usable, probes, ["document_id", "base_revision", "slot"], "seq")
-        nearest = found.groupBy(F.col("probe_id").alias("id")).agg(F.min("next_at").alias("_next"))
-        links = (
-            usable.select("id", "document_id")
-            .join(nearest, "id", "left")
-            .join(heads, "id", "left")
-            .select(
-                "id",
-                F.when(F.col("_next").isNotNull(), F.struct("document_id", F.col("_next").alias("seq"))).alias("next_id"),
-                F.coalesce("is_head", F.lit(False)).alias("is_head"),
-            )
-        )
-        reached = durable(follow(links).join(requests, "id").select("id", "document_id", "seq", "operation_id"))
-        # an operation id that committed before cannot commit again; the first such
-        # row of a document is certain, later ones may change once it is taken out
-        first = reached.groupBy("document_id", "operation_id").agg(F.min("seq").alias("_first"))
-        again = reached.join(first, ["document_id", "operation_id"]).where("seq > _first")
-        wrong = durable(top_rows(again, ["document_id"], ["seq"], 1).select("id"))
-        if wrong.isEmpty():
+        usable = requests if out is None else requests.join(out, "id", "left_anti")
+        reached = durable(follow(_successors(usable)).select("id.*", "id"))
+        if several.isEmpty():
             return reached.select("document_id", "seq")
-        marked = requests.join(wrong.withColumn("_wrong", F.lit(True)), "id", "left")
-        requests = durable(marked.withColumn("_bad", F.col("_bad") | F.coalesce("_wrong", F.lit(False))).drop("_wrong"))
+        first = several.join(reached, "id", "left_semi").groupBy(*operation).agg(F.min("seq").alias("_first"))
+        again = durable(several.join(first, operation).where("seq > _first").select("id"))
+        known = out if out is not None else again.limit(0)
+        if again.count() == known.count() and again.join(known, "id", "left_anti").isEmpty():
+            return reached.select("document_id", "seq")
+        out = again
+
+
+def _successors(usable: DataFrame) -> DataFrame:
+    """``id, next_id, is_head``: the row that would commit next after each row."""
+    heads = top_rows(usable.where("is_head"), ["document_id"], ["seq"], 1).select("id", F.lit(True).alias("is_head"))
+    probes = usable.select(
+        "document_id",
+        (F.col("base_revision") + 1).alias("base_revision"),
+        F.explode("opens").alias("slot"),
+        "seq",
+        F.col("id").alias("probe_id"),
+    )
+    # equal sequence numbers never meet: a row's base differs from the one it opens
+    found = next_at_or_after(usable, probes, ["document_id", "base_revision", "slot"], "seq")
+    nearest = found.groupBy(F.col("probe_id").alias("id")).agg(F.min("next_at").alias("_next"))
+    return (
+        usable.select("id", "document_id")
+        .join(nearest, "id", "left")
+        .join(heads, "id", "left")
+        .select(
+            "id",
+            F.when(F.col("_next").isNotNull(), F.struct("document_id", F.col("_next").alias("seq"))).alias("next_id"),
+            F.coalesce("is_head", F.lit(False)).alias("is_head"),
+        )
+    )
 
 
 def state_before(

@@ -9,6 +9,7 @@ from quire.functions.names import valid_relative_path
 from quire.operators.chains import committed, follow, next_at_or_after, split_by_size, state_before
 from quire.operators.ordered import newest, top_rows, with_previous, with_row_number, with_running
 from quire.operators.windows import DONE, lane_heads, unfinished
+from quire.session import durable
 
 # Content limit, event types after which an operation is closed.
 MAX_CONTENT_BYTES = 10 * 1024 * 1024
@@ -45,49 +46,105 @@ def reused_operation_ids(requests: DataFrame) -> DataFrame:
     return pairs.groupBy("operation_id").agg(F.count("*").alias("payloads")).where("payloads > 1")
 
 
-def replay_ledger(requests: DataFrame) -> DataFrame:
-    """Outcome of each commit request, as if run one after the other.
+def replay_ledger(requests: DataFrame, order: list[str]) -> DataFrame:
+    """Outcome of each commit request, as if all were run one after the other.
 
     Needs ``document_id, seq, operation_id, project_id, base_revision,
-    device_id, relative_path, content_hash, is_deleted``. Adds ``outcome``
-    (``committed``, ``replayed`` or an error code) and ``revision``. Path
-    conflicts between documents are left to :func:`path_ownership`.
+    device_id, relative_path, content_hash, is_deleted``; ``seq`` numbers a
+    document's requests, and ``order`` (ties by document) puts those of all
+    documents in one sequence that agrees with it. Adds ``outcome``
+    (``committed``, ``replayed`` or an error code) and ``revision``. An
+    operation id is taken by its first commit, whatever the document; a live
+    path of a project is held by one document from a commit there to its next.
+
+    Documents are replayed side by side, then told which of their requests met
+    an id or a path that another commit held at that moment, and replayed
+    without those, until nothing changes. A request's fate depends on earlier
+    ones alone, so each round settles at least the next link of every chain of
+    refusals, and what stays unchanged is what a replay in sequence gives.
     """
-    shaped = requests.withColumns(
-        {
-            "slot": F.col("project_id").cast("string"),
-            "opens": F.array(F.col("project_id").cast("string")),
-            "is_head": (F.col("base_revision") == 0) & ~F.col("is_deleted"),
-        }
-    )
-    payload = ["project_id", "base_revision", "device_id", "relative_path", "content_hash", "is_deleted"]
-    judged = state_before(shaped, committed(shaped), ["base_revision", "project_id"])
-    commits = judged.where("committed").select(
-        "document_id",
-        "operation_id",
-        F.col("seq").alias("_commit"),
-        F.struct(*payload).alias("_payload"),
-        (F.col("base_revision") + 1).alias("_revision"),
+    payload = ["document_id", "project_id", "base_revision", "device_id", "relative_path", "content_hash", "is_deleted"]
+    shaped = durable(
+        requests.withColumns(
+            {
+                "slot": F.col("project_id").cast("string"),
+                "opens": F.array(F.col("project_id").cast("string")),
+                "is_head": (F.col("base_revision") == 0) & ~F.col("is_deleted"),
+                "at": F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*order, "document_id", "seq"])]),
+            }
+        )
     )
-    joined = judged.join(commits, ["document_id", "operation_id"], "left")
-    earlier = F.col("_commit").isNotNull() & (F.col("_commit") < F.col("seq"))
+    asked = _contended(shaped)
+    blocked = None
+    while True:
+        free = shaped if blocked is None else shaped.join(blocked, ["document_id", "seq"], "left_anti")
+        done = durable(committed(free))
+        commits = shaped.join(done, ["document_id", "seq"], "left_semi")
+        met = durable(_met_holders(asked, commits))
+        if met.isEmpty() if blocked is None else _same_rows(met, blocked):
+            break
+        blocked = met
+    judged = state_before(shaped, done, ["base_revision", "project_id"])
+    taken = commits.groupBy(F.col("operation_id").alias("_operation")).agg(
+        F.min_by(F.struct("at", F.struct(*payload).alias("payload"), F.col("base_revision") + 1), "at").alias("_taken")
+    )
+    joined = judged.join(taken, F.col("operation_id") == F.col("_operation"), "left")
+    earlier = F.coalesce(F.col("_taken.at") < F.col("at"), F.lit(False))
     exists = F.col("was_base_revision").isNotNull()
     founding = F.col("base_revision") == 0
     outcome = (
         F.when(F.col("committed"), "committed")
-        .when(earlier & (F.struct(*payload) == F.col("_payload")), "replayed")
+        .when(earlier & (F.struct(*payload) == F.col("_taken.payload")), "replayed")
         .when(earlier, "OPERATION_ID_REUSED")
         .when(founding & exists, "DOCUMENT_ALREADY_EXISTS")
-        .when(founding, "INVALID_ARGUMENT")
+        .when(founding & F.col("is_deleted"), "INVALID_ARGUMENT")
+        .when(founding, "PATH_CONFLICT")
         .when(~exists | (F.col("was_project_id") != F.col("project_id")), "DOCUMENT_NOT_FOUND")
-        .otherwise("REVISION_CONFLICT")
+        .when(F.col("was_base_revision") + 1 != F.col("base_revision"), "REVISION_CONFLICT")
+        .otherwise("PATH_CONFLICT")
     )
-    revision = F.when(F.col("outcome").isin("committed", "replayed"), F.col("_revision"))
+    revision = F.when(F.col("outcome").isin("committed", "replayed"), F.col("base_revision") + 1)
     return joined.withColumn("outcome", outcome).select(
         "document_id", "seq", "operation_id", "outcome", revision.alias("revision")
     )
 
 
+def _contended(shaped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests for paths that several documents ask for, and for ids used more than once."""
+    live = shaped.where(~F.col("is_deleted")).select("document_id", "seq", "at", "project_id", "relative_path")
+    place = ["project_id", "relative_path"]
+    wanted = live.groupBy(*place).agg(F.min("document_id").alias("_low"), F.max("document_id").alias("_high"))
+    paths = live.join(wanted.where("_low <> _high").drop("_low", "_high"), place, "left_semi")
+    ids = shaped.select("document_id", "seq", "at", "operation_id")
+    repeated = ids.groupBy("operation_id").count().where("count > 1").select("operation_id")
+    return durable(paths), durable(ids.join(repeated, "operation_id", "left_semi"))
+
+
+def _met_holders(asked: tuple[DataFrame, DataFrame], commits: DataFrame) -> DataFrame:
+    """``document_id, seq`` of requests whose id or path another commit held when they came."""
+    paths, ids = asked
+    place = ["project_id", "relative_path"]
+    facts = commits.select("document_id", "seq", "at", *place, "is_deleted")
+    # previous row in descending order: the document's next commit ends the hold
+    ended = with_previous(facts, ["document_id"], ["-seq"], {"_end": "at"})
+    hold = F.struct(F.col("_end").isNull().alias("open"), F.col("_end").alias("end"), F.col("document_id").alias("holder"))
+    holds = ended.where(~F.col("is_deleted")).select(*place, "at", F.lit(1).alias("_kind"), hold.alias("_hold"))
+    holds = holds.join(paths.select(*place).distinct(), place, "left_semi")
+    both = paths.withColumn("_kind", F.lit(0)).unionByName(holds, allowMissingColumns=True)
+    # of the holds begun before, the one that lasts longest is the one still on
+    seen = with_running(both, place, ["at", "_kind"], {"_last": ("max", "_hold")}).where("_kind = 0")
+    on = F.col("_last.open") | (F.col("_last.end") > F.col("at"))
+    by_path = seen.where(on & (F.col("_last.holder") != F.col("document_id"))).select("document_id", "seq")
+    first = commits.join(ids, ["document_id", "seq"], "left_semi").groupBy("operation_id").agg(F.min("at").alias("_first"))
+    by_id = ids.join(first, "operation_id").where("_first < at").select("document_id", "seq")
+    return by_path.union(by_id).distinct()
+
+
+def _same_rows(one: DataFrame, other: DataFrame) -> bool:
+    """Whether two sets of keys are equal."""
+    return one.count() == other.count() and one.join(other, one.columns, "left_anti").isEmpty()
+
+
 def commit_faults(requests: DataFrame) -> DataFrame:
     """First static fault of each document commit, null if none.
 

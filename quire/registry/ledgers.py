@@ -27,38 +27,49 @@ from quire.registry.roles import (
 _LEDGER = f"WITH {LEDGER_SQL.strip()}"
 _OPS = f"WITH {OPERATIONS_SQL.strip()}"
 _ARRIVAL = ["created_at", "arrival", "line_id", "project_id", "byte_count"]
+# documents of many small projects, whose requests meet in paths and operation ids
 _REQUESTS_SQL = f"""WITH RECURSIVE {LEDGER_SQL.strip()},
 requests AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {', '.join(_ARRIVAL)}) AS seq
-  FROM (SELECT document_id, CAST(1 AS BIGINT) AS project_id, revision, base_revision, line_id, operation_id, relative_path,
-    byte_count, content_hash, is_deleted, device_id, created_at, arrival FROM ledger))"""
+  FROM (SELECT document_id, document_id % 100 AS project_id, revision, base_revision, line_id, document_id % 100 || '-' || line_id % 1500 AS operation_id,
+    'part/' || line_id % 700 AS relative_path, byte_count, content_hash, is_deleted, device_id, created_at, arrival FROM ledger))"""
 
 
 def _requests(spark, folder):
-    # one project, so that revisions and not project mismatches decide
-    rows = ledger(spark, folder).withColumn("project_id", F.lit(1).cast("bigint"))
+    project, line = F.col("document_id") % 100, F.col("line_id")
+    rows = ledger(spark, folder).withColumns({
+        "project_id": project,
+        "operation_id": F.concat_ws("-", project.cast("string"), (line % 1500).cast("string")),
+        "relative_path": F.concat(F.lit("part/"), (line % 700).cast("string")),
+    })
     return L.numbered_requests(rows, _ARRIVAL)
 
 
-@register("replayed_ledger", _REQUESTS_SQL + """,
+@register("replayed_ledger", _REQUESTS_SQL + f""",
+queued AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY {', '.join(_ARRIVAL)}, document_id, seq) AS n,
+    document_id || ':' || base_revision || device_id || relative_path || content_hash || is_deleted AS payload FROM requests),
 walk AS (
-  SELECT document_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS operation_id, CAST(0 AS BIGINT) AS rev,
-    CAST([] AS VARCHAR[]) AS ops, CAST([] AS VARCHAR[]) AS payloads, CAST('' AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS revision
-  FROM (SELECT DISTINCT document_id FROM requests)
+  SELECT DISTINCT project_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS document_id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS operation_id,
+    CAST([] AS STRUCT(d BIGINT, rev BIGINT, path VARCHAR)[]) AS docs, CAST([] AS STRUCT(o VARCHAR, p VARCHAR)[]) AS ops, CAST('' AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS revision
+  FROM queued
   UNION ALL
-  SELECT document_id, seq, operation_id, CASE WHEN outcome = 'committed' THEN base_revision + 1 ELSE rev END,
-    CASE WHEN outcome = 'committed' THEN list_append(ops, operation_id) ELSE ops END,
-    CASE WHEN outcome = 'committed' THEN list_append(payloads, payload) ELSE payloads END, outcome,
-    CASE WHEN outcome IN ('committed', 'replayed') THEN base_revision + 1 END
-  FROM (SELECT r.document_id, r.seq, r.operation_id, r.base_revision, w.rev, w.ops, w.payloads,
-      r.base_revision || r.device_id || r.relative_path || r.content_hash || r.is_deleted AS payload,
-      CASE WHEN list_contains(w.ops, r.operation_id) THEN CASE WHEN list_contains(w.payloads,
-            r.base_revision || r.device_id || r.relative_path || r.content_hash || r.is_deleted) THEN 'replayed' ELSE 'OPERATION_ID_REUSED' END
-        WHEN r.base_revision = 0 THEN CASE WHEN w.rev > 0 THEN 'DOCUMENT_ALREADY_EXISTS' WHEN r.is_deleted THEN 'INVALID_ARGUMENT' ELSE 'committed' END
-        WHEN w.rev = 0 THEN 'DOCUMENT_NOT_FOUND' WHEN w.rev <> r.base_revision THEN 'REVISION_CONFLICT' ELSE 'committed' END AS outcome
-    FROM walk w JOIN requests r ON r.document_id = w.document_id AND r.seq = w.seq + 1))
-SELECT document_id, seq, operation_id, outcome, revision FROM walk WHERE seq > 0""")
+  SELECT project_id, n, document_id, seq, operation_id,
+    CASE WHEN outcome = 'committed' THEN list_append(list_filter(docs, lambda x: x.d <> document_id),
+      {{'d': document_id, 'rev': base_revision + 1, 'path': CASE WHEN NOT is_deleted THEN relative_path END}}) ELSE docs END,
+    CASE WHEN outcome = 'committed' THEN list_append(ops, {{'o': operation_id, 'p': payload}}) ELSE ops END,
+    outcome, CASE WHEN outcome IN ('committed', 'replayed') THEN base_revision + 1 END
+  FROM (SELECT q.*, w.docs, w.ops,
+      CASE WHEN len(list_filter(w.ops, lambda x: x.o = q.operation_id)) > 0
+        THEN CASE WHEN list_contains(w.ops, {{'o': q.operation_id, 'p': q.payload}}) THEN 'replayed' ELSE 'OPERATION_ID_REUSED' END
+        WHEN base_revision = 0 AND len(list_filter(w.docs, lambda x: x.d = q.document_id)) > 0 THEN 'DOCUMENT_ALREADY_EXISTS'
+        WHEN base_revision = 0 AND is_deleted THEN 'INVALID_ARGUMENT'
+        WHEN base_revision > 0 AND len(list_filter(w.docs, lambda x: x.d = q.document_id)) = 0 THEN 'DOCUMENT_NOT_FOUND'
+        WHEN base_revision > 0 AND len(list_filter(w.docs, lambda x: x.d = q.document_id AND x.rev = q.base_revision)) = 0 THEN 'REVISION_CONFLICT'
+        WHEN NOT is_deleted AND len(list_filter(w.docs, lambda x: x.d <> q.document_id AND coalesce(x.path = q.relative_path, false))) > 0 THEN 'PATH_CONFLICT'
+        ELSE 'committed' END AS outcome
+    FROM walk w JOIN queued q ON q.project_id = w.project_id AND q.n = w.n + 1))
+SELECT document_id, seq, operation_id, outcome, revision FROM walk WHERE n > 0""")
 def replayed_ledger(spark, folder):
-    return L.replay_ledger(_requests(spark, folder))
+    return L.replay_ledger(_requests(spark, folder), _ARRIVAL)
 
 
 _PAYLOAD_SQL = "relative_path || content_hash || is_deleted"

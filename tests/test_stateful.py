@@ -209,43 +209,101 @@ def test_lease_timeline_by_brute_force(spark, tight):
         assert shown == ("available" if end <= 4500 else "heldByMe" if who == "u0" else "heldByOther")
 
 
-def _requests(rng, n):
+_REQUEST = "document_id string, seq bigint, operation_id string, project_id string, base_revision bigint, device_id string, relative_path string, content_hash string, is_deleted boolean"
+
+
+def _requests(rng, n, documents=4, paths=3):
     return [
-        (f"d{rng.randrange(4)}", i, f"o{rng.randrange(n)}", "p" if rng.random() < 0.9 else "q", rng.randrange(6), "x", f"path{rng.randrange(3)}", f"h{rng.randrange(3)}", rng.random() < 0.3)
+        (f"d{rng.randrange(documents)}", i, f"o{rng.randrange(n)}", "p" if rng.random() < 0.9 else "q", rng.randrange(6), "x", f"path{rng.randrange(paths)}", f"h{rng.randrange(3)}", rng.random() < 0.3)
         for i in range(n)
     ]
 
 
 def _brute_replay(requests):
-    out, docs = {}, {}
-    for doc, seq, op, project, base, device, path, digest, gone in requests:
-        state = docs.setdefault(doc, {"rev": 0, "project": None, "ops": {}})
-        payload = (project, base, device, path, digest, gone)
-        if op in state["ops"]:
-            out[doc, seq] = "replayed" if state["ops"][op] == payload else "OPERATION_ID_REUSED"
+    out, docs, ops = {}, {}, {}
+    for doc, seq, op, project, base, device, path, digest, gone in sorted(requests, key=lambda r: (r[1], r[0])):
+        state = docs.setdefault(doc, {"rev": 0, "project": None, "at": None})
+        payload = (doc, project, base, device, path, digest, gone)
+        taken = not gone and any(d != doc and o["at"] == (project, path) for d, o in docs.items())
+        if op in ops:
+            found = "replayed" if ops[op] == payload else "OPERATION_ID_REUSED"
         elif base == 0:
-            out[doc, seq] = "DOCUMENT_ALREADY_EXISTS" if state["rev"] else "INVALID_ARGUMENT" if gone else "committed"
+            found = "DOCUMENT_ALREADY_EXISTS" if state["rev"] else "INVALID_ARGUMENT" if gone else "PATH_CONFLICT" if taken else "committed"
         elif not state["rev"] or state["project"] != project:
-            out[doc, seq] = "DOCUMENT_NOT_FOUND"
+            found = "DOCUMENT_NOT_FOUND"
         else:
-            out[doc, seq] = "committed" if state["rev"] == base else "REVISION_CONFLICT"
-        if out[doc, seq] == "committed":
-            state["rev"], state["project"] = base + 1, project
-            state["ops"][op] = payload
+            found = "REVISION_CONFLICT" if state["rev"] != base else "PATH_CONFLICT" if taken else "committed"
+        if found == "committed":
+            state["rev"], state["project"], state["at"] = base + 1, project, None if gone else (project, path)
+            ops[op] = payload
+        out[doc, seq] = found
     return out
 
 
+def _outcomes(spark, data):
+    df = spark.createDataFrame(data, _REQUEST)
+    return {(r.document_id, r.seq): r.outcome for r in L.replay_ledger(df, ["seq"]).collect()}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_replay_by_brute_force(spark, seed):
     rng = random.Random(seed)
     data = _requests(rng, 60) + [(d, s + 60, f"o{s % 9}", p, b, x, h, g, z) for d, s, _, p, b, x, h, g, z in _requests(rng, 60)]
-    schema = "document_id string, seq bigint, operation_id string, project_id string, base_revision bigint, device_id string, relative_path string, content_hash string, is_deleted boolean"
-    df = spark.createDataFrame(data, schema)
     expected = _brute_replay(data)
-    assert {(r.document_id, r.seq): r.outcome for r in L.replay_ledger(df).collect()} == expected
-    shaped = df.withColumns({"slot": F.col("project_id"), "opens": F.array("project_id"), "is_head": F.expr("base_revision = 0 AND NOT is_deleted")})
-    by_fold, by_links = rows(committed(shaped)), rows(committed_by_links(shaped))
-    assert by_fold == by_links == sorted((k for k, v in expected.items() if v == "committed"), key=lambda r: (r[0], str(r[1])))
+    assert _outcomes(spark, data) == expected
+    # ids and revisions alone, each document for itself: the fold and the links
+    shaped = spark.createDataFrame(data, _REQUEST).withColumns({"slot": F.col("project_id"), "opens": F.array("project_id"), "is_head": F.expr("base_revision = 0 AND NOT is_deleted")})
+    assert rows(committed(shaped)) == rows(committed_by_links(shaped))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_replay_of_contended_paths(spark, seed):
+    rng = random.Random(seed)
+    # revisions that mostly fit, so that documents move and meet
+    data, revision = [], {}
+    for i in range(400):
+        doc = f"d{rng.randrange(12)}"
+        base = revision.get(doc, 0)
+        data.append((doc, i, f"o{rng.randrange(700)}", "p", base, "x", f"path{rng.randrange(8)}", "h", rng.random() < 0.15 and base > 0))
+        revision[doc] = base + (rng.random() < 0.6)
+    expected = _brute_replay(data)
+    assert {"committed", "PATH_CONFLICT", "REVISION_CONFLICT", "OPERATION_ID_REUSED"} <= set(expected.values())
+    assert _outcomes(spark, data) == expected
+
+
+def test_replay_of_contended_paths_by_links(spark, heavy):
+    rng = random.Random(5)
+    data = _requests(rng, 40, documents=3, paths=2)
+    assert _outcomes(spark, data) == _brute_replay(data)
+
+
+def test_refused_move_frees_a_path(spark):
+    step = lambda doc, seq, base, path, gone=False: (doc, seq, f"{doc}{seq}", "p", base, "x", path, "h", gone)
+    data = [
+        step("a", 0, 0, "one"), step("b", 1, 0, "two"), step("c", 2, 0, "one"),  # c is refused: a is there
+        step("a", 3, 1, "two"),  # refused: b is there, so a stays
+        step("c", 4, 0, "one"),  # still refused
+        step("a", 5, 1, "one", True), step("c", 6, 0, "one"),  # a goes, c may come
+        step("a", 7, 2, "one"),  # a cannot come back
+    ]
+    codes = [_brute_replay(data)[r[0], r[1]] for r in data]
+    assert codes == ["committed", "committed", "PATH_CONFLICT", "PATH_CONFLICT", "PATH_CONFLICT", "committed", "committed", "PATH_CONFLICT"]
+    assert _outcomes(spark, data) == _brute_replay(data)
+
+
+def test_many_repeated_ids_of_one_document(spark, monkeypatch):
+    """Ten thousand ids that come again with another payload take a few runs, not one each."""
+    from quire.operators import chains
+
+    runs = []
+    monkeypatch.setattr(chains, "_successors", lambda df, real=chains._successors: runs.append(1) or real(df))
+    data = [("d", i, f"o{i}", i) for i in range(10_000)] + [("d", 10_000 + i, f"o{i}", 10_000 + i) for i in range(10_000)]
+    data += [("d", 20_000 + i, f"n{i}", 10_000 + i) for i in range(100)]
+    df = spark.createDataFrame(data, "document_id string, seq bigint, operation_id string, base_revision bigint")
+    df = df.withColumns({"slot": F.lit("p"), "opens": F.array(F.lit("p")), "is_head": F.col("base_revision") == 0})
+    got = sorted(r.seq for r in committed_by_links(df).collect())
+    assert got == [*range(10_000), *range(20_000, 20_100)]
+    assert len(runs) <= 3
 
 
 def test_document_commit_rules(spark):
