@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.operators.ordered import with_running
 from quire.operators.windows import DONE, lane_heads, unfinished
+from quire.session import durable
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,36 +126,40 @@ def scoped_fingerprint(tables: dict[str, DataFrame], keep: Column) -> DataFrame:
     return out
 
 
-def corpus_fingerprint(files: DataFrame, digits: int = 3) -> DataFrame:
+def corpus_fingerprint(files: DataFrame, width: int = 64) -> DataFrame:
     """SHA-256 tree over (kind, path, bytes, hash), independent of row order.
 
-    Rows fall into buckets by a hash of their unique path, so buckets stay
-    even. A bucket's digest covers its row digests in order; the root covers
-    the bucket digests. More ``digits`` give more buckets; both levels stay
-    small with 16**digits near the square root of the file count.
+    Rows fall into buckets by the first digits of their own digest, as many
+    digits as bring the mean bucket to at most ``width`` rows; equal rows are
+    one entry with their number. A bucket's digest covers its entries in
+    order, and each level above covers the sixteen buckets that share one
+    digit less, up to the root. So no list grows with the corpus.
     """
     zero = F.lit("\0")
     row = F.sha2(
         F.concat("kind", zero, "relative_path", zero, F.col("bytes").cast("string"), zero, "content_hash"),
         256,
     )
-    bucket = F.left(F.sha2(F.col("relative_path"), 256), F.lit(digits))
-    leaves = files.select(bucket.alias("bucket"), row.alias("digest"))
-    inner = leaves.groupBy("bucket").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), "\n"), 256).alias("digest"),
-        F.count("*").alias("n"),
-    )
-    pair = F.struct("bucket", "digest")
-    return inner.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("files"),
-        F.sha2(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat(p["bucket"], p["digest"])),
-                "\n",
-            ),
-            256,
-        ).alias("fingerprint"),
-    )
+    entries = durable(files.select(row.alias("entry")).groupBy("entry").agg(F.count("*").alias("n")))
+    distinct, total = entries.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    digits = digest_digits(distinct, width)
+    counted = F.concat("entry", F.lit(":"), F.col("n").cast("string"))
+    level = _digests(entries.select(F.left("entry", F.lit(digits)).alias("bucket"), counted.alias("part")))
+    for size in range(digits - 1, -1, -1):
+        level = _digests(level.select(F.left("bucket", F.lit(size)).alias("bucket"), F.concat("bucket", "digest").alias("part")))
+    # an empty corpus has the digest of nothing
+    root = level.agg(F.coalesce(F.max("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("fingerprint"))
+    return root.select(F.lit(total).cast("long").alias("files"), "fingerprint")
+
+
+def digest_digits(rows: int, width: int = 64) -> int:
+    """Hexadecimal digits after which a bucket holds at most ``width`` rows on average."""
+    return len(f"{(rows - 1) // width:x}") if rows > width else 0
+
+
+def _digests(parts: DataFrame) -> DataFrame:
+    listed = F.array_join(F.array_sort(F.collect_list("part")), "\n")
+    return parts.groupBy("bucket").agg(F.sha2(listed.cast("binary"), 256).alias("digest"))
 
 
 def latency_summary(samples: DataFrame, keys: list[str], value: str) -> DataFrame:

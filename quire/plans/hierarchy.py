@@ -29,30 +29,58 @@ def folder_paths(folders: DataFrame, local: DataFrame | None = None) -> DataFram
     deleted folder on the chain leaves it ``unknownParent``. Parents missing
     from ``folders`` may be found by path in ``local`` (``id, path``).
 
-    Each round lets every folder jump as far as its parent already got, so a
-    chain of n folders takes log2(n) joins. Finished folders leave the join.
+    Chains are followed by ids alone; names join only where the chain ends,
+    so that no path is longer than the one it becomes part of.
+    """
+    judged = durable(folder_outcomes(folders, local))
+    resolved = judged.where("outcome = 'resolved'")
+    top = F.lit(None).cast(folders.schema["parent_id"].dataType)
+    parts = resolved.select("id", "depth").join(folders.select("id", "name", "parent_id"), "id")
+    parts = parts.select("id", F.col("name").alias("path"), F.col("parent_id").alias("up"))
+    if local is not None:
+        parts = parts.unionByName(_local_roots(folders, local).select("id", "path", top.alias("up")))
+    parts = durable(parts)
+    # in round k every folder gets the path from its ancestor 2**k levels up
+    for _ in range(_doublings(resolved)):
+        above = parts.select(F.col("id").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        joined = parts.join(above, "up", "left")
+        parts = durable(joined.select("id", F.concat_ws("/", "_path", "path").alias("path"), F.col("_up").alias("up")))
+    return judged.join(parts.select("id", "path"), "id", "left").select("id", "path", "depth", "outcome")
+
+
+def _doublings(resolved: DataFrame) -> int:
+    """Rounds of doubling that reach the end of the longest chain."""
+    deepest = resolved.agg(F.max("links")).first()[0] or 1
+    return (deepest - 1).bit_length()
+
+
+def _local_roots(folders: DataFrame, local: DataFrame) -> DataFrame:
+    return local.join(folders.select("id"), "id", "left_anti").select("id", "path", path_depth(F.col("path")).alias("depth"))
+
+
+def folder_outcomes(folders: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """Depth and outcome of every folder, as :func:`folder_paths`, without paths.
+
+    ``links`` counts the folders of the chain. Each round lets every folder
+    jump as far as its parent already got, so a chain of n folders takes
+    log2(n) joins of ids. Finished folders leave the join.
     """
     deleted = F.col("is_deleted") if "is_deleted" in folders.columns else F.lit(False)
     state = folders.select(
         "id",
-        F.col("name").alias("path"),
         F.col("parent_id").alias("up"),
         deleted.alias("gone"),
         F.lit(1).cast("long").alias("depth"),
+        F.lit(1).cast("long").alias("links"),
         F.when(F.col("parent_id").isNull(), "resolved").alias("outcome"),
+        F.lit(True).alias("own"),
     )
     if local is not None:
-        roots = local.join(folders.select("id"), "id", "left_anti").select(
-            "id",
-            "path",
-            F.lit(None).cast(folders.schema["parent_id"].dataType).alias("up"),
-            F.lit(False).alias("gone"),
-            path_depth(F.col("path")).alias("depth"),
-            F.lit("resolved").alias("outcome"),
-        )
-        state = state.unionByName(roots.withColumn("_local", F.lit(True)), allowMissingColumns=True)
-    else:
-        state = state.withColumn("_local", F.lit(None).cast("boolean"))
+        top = F.lit(None).cast(folders.schema["parent_id"].dataType)
+        state = state.unionByName(_local_roots(folders, local).select(
+            "id", top.alias("up"), F.lit(False).alias("gone"), "depth", F.lit(1).cast("long").alias("links"),
+            F.lit("resolved").alias("outcome"), F.lit(False).alias("own"),
+        ))
     state = durable(state)
     waiting = None
     while True:
@@ -65,38 +93,32 @@ def folder_paths(folders: DataFrame, local: DataFrame | None = None) -> DataFram
         above = state.select(
             F.col("id").alias("up"),
             F.lit(True).alias("_found"),
-            *[F.col(c).alias(f"_{c}") for c in ("path", "gone", "depth", "outcome")],
+            *[F.col(c).alias(f"_{c}") for c in ("gone", "depth", "links", "outcome")],
             F.col("up").alias("_up"),
         )
         joined = pending.join(above, "up", "left")
         moved = joined.select(
             "id",
-            F.concat_ws("/", "_path", "path").alias("path"),
             F.col("_up").alias("up"),
             (F.col("gone") | F.coalesce("_gone", F.lit(False))).alias("gone"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("depth", "links")],
             F.when(F.col("_found").isNull(), "unknownParent").otherwise(F.col("_outcome")).alias("outcome"),
-            "_local",
+            "own",
         )
         state = durable(state.where("outcome IS NOT NULL").unionByName(moved))
-    own = state.where("_local IS NULL")
     outcome = (
         F.when(F.col("outcome").isNull(), "parentCycle")
         .when(F.col("gone"), "unknownParent")
         .otherwise(F.col("outcome"))
     )
-    resolved = outcome == "resolved"
-    return own.select(
-        "id",
-        F.when(resolved, F.col("path")).alias("path"),
-        F.when(resolved, F.col("depth")).alias("depth"),
-        outcome.alias("outcome"),
-    )
+    judged = state.where("own").select("id", outcome.alias("outcome"), "depth", "links")
+    resolved = F.col("outcome") == "resolved"
+    return judged.select("id", *[F.when(resolved, F.col(c)).alias(c) for c in ("depth", "links")], "outcome")
 
 
 def cycles(folders: DataFrame) -> DataFrame:
     """Folders without a path, and whether a cycle or a missing parent is why."""
-    return folder_paths(folders).where("outcome <> 'resolved'").select("id", "outcome")
+    return folder_outcomes(folders).where("outcome <> 'resolved'").select("id", "outcome")
 
 
 def moves_into_cycle(moves: DataFrame, folders: DataFrame) -> DataFrame:

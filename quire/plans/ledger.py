@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.digests import content_sha256
@@ -281,17 +284,21 @@ def durable_segments(marked: DataFrame) -> DataFrame:
 
 
 def _kept_by_fold(nodes: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """The greedy rule over the ordered instants of one stretch, in the JVM."""
-    empty = F.array().cast("array<bigint>")
-    ordered = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_times"))
-    kept = F.aggregate(
-        "_times",
-        empty,
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.array_append(acc, t)
-        ).otherwise(acc),
-    )
-    return ordered.select(*keys, F.explode(kept).alias("_at"))
+    """The greedy rule over the ordered instants of each stretch; the last kept one is all its state."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, last = None, 0
+        for batch in batches:
+            kept = []
+            for *key, at in batch.itertuples(index=False, name=None):
+                take = key != here or at - last >= gap
+                here, last = key, at if take else last
+                kept.append(take)
+            yield batch[kept]
+
+    instants = nodes.select(*keys, "_at")
+    ordered = instants.repartition(*keys).sortWithinPartitions(*keys, "_at")
+    return ordered.mapInPandas(keep, instants.schema)
 
 
 # --- conflicts and batches ------------------------------------------------------------

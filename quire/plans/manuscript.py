@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.functions.names import MANUSCRIPT, TOP, chapter_number, chapter_prefix, volume_number
 from quire.functions.text import grapheme_count
+from quire.operators.ordered import with_previous
 from quire.operators.windows import until_short
 
 # Separator between chapters, chapters per volume, short limit.
@@ -13,6 +14,9 @@ SEPARATOR = "\n\n"
 CHAPTERS_PER_VOLUME = 25
 SHORT_CHAPTER = 300
 
+#: Numbers of a gap that one row stands for before they are written out.
+GAP = 65_536
+
 
 def manuscript_chapters(nodes: DataFrame) -> DataFrame:
     """Texts lying at ``top/manuscript/Nvolume/NNNchapter.txt`` with their number."""
@@ -115,16 +119,30 @@ def assemble_parts(chapters: DataFrame, titles: bool = False, **options) -> Data
     )
 
 
-def missing_chapters(chapters: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Numbers without a chapter in the range, or between first and last."""
-    present = chapters.select("project_id", "number").distinct()
-    spans = present.groupBy("project_id").agg(
-        F.min("number").alias("_low"), F.max("number").alias("_high")
-    )
+def missing_ranges(chapters: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Gaps as ``project_id, from_number, to_number``: in the range, or between first and last chapter."""
+    present = chapters.select("project_id", F.col("number").cast("long").alias("number")).distinct()
     if first is not None:
-        spans = spans.withColumns({"_low": F.lit(first).cast("long"), "_high": F.lit(last).cast("long")})
-    wanted = spans.select("project_id", F.explode(F.sequence("_low", "_high")).alias("number"))
-    return wanted.join(present, ["project_id", "number"], "left_anti")
+        inside = present.where(F.col("number").between(first, last))
+        bounds = F.explode(F.array(F.lit(first - 1), F.lit(last + 1)).cast("array<bigint>")).alias("number")
+        present = inside.unionByName(present.select("project_id").distinct().select("project_id", bounds))
+    before = with_previous(present, ["project_id"], ["number"], {"_before": "number"})
+    return before.where("number - _before > 1").select(
+        "project_id", (F.col("_before") + 1).alias("from_number"), (F.col("number") - 1).alias("to_number")
+    )
+
+
+def missing_chapters(chapters: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Numbers without a chapter in the range, or between first and last.
+
+    A gap of any width is cut into pieces of at most ``GAP`` numbers, which
+    are dealt over the cluster before they are written out.
+    """
+    gaps = missing_ranges(chapters, first, last)
+    begin = F.explode(F.sequence("from_number", "to_number", F.lit(GAP).cast("long")))
+    pieces = gaps.withColumn("_begin", begin).repartition("project_id", "_begin")
+    end = F.least(F.col("_begin") + (GAP - 1), F.col("to_number"))
+    return pieces.select("project_id", F.explode(F.sequence(F.col("_begin"), end)).alias("number"))
 
 
 def chapter_report(chapters: DataFrame) -> DataFrame:

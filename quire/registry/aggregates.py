@@ -119,13 +119,14 @@ def scoped_fingerprint(spark, folder):
     return A.scoped_fingerprint(tables, F.col("project_id") != 7)
 
 
-@register("corpus_fingerprint", f"""WITH {CORPUS_SQL.strip()},
-leaves AS (SELECT left(sha256(relative_path), 3) AS bucket,
-  sha256('text' || chr(0) || relative_path || chr(0) || strlen(text) || chr(0) || sha256(text)) AS digest FROM corpus),
-inner_level AS (SELECT bucket, sha256(string_agg(digest, chr(10) ORDER BY digest)) AS digest, count(*) AS n
-  FROM leaves GROUP BY bucket)
-SELECT CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(bucket || digest, chr(10) ORDER BY bucket)) AS fingerprint
-FROM inner_level""")
+@register("corpus_fingerprint", f"""WITH RECURSIVE {CORPUS_SQL.strip()},
+leaves AS (SELECT sha256('text' || chr(0) || relative_path || chr(0) || strlen(text) || chr(0) || sha256(text)) AS entry, count(*) AS n FROM corpus GROUP BY 1),
+digits AS (SELECT CASE WHEN count(*) > 64 THEN len(format('{{:x}}', (count(*) - 1) // 64)) ELSE 0 END AS d FROM leaves),
+levels AS (
+  SELECT d, left(entry, CAST(d AS INT)) AS bucket, sha256(string_agg(entry || ':' || n, chr(10) ORDER BY entry)) AS digest FROM leaves, digits GROUP BY 1, 2
+  UNION ALL
+  SELECT d - 1, left(bucket, CAST(d - 1 AS INT)), sha256(string_agg(bucket || digest, chr(10) ORDER BY bucket)) FROM levels WHERE d > 0 GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM corpus) AS files, digest AS fingerprint FROM levels WHERE d = 0""")
 def corpus_fingerprint(spark, folder):
     files = corpus(spark, folder).select(
         F.lit("text").alias("kind"),
