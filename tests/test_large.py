@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import aggregates as A
-from quire.plans import hierarchy as H, ledger as L, manuscript as M
+from quire.plans import hierarchy as H, ledger as L, manuscript as M, merge as G
 from tests.conftest import rows
 
 
@@ -63,3 +65,48 @@ def test_digest_lists_do_not_grow(spark):
     copies = files(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("n")
     assert A.corpus_fingerprint(copies).first().files == 5000
     assert A.corpus_fingerprint(files(0)).first().files == 0
+
+
+def _applied(base, changed):
+    """The base with the changed stretches put in."""
+    out, done = [], 0
+    for i, k, j, m in G._stretches_of(base, changed):
+        assert i >= done and (i, j) != (k, m)
+        out += base[done:i] + changed[j:m]
+        done = k
+    return out + base[done:]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_line_differences_rebuild_the_text(seed, monkeypatch):
+    rng = random.Random(seed)
+    if seed % 2:
+        monkeypatch.setattr(G, "MATCHED", 0)  # shortest edit paths in place of the matcher
+    if seed == 5:
+        monkeypatch.setattr(G, "WALK", 3)
+    for _ in range(60):
+        base = [f"{rng.randrange(rng.choice([2, 5, 40]))}\n" for _ in range(rng.randrange(30))]
+        changed = [line for line in base if rng.random() < 0.8]
+        for _ in range(rng.randrange(4)):
+            changed.insert(rng.randrange(len(changed) + 1), f"{rng.randrange(50)}\n")
+        assert _applied(base, changed) == changed
+
+
+def test_merge_of_repetitive_texts():
+    began = time.time()
+    equal = "same\n" * 100_000
+    assert G.merge_lines(equal, "mine\n" + equal, equal + "yours\n") == ("mine\n" + equal + "yours\n", 0)
+    pairs = ["a\n", "b\n"] * 50_000
+    local, remote, both = list(pairs), list(pairs), list(pairs)
+    for i in (1000, 60_000):
+        local[i] = both[i] = f"local {i}\n"
+    for i in (20_000, 90_000):
+        remote[i] = both[i] = f"remote {i}\n"
+    assert G.merge_lines("".join(pairs), "".join(local), "".join(remote)) == ("".join(both), 0)
+    numbered = [f"line {i}\n" for i in range(100_000)]
+    local, remote, both = list(numbered), list(numbered), list(numbered)
+    for i in range(0, 100_000, 100):
+        local[i] = both[i] = f"local {i}\n"
+        remote[i + 50] = both[i + 50] = f"remote {i}\n"
+    assert G.merge_lines("".join(numbered), "".join(local), "".join(remote)) == ("".join(both), 0)
+    assert time.time() - began < 30
