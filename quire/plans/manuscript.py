@@ -119,6 +119,21 @@ def assemble_parts(chapters: DataFrame, titles: bool = False, **options) -> Data
     )
 
 
+def manuscript_rows(chapters: DataFrame, titles: bool = False, **options) -> DataFrame:
+    """``file_name, number, part`` of every manuscript without a repeated number, for the writer of parts.
+
+    A written row ends with a newline, so a part after the first begins with
+    the rest of the separator.
+    """
+    clash = duplicate_chapters(chapters).select("project_id").distinct()
+    chosen = select_chapters(chapters, **options).join(clash, "project_id", "left_anti")
+    body = F.concat("prefix", F.lit(SEPARATOR), "text") if titles else F.col("text")
+    ends = chosen.groupBy("project_id").agg(F.min("number").alias("_first"), F.max("number").alias("_last"))
+    lead = F.when(F.col("number") > F.col("_first"), SEPARATOR.removeprefix("\n")).otherwise("")
+    name = F.format_string("%s(%d~%d화).txt", F.col("project_id").cast("string"), "_first", "_last")
+    return chosen.join(ends, "project_id").select(name.alias("file_name"), "number", F.concat(lead, body).alias("part"))
+
+
 def missing_ranges(chapters: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """Gaps as ``project_id, from_number, to_number``: in the range, or between first and last chapter."""
     present = chapters.select("project_id", F.col("number").cast("long").alias("number")).distinct()

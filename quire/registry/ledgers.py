@@ -23,6 +23,8 @@ from quire.registry.roles import (
     snapshots,
     table,
 )
+from quire.session import shared_folder
+from quire.sources.sinks import insert_only, read_inserted
 
 _LEDGER = f"WITH {LEDGER_SQL.strip()}"
 _OPS = f"WITH {OPERATIONS_SQL.strip()}"
@@ -446,3 +448,30 @@ def cancel_answers(spark, folder):
     )
     states = operations(spark, folder).select("operation_id", F.col("status").alias("state"))
     return L.cancel_states(requests, states)
+
+
+@register("offered_lines", """
+WITH offers AS (
+  SELECT 1 AS turn, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_linenumber < 5
+  UNION ALL SELECT 2, l_orderkey, l_linenumber, l_partkey, l_quantity + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END FROM lineitem
+  UNION ALL SELECT 3, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_linenumber < 5),
+kinds AS (SELECT turn, l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_quantity)) AS kinds, min((l_partkey, l_quantity)) AS row FROM offers GROUP BY ALL),
+one AS (SELECT *, row AS stored FROM kinds WHERE turn = 1 AND kinds = 1),
+two AS (SELECT k.*, o.stored AS was FROM kinds k LEFT JOIN one o USING (l_orderkey, l_linenumber) WHERE k.turn = 2),
+after AS (SELECT l_orderkey, l_linenumber, coalesce(was, CASE WHEN kinds = 1 THEN row END) AS stored FROM two)
+SELECT CAST(turn AS INT) AS turn, l_orderkey, l_linenumber, CASE WHEN kinds > 1 THEN 'refused' ELSE 'inserted' END AS outcome FROM kinds WHERE turn = 1
+UNION ALL SELECT 2, l_orderkey, l_linenumber, CASE WHEN kinds > 1 THEN 'refused' WHEN was IS NULL THEN 'inserted' WHEN was = row THEN 'present' ELSE 'refused' END FROM two
+UNION ALL SELECT 3, l_orderkey, l_linenumber, CASE WHEN kinds > 1 THEN 'refused' WHEN stored IS NULL THEN 'inserted' WHEN stored = row THEN 'present' ELSE 'refused' END
+  FROM kinds k JOIN after USING (l_orderkey, l_linenumber) WHERE k.turn = 3
+UNION ALL SELECT 4, l_orderkey, l_linenumber, 'stored' FROM after WHERE stored IS NOT NULL""")
+def offered_lines(spark, folder):
+    # some lines, all lines with some changed, the first ones once more; then what the table holds
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    changed = F.col("l_quantity") + F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    some, path = lines.where("l_linenumber < 5").drop("l_returnflag"), shared_folder(spark)
+    out = None
+    for turn, offer in enumerate((some, lines.withColumn("l_quantity", changed).drop("l_returnflag"), some), 1):
+        judged = insert_only(offer, path, ["l_orderkey", "l_linenumber"]).select(F.lit(turn).alias("turn"), "*")
+        out = judged if out is None else out.unionByName(judged)
+    held = read_inserted(spark, path).select(F.lit(4).alias("turn"), "l_orderkey", "l_linenumber", F.lit("stored").alias("outcome"))
+    return out.unionByName(held)

@@ -9,6 +9,8 @@ from quire.operators.ordering import issues_first_fatal
 from quire.plans import imports as I, manuscript as M
 from quire.registry.core import register
 from quire.registry.roles import CHAPTERS_SQL, NODE_PATHS_SQL, chapters, table
+from quire.session import shared_folder
+from quire.sources.sinks import read_manuscript_files, write_manuscript_parts
 
 _CHAPTERS = f"WITH {CHAPTERS_SQL.strip()}"
 
@@ -42,6 +44,21 @@ def manuscript_parts(spark, folder):
     return parts.select("project_id", "number", F.sha2(F.col("part").cast("binary"), 256).alias("part_hash"))
 
 
+@register("written_manuscripts", _CHAPTERS + """,
+clash AS (SELECT DISTINCT project_id FROM (SELECT project_id FROM chapters GROUP BY project_id, number HAVING count(*) > 1)),
+kept AS (SELECT *, lpad(CAST(number AS VARCHAR), 3, '0') || '화' AS prefix FROM chapters WHERE project_id NOT IN (SELECT project_id FROM clash) AND text <> '')
+SELECT project_id || '(' || min(number) || '~' || max(number) || '화).txt' AS file_name,
+  sha256(string_agg(prefix || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY number) || chr(10)) AS content_hash
+FROM kept GROUP BY project_id""")
+def written_manuscripts(spark, folder):
+    # written by ranges of chapters, read back, each manuscript's files one after the other
+    path = shared_folder(spark)
+    write_manuscript_parts(M.manuscript_rows(_chapters(spark, folder), titles=True, skip_empty=True), path)
+    files = read_manuscript_files(spark, path).groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("file", "content"))).alias("files"))
+    whole = F.array_join(F.col("files.content"), "")
+    return files.select("file_name", F.sha2(whole.cast("binary"), 256).alias("content_hash"))
+
+
 @register("missing_chapters", _CHAPTERS + """
 SELECT p.project_id, CAST(n AS BIGINT) AS number FROM (SELECT DISTINCT project_id FROM chapters) p, range(1, 11) r(n)
 WHERE NOT EXISTS (SELECT 1 FROM chapters c WHERE c.project_id = p.project_id AND c.number = n)""")

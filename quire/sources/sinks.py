@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions.names import ROOT_KEY, TOP, TRASH, parent_path, stored_name
 from quire.operators.ordered import with_row_number
+from quire.session import durable
 
 
 def tree_order_entries(nodes: DataFrame, top: str = TOP, trash: str = f"{TOP}/{TRASH}") -> DataFrame:
@@ -50,6 +55,102 @@ def write_manuscript(manuscripts: DataFrame, path: str) -> None:
     ).text(path)
 
 
+def write_manuscript_parts(parts: DataFrame, path: str) -> None:
+    """The same folders from ``file_name, number, part``, a row per chapter.
+
+    Rows are dealt by range and sorted, so that a manuscript of any size is
+    written by several tasks, each file a run of its chapters; file names
+    sort as the runs do. One commit makes all of it appear. As each row ends
+    with a newline, a part begins with what its separator has beyond that.
+    """
+    ranged = parts.repartitionByRange("file_name", "number").sortWithinPartitions("file_name", "number")
+    ranged.select("file_name", F.col("part").alias("value")).write.mode("overwrite").partitionBy("file_name").text(path)
+
+
+def read_manuscript_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file_name, file, content`` of each file; a manuscript's files follow one another by ``file``."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select("file_name", F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+
+
 def append_ledger(rows: DataFrame, path: str, partition: str = "project_id") -> None:
     """Add rows to the ledger. Existing files are never rewritten."""
     rows.write.mode("append").partitionBy(partition).parquet(path)
+
+
+# --- insert-only tables ---------------------------------------------------------------
+
+
+def insert_only(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Offer rows to an insert-only table: ``keys, outcome``, a row per key offered.
+
+    A key that is new is ``inserted``; one that is there with equal columns is
+    ``present``; one that is there with others, or comes with different ones
+    in the same offer, is ``refused``. Rows are staged as files of their own,
+    then one entry in the manifest makes them part of the table, so that an
+    offer that fails adds nothing and may be made again. Entries are numbered;
+    who finds the next number taken judges its offer anew.
+    """
+    spark = rows.sparkSession
+    columns = sorted(c for c in rows.columns if c not in keys)
+    payload = F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    offered = durable(rows.withColumn("_payload", payload))
+    kinds = offered.groupBy(*keys).agg(F.min("_payload").alias("_low"), F.max("_payload").alias("_high"))
+    while True:
+        version = _last_version(spark, path)
+        known = _committed(spark, path, version, offered.schema)
+        stored = known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_payload").alias("_stored"))
+        same = None
+        for k in keys:
+            part = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+            same = part if same is None else same & part
+        outcome = (
+            F.when(F.col("_low") != F.col("_high"), "refused")
+            .when(F.col("_stored").isNull(), "inserted")
+            .when(F.col("_stored") == F.col("_low"), "present")
+            .otherwise("refused")
+        )
+        judged = durable(kinds.join(stored, same, "left").withColumn("outcome", outcome).select(*keys, "outcome"))
+        fresh = judged.where("outcome = 'inserted'").drop("outcome")
+        if fresh.isEmpty():
+            return judged
+        batch = uuid.uuid4().hex
+        renamed = fresh.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+        offered.join(renamed, same, "left_semi").dropDuplicates(keys).write.parquet(f"{path}/rows/batch={batch}")
+        try:
+            entry = spark.createDataFrame([(batch,)], "batch string").coalesce(1)
+            entry.write.mode("error").parquet(f"{path}/manifest/version={version + 1}")
+            return judged
+        except AnalysisException as taken:
+            if taken.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """``batch, version`` of the manifest; none where there is no table yet."""
+    try:
+        return spark.read.schema("batch string, version bigint").parquet(f"{path}/manifest")
+    except AnalysisException as none:
+        if none.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "batch string, version bigint")
+
+
+def _last_version(spark: SparkSession, path: str) -> int:
+    return _entries(spark, path).agg(F.max("version")).first()[0] or 0
+
+
+def _committed(spark: SparkSession, path: str, version: int, schema: StructType) -> DataFrame:
+    if not version:
+        return spark.createDataFrame([], schema)
+    batches = _entries(spark, path).where(F.col("version") <= version).select("batch")
+    # staged files that no entry names are not part of the table
+    own = StructType([*schema.fields, StructField("batch", StringType())])
+    staged = spark.read.schema(own).parquet(f"{path}/rows")
+    return staged.join(batches, "batch", "left_semi").drop("batch")
+
+
+def read_inserted(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an insert-only table."""
+    entries = _entries(spark, path)
+    return spark.read.parquet(f"{path}/rows").join(entries.select("batch"), "batch", "left_semi").drop("batch", "_payload")

@@ -215,3 +215,45 @@ def test_restore_candidates(spark):
     docs = spark.createDataFrame([("d", "p", "now", 4)], "document_id string, project_id string, text string, generation bigint")
     out = rows(L.restore_candidates(snaps, contents, docs).select("backup_id", "row_kind", "row_hash", "row_generation"))
     assert out == [("b1", "beforeRestore", hashlib.sha256(b"now").hexdigest(), 4), ("b1", "restored", digest, 5)]
+
+
+def test_insert_only_table(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), "k long, part string, v string, w long"
+    offer = lambda rows: sorted((r.k or 0, r.part, r.outcome) for r in sinks.insert_only(spark.createDataFrame(rows, schema), path, ["k", "part"]).collect())
+    held = lambda: sorted((r.k or 0, r.part, r.v) for r in sinks.read_inserted(spark, path).collect())
+    first = [(1, "a", "x", 1), (2, "a", "x", None), (2, "a", "x", None), (3, "a", "x", 1), (3, "a", "y", 1), (None, "a", None, 1)]
+    assert offer(first) == [(0, "a", "inserted"), (1, "a", "inserted"), (2, "a", "inserted"), (3, "a", "refused")]
+    assert offer(first) == [(0, "a", "present"), (1, "a", "present"), (2, "a", "present"), (3, "a", "refused")]
+    assert held() == [(0, "a", None), (1, "a", "x"), (2, "a", "x")]
+    assert offer([(1, "a", "other", 1), (1, "b", "x", 1), (2, "a", "x", 0)]) == [(1, "a", "refused"), (1, "b", "inserted"), (2, "a", "refused")]
+    # files that no manifest entry names are not part of the table
+    spark.createDataFrame([(9, "z", "x", 1, "p")], schema + ", _payload string").write.parquet(f"{path}/rows/batch=left")
+    assert held() == [(0, "a", None), (1, "a", "x"), (1, "b", "x"), (2, "a", "x")]
+    # a manifest number taken meanwhile: the offer is judged again
+    real, calls = sinks._last_version, []
+    try:
+        sinks._last_version = lambda s, p: calls.append(1) or (real(s, p) - 1 if len(calls) == 1 else real(s, p))
+        assert offer([(1, "b", "x", 1), (5, "c", "x", 1)]) == [(1, "b", "present"), (5, "c", "inserted")]
+        assert len(calls) == 2
+    finally:
+        sinks._last_version = real
+    assert sum(1 for r in held() if r[:2] == (1, "b")) == 1
+
+
+def test_manuscript_of_many_parts(spark, tmp_path):
+    from quire.plans import manuscript as M
+
+    path = str(tmp_path / "books")
+    chapters = spark.range(1, 401).selectExpr("if(id <= 300, 'p', 'q') as project_id", "id as number", "concat('text ', id, '\\nmore') as text", "'t' as prefix")
+    clash = spark.createDataFrame([("r", 1, "x", "t"), ("r", 1, "y", "t")], "project_id string, number long, text string, prefix string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_manuscript_parts(M.manuscript_rows(chapters.union(clash)), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {}
+    for r in sorted(sinks.read_manuscript_files(spark, path).collect(), key=lambda r: r.file):
+        got[r.file_name] = got.get(r.file_name, "") + r.content
+    assert len(sinks.read_manuscript_files(spark, path).where("file_name like 'p%'").collect()) > 1
+    text = lambda low, high: "\n\n".join(f"text {i}\nmore" for i in range(low, high)) + "\n"
+    assert got == {"p(1~300화).txt": text(1, 301), "q(301~400화).txt": text(301, 401)}
