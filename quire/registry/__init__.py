@@ -13,6 +13,7 @@ from quire.registry import (  # noqa: F401  (each module registers its queries)
     manuscripts,
     names,
     relational,
+    roundtrips,
     streams,
     windows,
 )

@@ -169,16 +169,19 @@ def path_columns(spark, folder):
     )
 
 
-_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
 
-@register("derived_ids", f"""
-WITH digests AS (SELECT page_id, sha1(unhex(replace('{_NAMESPACE}', '-', '')) || encode('folder:' || url)) AS d FROM pages)
-SELECT page_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-'
-  || substr('89ab', (instr('0123456789abcdef', substr(d, 17, 1)) - 1) % 4 + 1, 1) || substr(d, 18, 3)
-  || '-' || substr(d, 21, 12) AS folder_id, true AS canonical FROM digests""")
+def uuid5_sql(name: str) -> str:
+    """A version-5 identifier below the namespace, in SQL."""
+    d = f"sha1(unhex(replace('{NAMESPACE}', '-', '')) || encode({name}))"
+    variant = f"substr('89ab', (instr('0123456789abcdef', substr({d}, 17, 1)) - 1) % 4 + 1, 1)"
+    return f"substr({d}, 1, 8) || '-' || substr({d}, 9, 4) || '-5' || substr({d}, 14, 3) || '-' || {variant} || substr({d}, 18, 3) || '-' || substr({d}, 21, 12)"
+
+
+@register("derived_ids", f"SELECT page_id, {uuid5_sql("'folder:' || url")} AS folder_id, true AS canonical FROM pages")
 def derived_ids(spark, folder):
-    derived = uuid5(_NAMESPACE, F.concat(F.lit("folder:"), "url"))
+    derived = uuid5(NAMESPACE, F.concat(F.lit("folder:"), "url"))
     return _urls(spark, folder).select(
         "page_id", derived.alias("folder_id"), is_canonical_uuid(derived).alias("canonical")
     )
