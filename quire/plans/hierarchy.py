@@ -355,18 +355,19 @@ def infer_renames(remote: DataFrame, nodes: DataFrame, remote_documents: DataFra
 def apply_child_order(order: DataFrame, nodes: DataFrame) -> DataFrame:
     """New ``user_order`` of the children of every listed parent.
 
-    ``order``: ``parent_path, children array<string>``; ``nodes``: live
-    ``id, relative_path, user_order``. Listed names come first, the others by
+    ``order``: ``parent_path, children array<string>``, or ``parent_path,
+    position, name`` where lists are long; ``nodes``: live ``id,
+    relative_path, user_order``. Listed names come first, the others by
     their order and path. Below the top container numbering starts at the
     custom offset and leaves out manuscript and trash.
     """
-    listed = order.select("parent_path", F.posexplode("children").alias("_place", "_name")).select(
-        "parent_path", "_place", collision_key(F.col("_name")).alias("_key")
-    )
+    if "children" in order.columns:
+        order = order.select("parent_path", F.posexplode("children").alias("position", "name"))
+    listed = order.select("parent_path", F.col("position").alias("_place"), collision_key(F.col("name")).alias("_key"))
     listed = listed.groupBy("parent_path", "_key").agg(F.min("_place").alias("_place"))
     path = F.col("relative_path")
     children = nodes.withColumn("parent_path", parent_path(path)).join(
-        order.select("parent_path"), "parent_path", "left_semi"
+        order.select("parent_path").distinct(), "parent_path", "left_semi"
     )
     placed = children.withColumn("_key", collision_key(stored_name(path))).join(
         listed, ["parent_path", "_key"], "left"

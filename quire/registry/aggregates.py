@@ -99,22 +99,62 @@ def table_fingerprint(spark, folder):
     return A.table_fingerprint(table(spark, folder, "orders").withColumns(shown))
 
 
+#: Columns of the shared tables: i whole number, d double, s text, t time, v vector. The first one is the project's key.
+_COLUMNS = {
+    "region": "r_regionkey:i r_name:s",
+    "nation": "n_nationkey:i n_name:s n_regionkey:i",
+    "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:d c_mktsegment:s",
+    "supplier": "s_suppkey:i s_name:s s_nationkey:i s_acctbal:d",
+    "part": "p_partkey:i p_name:s p_brand:s p_type:s p_size:i p_retailprice:d",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s l_shipdate:t",
+    "events": "event_id:i ts:t user_id:i event_type:s value:d props:s",
+    "documents": "doc_id:i text:s lang:s source:s n_chars:i",
+    "embeddings": "vec_id:i embedding:v label:i",
+    "pages": "page_id:i url:s html:s",
+    "benchmark": "item_id:i text:s",
+    "labels": "doc_id:i quality:i toxic:i",
+    "conversations": "conv_id:i turn:i role:s text:s",
+}
+_SHOWN_SQL = {
+    "i": "CAST({0} AS VARCHAR)", "d": "CAST(CAST(floor({0} * 1000000) AS BIGINT) AS VARCHAR)", "s": "md5({0})",
+    "t": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')", "v": "array_to_string(list_transform({0}, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)), ',')",
+}
+
+
+def _shown(name: str, kind: str) -> F.Column:
+    column = F.col(name)
+    if kind == "d":
+        column = F.floor(column * 1_000_000)
+    elif kind == "s":
+        column = F.md5(column.cast("binary"))
+    elif kind == "t":
+        column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    elif kind == "v":
+        column = F.array_join(F.transform(column, lambda x: F.floor(256 * x.cast("double")).cast("string")), ",")
+    return F.coalesce(column.cast("string"), F.lit("-"))
+
+
+def _columns(name: str) -> list[list[str]]:
+    return [c.split(":") for c in _COLUMNS[name].split()]
+
+
+def _row_sql(name: str) -> str:
+    columns = _columns(name)
+    row = ", ".join(f"coalesce({_SHOWN_SQL[kind].format(c)}, '-')" for c, kind in columns)
+    project = f"{columns[0][0]} % 25"
+    return f"SELECT '{name}' AS table_name, md5(CAST(to_json({{'project_id': {project}, 'row': concat_ws('|', {row})}}) AS VARCHAR)) AS h FROM {name} WHERE {project} <> 7"
+
+
 @register("scoped_fingerprint", f"""
-WITH rows AS (
-  SELECT 'customers' AS table_name, md5(CAST(to_json({{'project_id': c_nationkey, 'name': c_name}}) AS VARCHAR)) AS h
-  FROM customer WHERE c_nationkey <> 7
-  UNION ALL
-  SELECT 'suppliers', md5(CAST(to_json({{'project_id': s_nationkey, 'name': s_name}}) AS VARCHAR))
-  FROM supplier WHERE s_nationkey <> 7)
+WITH rows AS ({' UNION ALL '.join(_row_sql(name) for name in _COLUMNS)})
 SELECT table_name, {_FINGERPRINT_SQL} FROM rows GROUP BY table_name""")
 def scoped_fingerprint(spark, folder):
     tables = {
-        "customers": table(spark, folder, "customer").select(
-            F.col("c_nationkey").alias("project_id"), F.col("c_name").alias("name")
-        ),
-        "suppliers": table(spark, folder, "supplier").select(
-            F.col("s_nationkey").alias("project_id"), F.col("s_name").alias("name")
-        ),
+        name: table(spark, folder, name).select(
+            (F.col(_columns(name)[0][0]) % 25).alias("project_id"), F.concat_ws("|", *[_shown(c, kind) for c, kind in _columns(name)]).alias("row")
+        )
+        for name in _COLUMNS
     }
     return A.scoped_fingerprint(tables, F.col("project_id") != 7)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions.names import parent_path
+from quire.operators.ordered import with_row_number
 from quire.plans import hierarchy as H
 from quire.registry.core import register
 from quire.registry.roles import CORPUS_SQL, NODE_PATHS_SQL, NODES_SQL, corpus, nodes, table
@@ -88,9 +89,8 @@ WHERE c.parent_path IN (SELECT parent_path FROM listed)""")
 def applied_child_order(spark, folder):
     tree = _with_paths(spark, folder)
     suppliers = tree.where((F.col("kind") == "folder") & (F.size(F.split("relative_path", "/")) == 3))
-    order = suppliers.groupBy(parent_path(F.col("relative_path")).alias("parent_path")).agg(
-        F.sort_array(F.collect_list("name"), asc=False).alias("children")
-    )
+    entries = suppliers.select(parent_path(F.col("relative_path")).alias("parent_path"), "name")
+    order = with_row_number(entries, ["parent_path"], ["-name"], "position")
     return H.apply_child_order(order, tree).select("id", "user_order")
 
 

@@ -53,9 +53,13 @@ def storage_keys(spark, folder):
     return K.with_storage_key(named).select("p_partkey", "storage_code", "storage_key")
 
 
-@register("storage_key_audit")
+@register("storage_key_audit", f"""WITH {_LINES_SQL},
+folded AS (SELECT source, replace(lower(nfc_normalize(name)), 'ß', 'ss') AS k FROM lines WHERE name IS NOT NULL),
+stripped AS (SELECT source, rtrim(k, ' .') AS storage_key FROM folded WHERE NOT regexp_matches(k, '[/\\\\\\x00-\\x1F\\x7F]'))
+SELECT source, storage_key, count(*) AS members FROM stripped
+WHERE storage_key <> '' AND split_part(storage_key, '.', 1) NOT IN ({', '.join(repr(r) for r in K.RESERVED)}) GROUP BY ALL HAVING count(*) > 1""")
 def storage_key_audit(spark, folder):
-    # no SQL twin: DuckDB has neither NFKC nor full case folding
+    # of the lines' characters only the sharp s differs between full case folding and lower case, and none under NFKC
     return K.storage_key_audit(_lines(spark, folder), ["source"])
 
 
@@ -247,7 +251,9 @@ def safe_names(spark, folder):
 @register("folder_plan", """
 WITH named AS (SELECT n_nationkey AS k, n_name, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey),
 local AS (SELECT *, CASE WHEN k < 5 THEN path WHEN k < 15 THEN 'old/' || n_name END AS here FROM named)
-SELECT 'n' || k AS folder_id, CASE WHEN k < 2 OR k = 24 THEN 'conflict' WHEN here IS NOT NULL THEN 'move' ELSE 'create' END AS action
+SELECT 'n' || k AS folder_id, CASE WHEN k < 2 OR k = 24 THEN 'conflict' WHEN here IS NOT NULL THEN 'move' ELSE 'create' END AS action,
+  CASE WHEN k < 2 THEN 'pendingLocalOperation' WHEN k = 24 THEN 'unknownParent' END AS reason,
+  CASE WHEN k >= 2 AND k < 24 THEN here END AS from_path, CASE WHEN k < 2 OR k = 24 THEN here ELSE path END AS path
 FROM local WHERE k < 2 OR (k NOT IN (20, 21) AND here IS DISTINCT FROM path)""")
 def folder_plan(spark, folder):
     key = F.col("n_nationkey")
@@ -271,8 +277,7 @@ def folder_plan(spark, folder):
         F.when(key < 5, F.concat_ws("/", "r_name", "n_name")).otherwise(F.concat(F.lit("old/"), "n_name")).alias("relative_path"),
     ).unionByName(regions.select(F.col("folder_id").alias("document_id"), F.lit("folder").alias("kind"), F.col("name").alias("relative_path")))
     blocked = nation.where("n_nationkey < 2").select(F.concat(F.lit("n"), key.cast("string")).alias("folder_id"))
-    plan = H.plan_folders(regions.unionByName(nations), local, blocked)
-    return plan.select("folder_id", "action")
+    return H.plan_folders(regions.unionByName(nations), local, blocked)
 
 
 @register("rule_decisions", f"""WITH {CHAPTERS_SQL.strip()},
