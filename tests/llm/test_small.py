@@ -21,18 +21,39 @@ def odd(spark):
     return spark.createDataFrame([(d, t, s, "en", 1, "x", "y") for d, t, s in ODD], SCHEMA)
 
 
+def _searched(ids, vectors, asked, k=5, floors=None):
+    """The operator's group search, and the share of pairs that it evaluated."""
+    pivots = topk.choose_pivots(vectors[: topk.PIVOT_SAMPLE])
+    tables = topk.distances(vectors, pivots), topk.distances(vectors[asked], pivots)
+    floors = np.full(len(asked), -(2**63)) if floors is None else floors
+    got, evaluated = topk.best_in_group(ids, vectors, ids[asked], vectors[asked], k, pivots, tables, floors)
+    for q in asked:
+        scores = vectors @ vectors[q]
+        want = sorted((-int(scores[i]), int(ids[i])) for i in range(len(ids)) if ids[i] != ids[q])[:k]
+        mine = got[got["query_id"] == ids[q]]
+        assert [(-s, i) for s, i in zip(mine["score"], mine["vec_id"], strict=True)] == want
+    return evaluated / (len(asked) * len(ids))
+
+
 def test_top_k_prunes_and_is_exact():
     draw = np.random.default_rng(1)
     vectors = draw.integers(-90, 90, (3000, 12)) // 20 * 20
     vectors[:40] = vectors[0]
-    ids = np.arange(3000)
-    got, evaluated = topk.best_in_group(ids, vectors, ids[:20], vectors[:20], 5)
-    for q in range(20):
-        scores = vectors @ vectors[q]
-        want = sorted((-int(scores[i]), int(i)) for i in ids if i != q)[:5]
-        mine = got[got["query_id"] == q]
-        assert [(-s, i) for s, i in zip(mine["score"], mine["vec_id"], strict=True)] == want
-    assert evaluated < 20 * 3000
+    assert _searched(np.arange(3000), vectors, np.arange(20)) < 0.5
+    # fewer dimensions than coordinates, zero vectors, one vector
+    flat = np.outer(draw.integers(-9, 9, 200), np.arange(6))
+    _searched(np.arange(200), flat, np.arange(30))
+    _searched(np.arange(3), np.zeros((3, 4), dtype=np.int64), np.arange(3))
+    huge = draw.integers(-(2**27), 2**27, (300, 5))
+    _searched(np.arange(300), huge, np.arange(20))
+
+
+def test_top_k_eliminates_most_pairs_of_embeddings(spark):
+    rows = topk.integers(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 256, "embedding").collect()
+    ids, vectors = np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows])
+    asked = np.flatnonzero(ids % 50 == 0)
+    share = _searched(ids, vectors, asked)
+    assert share < 0.1, share
 
 
 def test_top_k_rows(spark):
