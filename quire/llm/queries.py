@@ -31,7 +31,7 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return sentence_spans.without_repeats(table(spark, folder, "documents"))
+    return sentence_spans.without_repeats(table(spark, folder, "documents"), sentence_spans.PASSAGE)
 
 
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ run with fewer than LEAST_WORDS words grows by sentences until it has enough,
 once by those that follow and once by those before, so that a repeated stretch
 of SPAN sentences and LEAST_WORDS words is covered up to both its ends.
 The first run, by document id and place, stays; sentences covered by any other
-equal run go. A run that repeats inside its own document is told in place, so
+equal run go; asked for passages, those that make up a stretch of enough words. A run that repeats inside its own document is told in place, so
 each document sends a hash once.
 
 Sentences end at terminal punctuation before white space and at line ends.
@@ -29,6 +29,8 @@ from quire.session import durable
 
 #: Sentences of a run at least, and the words up to which it grows.
 SPAN, LEAST_WORDS = 2, 10
+#: Words from which on a stretch of covered sentences is a passage; shorter ones may be common phrases.
+PASSAGE = 25
 #: Characters that count as a word where a script has no spaces.
 DENSE = 2
 #: Words from which a sentence is cut, and one word in so many ends a piece.
@@ -146,9 +148,19 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return places.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def _long_enough(gone: np.ndarray, counts: np.ndarray, stretch: int) -> np.ndarray:
+    """The marked sentences that lie in a stretch of at least so many words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    out = np.zeros(len(gone), dtype=bool)
+    for first, last in edges.reshape(-1, 2):
+        out[first:last] = counts[first:last].sum() >= stretch
+    return out
+
+
+def without_repeats(docs: DataFrame, stretch: int = 0) -> DataFrame:
     """One row per document: doc_id, text without repeated spans, n_sentences, n_removed, removed.
 
+    A covered stretch goes if it has ``stretch`` words, by default any.
     ``removed`` lists the removed stretches as start:end in code points of the
     whole text. A null text stays null, an empty one empty. Repeated rows keep
     their spans among each other; an empty table gives no rows; further
@@ -160,10 +172,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
-                spans = _pieces(text or "")[0]
+                spans, _, counts = _pieces(text or "")
                 gone = np.zeros(len(spans), dtype=bool)
                 for p in places if places is not None else ():
                     gone[int(p) >> 32 : int(p) & 0xFFFFFFFF] = True
+                gone = _long_enough(gone, counts, stretch)
                 stretches: list[list[int]] = []
                 for i in np.flatnonzero(gone):
                     # white space behind a removed sentence goes with it

@@ -35,3 +35,13 @@ def test_repeated_stretches_are_covered_to_both_ends():
         covered = {i for s, e in zip(start, stop) if a <= s and e <= b for i in range(s, e)}
         whole = b - a >= 2 and sum(sizes[a:b]) >= sentence_spans.LEAST_WORDS
         assert covered == (set(range(a, b)) if whole else set())
+
+
+def test_passages_go_and_phrases_stay(spark):
+    phrase = "All rights reserved by the author of this text. Ask before you copy any of it."
+    passage = " ".join(f"In sentence number {i} the old sailor told another part of his story." for i in range(5))
+    texts = [f"Opening words of this one here.\n{phrase}\n{passage}\nIts end.", f"A different start for that one.\n{phrase}\nSome words between.\n{passage}\nLast words."]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sentence_spans.without_repeats(docs, sentence_spans.PASSAGE).collect()}
+    assert got[1]["text"] == texts[0] and got[2]["text"] == f"A different start for that one.\n{phrase}\nSome words between.\nLast words."
+    assert got[2]["n_removed"] == 5
