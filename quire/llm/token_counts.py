@@ -9,12 +9,15 @@ token at each position of it and the token counts there, relative to the
 current one. A transition on a byte carries the change of the token count.
 States and transitions are compiled when an input first reaches them.
 
-Texts are split first by the vocabulary's pattern. A place after a character
-and before white space always splits, whatever stands further off. That makes
-chunks of a text independent: the map of a chunk is its tokens between its
-first and last sure split, with the open ends as they are. Maps compose
-associatively, in a balanced scan; the composed map of a text gives its count.
-A text of one long word costs linear time as any other.
+Texts are split first by the vocabulary's pattern; words are counted by the
+transducer. A word of more than CHUNK bytes is cut into chunks, dealt over
+tasks. A chunk's state map takes the states that may be reached at its front
+to the state behind it and the tokens counted between. Which states those are
+the bytes in front of the chunk tell: runs that start at different places
+reach the same state after a few tokens. Maps compose associatively, in a
+balanced scan over the chunks of a word. Should a word's true state be missing
+from a map, the chunk is run from that state in a further round, so that the
+count is exact in any case.
 """
 
 from __future__ import annotations
@@ -27,25 +30,28 @@ from functools import cached_property, lru_cache
 
 import pandas as pd
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import PreTokenizer
 
+from quire.session import durable
+
 #: The split pattern of the vocabulary and its added token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ADDED = "<|endoftext|>"
 
-#: Characters of a chunk.
+#: Bytes of a word from which on it is cut, and of its chunks.
 CHUNK = 1 << 16
+#: Tokens of the longest kind that the bytes in front of a chunk hold, from two places on.
+LOOKBACK = (2, 5)
 #: Words whose count a worker remembers, and transitions it keeps compiled.
 WORDS, TRANSITIONS = 400_000, 1_500_000
 #: Tokens beyond which a document is over the limit.
 LIMIT = 1024
 
 _SPLIT = regex.compile(PATTERN)
-_FIRST = regex.compile(r"\S(?=\s)")
-_LAST = regex.compile(r"(?r)\S(?=\s)")
 #: From the first code point on that some Unicode version leaves unassigned.
 _LATE = re.compile("[\u0378-\U0010ffff]")
 
@@ -71,6 +77,13 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The longest end that can still grow, and at its places the last token and the relative count.
+State = tuple[bytes, tuple]
+START: State = (b"", ((-1, 0),))
+#: From the state before a chunk to the state behind it and its tokens.
+Map = dict[State, tuple[State, int]]
+
+
 class Transducer:
     """Counts the tokens of a word's bytes. Start state 0."""
 
@@ -92,9 +105,8 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        start = (b"", ((-1, 0),))
-        self.states = [start]
-        self.number = {start: 0}
+        self.states = [START]
+        self.number = {START: 0}
         self.step: dict[int, int] = {}
 
     def encode(self, word: bytes) -> list[int]:
@@ -173,18 +185,75 @@ class Transducer:
         self.step[state << 8 | byte] = packed
         return packed
 
-    def count(self, word: bytes) -> int:
-        """Tokens of the word; the compiled part is started anew once it is full."""
-        if len(self.step) > TRANSITIONS:
+    def run(self, state: State, data: bytes) -> tuple[State, int]:
+        """The state behind the bytes, and the tokens counted on the way."""
+        if len(self.step) > TRANSITIONS:  # the compiled part is started anew once it is full
             self.clear()
-        step, state, total = self.step, 0, 0
-        for byte in word:
-            packed = step.get(state << 8 | byte)
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.states)
+            self.states.append(state)
+        step, total = self.step, 0
+        for byte in data:
+            packed = step.get(at << 8 | byte)
             if packed is None:
-                packed = self._compile(state, byte)
-            state = packed >> 10
+                packed = self._compile(at, byte)
+            at = packed >> 10
             total += (packed & 1023) - 512
-        return total
+        return self.states[at], total
+
+    def count(self, word: bytes) -> int:
+        return self.run(START, word)[1]
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.id_of))
+
+    def state_map(self, chunk: bytes, before: bytes, first: bool) -> Map:
+        """From the states that the bytes before may lead to; from the start in a word's first chunk."""
+        if first:
+            return {START: self.run(START, chunk)}
+        entries = {self.run(START, before[-k * self.longest :])[0] for k in LOOKBACK}
+        return {state: self.run(state, chunk) for state in entries}
+
+
+def compose(a: Map, b: Map) -> Map:
+    """The map of two neighbours, for the entries whose exit the second one knows."""
+    return {entry: (b[exit_][0], n + b[exit_][1]) for entry, (exit_, n) in a.items() if exit_ in b}
+
+
+def composed(maps: list[Map]) -> Map:
+    """A balanced scan."""
+    while len(maps) > 1:
+        pairs = [compose(*maps[i : i + 2]) for i in range(0, len(maps) - 1, 2)]
+        maps = pairs + maps[len(pairs) * 2 :]
+    return maps[0]
+
+
+def missing(maps: list[Map]) -> tuple[int, State] | None:
+    """The first chunk whose map lacks the state that is reached at its front, and that state."""
+    state = START
+    for i, m in enumerate(maps):
+        if state not in m:
+            return i, state
+        state = m[state][0]
+    return None
+
+
+def chunks(word: bytes, size: int, longest: int) -> list[tuple[bytes, bytes]]:
+    """The chunks of a word, each with the bytes before it that decide its entry."""
+    reach = LOOKBACK[-1] * longest
+    return [(word[i : i + size], word[max(0, i - reach) : i]) for i in range(0, len(word), size)]
+
+
+def written(state: State) -> str:
+    """A state as text, the same in every worker."""
+    return json.dumps([state[0].hex(), state[1]])
+
+
+def read(text: str) -> State:
+    end, window = json.loads(text)
+    return bytes.fromhex(end), tuple(tuple(w) if w is not None else None for w in window)
 
 
 class _Words(dict):
@@ -200,10 +269,6 @@ class _Words(dict):
         return count
 
 
-#: The map of a chunk: (None, 0, text) without a sure split, else (head, count, tail).
-Map = tuple[str | None, int, str]
-
-
 class Counter:
     def __init__(self, path: str) -> None:
         self.path = path
@@ -213,52 +278,36 @@ class Counter:
     def _library(self) -> PreTokenizer:
         return Tokenizer.from_file(self.path).pre_tokenizer
 
-    def _part(self, text: str) -> int:
+    def _split(self, text: str) -> list[str]:
         if _LATE.search(text) and _unsure().search(text):
-            words = [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
-        else:
-            words = _SPLIT.findall(text)
-        return sum(map(self.words.__getitem__, words))
+            return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
+        return _SPLIT.findall(text)
 
-    def between(self, text: str) -> int:
-        """Tokens of a text whose ends are sure splits."""
+    def parts(self, text: str, chunk: int = CHUNK) -> tuple[int, list[bytes]]:
+        """Tokens of the added token and of all words up to a size, and the longer words."""
         if len(self.words) > WORDS:
             self.words.clear()
-        if ADDED not in text:
-            return self._part(text)
-        parts = text.split(ADDED)
-        return len(parts) - 1 + sum(map(self._part, parts))
-
-    def chunk_map(self, text: str) -> Map:
-        first = _FIRST.search(text)
-        if first is None:
-            return None, 0, text
-        last = _LAST.search(text).end()
-        return text[: first.end()], self.between(text[first.end() : last]), text[last:]
-
-    def compose(self, a: Map, b: Map) -> Map:
-        if a[0] is None and b[0] is None:
-            # a split may fall on the seam itself
-            joint = a[2] + b[2]
-            return self.chunk_map(joint) if _FIRST.search(a[2][-1:] + b[2][:1]) else (None, 0, joint)
-        if a[0] is None:
-            head = self.chunk_map(a[2] + b[0])
-            return (head[2], b[1], b[2]) if head[0] is None else (head[0], head[1] + self.between(head[2]) + b[1], b[2])
-        if b[0] is None:
-            tail = self.chunk_map(a[2] + b[2])
-            return (a[0], a[1], tail[2]) if tail[0] is None else (a[0], a[1] + self.between(tail[0]) + tail[1], tail[2])
-        return a[0], a[1] + self.between(a[2] + b[0]) + b[1], b[2]
+        pieces = text.split(ADDED) if ADDED in text else [text]
+        total, long = len(pieces) - 1, []
+        for piece in pieces:
+            words = self._split(piece)
+            if len(piece) * 4 > chunk:
+                long += [w for w in (word.encode() for word in words if len(word) * 4 > chunk) if len(w) > chunk]
+                words = [w for w in words if len(w) * 4 <= chunk or len(w.encode()) <= chunk]
+            total += sum(map(self.words.__getitem__, words))
+        return total, long
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        """Tokens of a text: a scan over the maps of its chunks."""
-        if len(text) <= chunk:
-            return self.between(text)
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        while len(maps) > 1:
-            pairs = [self.compose(*maps[i : i + 2]) for i in range(0, len(maps) - 1, 2)]
-            maps = pairs + maps[len(pairs) * 2 :]
-        head, count, tail = maps[0]
-        return count + self.between(tail) + (0 if head is None else self.between(head))
+        """Tokens of a text in one place, its long words by their chunks."""
+        total, long = self.parts(text, chunk)
+        transducer = self.words.transducer
+        for word in long:
+            pieces = chunks(word, chunk, transducer.longest)
+            maps = [transducer.state_map(c, before, i == 0) for i, (c, before) in enumerate(pieces)]
+            while lack := missing(maps):
+                maps[lack[0]][lack[1]] = transducer.run(lack[1], pieces[lack[0]][0])
+            total += composed(maps)[START][1]
+        return total
 
 
 @lru_cache(maxsize=2)
@@ -267,25 +316,75 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     A null or empty text has no bytes and no tokens. Repeated rows, null ids
     and further columns need nothing: each row stands for itself, and an empty
-    table gives none. No shuffle; a worker holds the vocabulary and bounded
-    tables.
+    table gives none. Only chunks of words beyond ``chunk`` bytes move; a
+    worker holds the vocabulary and bounded tables.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = counter(path)
+        tokens, row = counter(path), TaskContext.get().partitionId() << 40
+        longest = tokens.words.transducer.longest
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "n_bytes": [len(t.encode()) for t in texts],
-                "n_tokens": [tokens.count(t) for t in texts],
-            })
+            out = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                total, long = tokens.parts(text or "", chunk)
+                out.append((row, doc, len((text or "").encode()), total, None, None, None, None))
+                for w, word in enumerate(long):
+                    out += [(row, None, None, None, w, i, c, before) for i, (c, before) in enumerate(chunks(word, chunk, longest))]
+                row += 1
+            found = pd.DataFrame(out, columns=["row", "doc_id", "n_bytes", "n_tokens", "word", "part", "chunk", "before"], dtype=object)
+            yield found
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.select("doc_id", "text").mapInPandas(count, f"doc_id {kind}, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    schema = f"row long, doc_id {kind}, n_bytes long, n_tokens long, word int, part int, chunk binary, before binary"
+    parts = durable(docs.select("doc_id", "text").mapInPandas(count, schema))
+    counted, cut = parts.where("part is null"), parts.where("part is not null")
+    if not cut.isEmpty():
+        more = _by_chunks(cut, path).groupBy("row").agg(F.sum("tokens").alias("more"))
+        counted = counted.join(more, "row", "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce("more", F.lit(0)))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+_MAPS = "row long, word int, part int, entry string, exit string, tokens long"
+
+
+def _by_chunks(cut: DataFrame, path: str) -> DataFrame:
+    """(row, word, tokens) of words whose chunks lie in rows of their own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        transducer = counter(path).words.transducer
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.entry is None:
+                    found = transducer.state_map(r.chunk, r.before, r.part == 0)
+                else:
+                    found = {read(r.entry): transducer.run(read(r.entry), r.chunk)}
+                out += [(r.row, r.word, r.part, written(e), written(x), n) for e, (x, n) in found.items()]
+            yield pd.DataFrame(out, columns=["row", "word", "part", "entry", "exit", "tokens"])
+
+    def scan(group: pd.DataFrame) -> pd.DataFrame:
+        row, word = int(group["row"].iat[0]), int(group["word"].iat[0])
+        maps: list[Map] = [{} for _ in range(int(group["part"].max()) + 1)]
+        for r in group.itertuples(index=False):
+            maps[r.part][read(r.entry)] = (read(r.exit), int(r.tokens))
+        lack = missing(maps)
+        done = (row, word, composed(maps)[START][1], None, None) if lack is None else (row, word, None, lack[0], written(lack[1]))
+        return pd.DataFrame([done], columns=["row", "word", "tokens", "part", "entry"]).astype({"tokens": "Int64", "part": "Int32"})
+
+    # chunks of one word go to different tasks
+    dealt = cut.select("row", "word", "part", "chunk", "before", F.lit(None).cast("string").alias("entry"))
+    maps = durable(dealt.repartition("row", "word", "part").mapInPandas(run, _MAPS))
+    while True:
+        scanned = maps.groupBy("row", "word").applyInPandas(scan, "row long, word int, tokens long, part int, entry string")
+        scanned = durable(scanned)
+        open_ = scanned.where("tokens is null")
+        if open_.isEmpty():
+            return scanned.select("row", "word", "tokens")
+        asked = cut.join(open_.select("row", "word", "part", "entry"), ["row", "word", "part"])
+        found = asked.select("row", "word", "part", "chunk", "before", "entry").mapInPandas(run, _MAPS)
+        maps = durable(maps.unionByName(found))

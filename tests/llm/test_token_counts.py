@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quire.llm.token_counts import ADDED, Counter, Transducer, token_counts
+from quire.llm.token_counts import ADDED, START, Counter, Transducer, chunks, compose, composed, read, token_counts, written
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = [" ", "  ", "\n", "\t", "'s", "'", "a", "the", "ing", ADDED, "<|", "é", "漢", "9", "½", " ", "\x1c", "\x85", "\xa0", "!", "🙂", "　", "ſ", "\U0003eda6"]
@@ -74,3 +74,34 @@ def test_rows(spark, library):
     want = [(i, len((t or "").encode()), count(t or ""), count(t or "") > 1024) for i, t, _ in data]
     assert got == sorted(want, key=str)
     assert token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_state_maps_compose(mine):
+    transducer, draw = mine.words.transducer, random.Random(7)
+    for _ in range(60):
+        word = "".join(draw.choice(["a", "the", "ing", "xq", "é", "漢", "=", "ab"]) for _ in range(draw.randrange(20, 400))).encode()
+        pieces = chunks(word, draw.randrange(1, 60), transducer.longest)
+        maps = [transducer.state_map(c, before, i == 0) for i, (c, before) in enumerate(pieces)]
+        whole = composed(maps)
+        assert whole[START] == transducer.run(START, word)
+        third = draw.randrange(len(maps) + 1)  # associative
+        if 0 < third < len(maps):
+            assert compose(composed(maps[:third]), composed(maps[third:])) == whole
+        assert all(read(written(e)) == e for m in maps for e in m)
+
+
+def test_long_words_over_several_tasks(spark, library):
+    draw = random.Random(8)
+    letters = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    data = [(1, letters), (1, letters), (None, "say " + letters[:150_000] + " twice " + letters[:99_999] + ADDED + "é" * 70_000), (2, "short"), (3, "=" * 200_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    want = sorted(((i, len(t.encode()), count(t), count(t) > 1024) for i, t in data), key=str)
+    assert sorted(map(tuple, token_counts(docs, PATH, chunk=10_000).collect()), key=str) == want
+
+
+def test_states_that_the_front_does_not_tell(spark, library, monkeypatch):
+    monkeypatch.setattr("quire.llm.token_counts.LOOKBACK", (0, 0))  # every chunk is first run from a wrong state
+    monkeypatch.setattr(Transducer, "state_map", lambda self, chunk, before, first: {START: self.run(START, chunk)})
+    text = "internationalisation" * 30
+    assert Counter(PATH).count(text, 7) == len(library.encode(text, add_special_tokens=False).ids)
