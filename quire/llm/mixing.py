@@ -23,8 +23,9 @@ from quire.session import durable
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Largest target of a source, and largest use of a document, in its sizes.
 MOST = 3
-#: Buckets of keys within a source.
-BUCKETS = 4096
+#: Buckets of keys within a source, evenly over these logarithms of keys: one
+#: holds at most a few times its share of the rows, whatever their weights.
+BUCKETS, LOW, HIGH = 65_536, -12.0, 8.0
 #: Smallest quality weight.
 LEAST_WEIGHT = 0.05
 
@@ -51,7 +52,8 @@ def measured(docs: DataFrame) -> DataFrame:
     """
     weight = F.greatest(F.lit(LEAST_WEIGHT), F.col("_w.kinds") / F.greatest(F.col("_w.size"), F.lit(1)))
     key = -F.log(_u(F.col("doc_id"))) / weight
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-key)) * BUCKETS)).cast("int")
+    even = F.floor((F.log(key) - LOW) / (HIGH - LOW) * BUCKETS)
+    bucket = F.least(F.greatest(even, F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
     facts = F.struct(F.col("_w.size").alias("size"), key.alias("key"), bucket.alias("bucket"), F.xxhash64("text").alias("text"))
     return docs.withColumn("_w", _words("text")).withColumn("_m", facts).drop("_w")
 
