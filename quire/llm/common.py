@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Groups that one key is dealt over before its rows meet.
-SALTS = 1024
+#: Groups that one key is dealt over before its rows meet, level by level.
+SALTS = (1024, 32, 1)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,14 +44,16 @@ def uniform(*parts: Column) -> Column:
 def smallest_draws(df: DataFrame, key: str, size: int, draw: str, *ties: str) -> DataFrame:
     """At most ``size`` rows of each key, those with the smallest ``draw``, a hash.
 
-    A key is cut within salts first, so that no task sees more than its share
-    of a large key and the last one at most ``SALTS * size`` rows.
+    A key is cut within salts first, whose groups meet level by level, so that
+    no task sees more than its share of a large key and none after the first
+    more than 32 times ``size`` rows of it.
     """
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(draw), F.lit(SALTS)))
-    for keys in ([key, "_salt"], [key]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(draw, *ties))
+    dealt = df
+    for salts in SALTS:
+        salt = F.pmod(F.xxhash64(draw), F.lit(salts))
+        place = F.row_number().over(Window.partitionBy(key, salt).orderBy(draw, *ties))
         dealt = dealt.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
-    return dealt.drop("_salt")
+    return dealt
 
 
 def smallest_hashes(df: DataFrame, key: str, size: int, *hashed: str) -> DataFrame:
