@@ -37,6 +37,8 @@ SEQUENCE, STRETCH = 60, (6, 30)
 STEPS, SEQUENCES, RATE, DECAY = 160, 48, 0.25, 1e-5
 #: Occurrences in labelled documents from which a word enters a lexicon, and its share in one language.
 LEXICON_COUNT, LEXICON_SHARE = 2, 0.9
+#: Letters from which on a word's features are added up in blocks of places.
+LONG, BLOCK = 4096, 1 << 18
 #: Words of a chunk, and characters of documents that are labelled together.
 CHUNK, TOGETHER = 64, 3_000_000
 
@@ -78,6 +80,19 @@ def _features_of_width(words: list[str], width: int) -> np.ndarray:
     return np.concatenate(out, axis=1).astype(np.int32)
 
 
+def _blocks_of_features(word: str) -> Iterator[np.ndarray]:
+    """The same features of one word of any length, a block of places at a time."""
+    framed = np.concatenate([[1], np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32), [2]]).astype(np.uint32)
+    for begin in range(0, len(framed) - 1, BLOCK):
+        part = framed[begin : begin + BLOCK + 2]
+        yield _hash([part[: min(BLOCK, len(part) - 1)], part[1 : BLOCK + 1]], 1)
+        if len(part) > 2:
+            yield _hash([part[:-2], part[1:-1], part[2:]], 2)
+    for size in (1, 2, 3):
+        yield _hash([framed[1 + k : 2 + k] for k in range(size)], 2 + size)
+        yield _hash([framed[-1 - k : len(framed) - k] for k in range(1, size + 1)], 6 + size)
+
+
 @dataclass
 class Field:
     languages: list[str]
@@ -89,8 +104,12 @@ class Field:
         """Scores of distinct words, by bands of length."""
         out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
         length = np.array([len(w) for w in words])
+        for i in np.flatnonzero(length > LONG):
+            for features in _blocks_of_features(words[i]):
+                out[i] += self.weights[features].sum(axis=0)
         band = 2 ** np.ceil(np.log2(np.maximum(length, 8))).astype(int)
-        for width in np.unique(band):
+        band[length > LONG] = 0
+        for width in np.unique(band[band > 0]):
             place = np.flatnonzero(band == width)
             step = max(1, 200_000 // int(width))
             for begin in range(0, len(place), step):

@@ -200,3 +200,16 @@ def test_chunks_equal_one_pass(monkeypatch):
 
 def test_form():
     assert re.fullmatch(r"Aa#/\d", quality.form("Unter###"))
+
+
+def test_very_long_words_have_the_same_features(monkeypatch):
+    draw = np.random.default_rng(4)
+    field = language.Field(["a", "b"], draw.standard_normal((language.HASHED + 2, 2)).astype(np.float32), np.zeros((2, 2), dtype=np.float32), {})
+    field.weights[0] = 0
+    words = ["".join(draw.choice(list("abcdeäöü漢ß"), n)) for n in (4, 5, 6, 7, 8, 13, 14, 15, 400)]
+    want = field.word_scores(words)
+    monkeypatch.setattr(language, "LONG", 3)
+    monkeypatch.setattr(language, "BLOCK", 7)
+    assert np.abs(field.word_scores(words) - want).max() < 1e-3
+    monkeypatch.undo()
+    assert field.expected(["abcde" * 400_000]).shape == (1, 2)
