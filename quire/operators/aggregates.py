@@ -198,7 +198,3 @@ def import_summary(entries: DataFrame) -> DataFrame:
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct()
-
-
-def open_work(ops: DataFrame) -> DataFrame:
-    return unfinished(ops)

@@ -144,9 +144,6 @@ def match_disk_entries(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
-def missing_from(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
-    return wanted.join(present.select(*keys), keys, "left_anti")
-
 
 def order_diff(remote: DataFrame, local: DataFrame) -> DataFrame:
     """Names that vanished or were added under each parent, by collision key."""
@@ -235,7 +232,3 @@ def placement_violations(nodes: DataFrame, top: str) -> DataFrame:
         F.col("id").alias("parent_id")
     )
     return nodes.where(F.col("kind") == "text").join(tops, "parent_id", "left_semi")
-
-
-def as_key(column: Column) -> Column:
-    return F.lower(column)

@@ -171,9 +171,3 @@ def classify_folder_change(ledger: DataFrame, key: str, order: list[str]) -> Dat
         .otherwise("update")
     )
     return marked.withColumn("kind", kind).drop(*before)
-
-
-def open_segments(saves: DataFrame, keys: list[str], order: list[str], certain: str) -> DataFrame:
-    """Number the stretches that begin at a row flagged ``certain``."""
-    flagged = saves.withColumn("_one", F.col(certain).cast("long"))
-    return with_running(flagged, keys, order, {"segment": ("sum", "_one")}).drop("_one")

@@ -733,10 +733,6 @@ def restore_candidates(snapshots: DataFrame, contents: DataFrame, documents: Dat
     return fit.select("backup_id", "document_id", F.inline(rows))
 
 
-def valid_ledger_rows(ledger: DataFrame) -> DataFrame:
-    """Rows whose path and revisions a ledger may hold."""
-    return ledger.where(valid_relative_path(F.col("relative_path")) & (F.col("revision") >= 1))
-
 
 def numbered_requests(requests: DataFrame, order: list[str]) -> DataFrame:
     """Arrival numbers per document, for the replays."""

@@ -236,6 +236,20 @@ def debounced_bursts_query(spark, folder):
     return debounced_bursts(changes, "6 hours")
 
 
+@register("payload_digest_audit", """
+WITH payloads AS (SELECT event_id, event_type, CASE event_type WHEN 'view' THEN '{"b": 1, "a": ' || event_id || '}' WHEN 'error' THEN '{"a": 1.5}' ELSE '{"a": ' || event_id || '}' END AS payload FROM events)
+SELECT event_id, CASE event_type WHEN 'error' THEN 'INVALID_ARGUMENT' ELSE 'CONTRACT_DIGEST_MISMATCH' END AS problem FROM payloads
+WHERE event_type = 'error' OR (event_type = 'click' AND event_id % 2 = 0)""")
+def payload_digest_audit(spark, folder):
+    kind, key = F.col("event_type"), F.col("event_id").cast("string")
+    plain = F.concat(F.lit('{"a": '), key, F.lit("}"))
+    payload = F.when(kind == "view", F.concat(F.lit('{"b": 1, "a": '), key, F.lit("}"))).when(kind == "error", '{"a": 1.5}').otherwise(plain)
+    canonical = F.when(kind == "view", F.concat(F.lit('{"a":'), key, F.lit(',"b":1}'))).otherwise(F.concat(F.lit('{"a":'), key, F.lit("}")))
+    stated = F.when((kind == "click") & (F.col("event_id") % 2 == 0), "0").otherwise(F.sha2(canonical.cast("binary"), 256))
+    intents = table(spark, folder, "events").select("event_id", payload.alias("payload"), stated.alias("payload_sha256"))
+    return C.payload_digest_audit(intents).select("event_id", "problem")
+
+
 @register("safe_names", """
 WITH asked AS (SELECT p_partkey, p_brand, p_name, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS turn FROM part WHERE p_size > 10),
 held AS (SELECT DISTINCT p_brand, lower(p_name) AS k FROM part WHERE p_size <= 10)

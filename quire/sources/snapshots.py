@@ -56,14 +56,6 @@ def validate_snapshot(snapshot: DataFrame) -> DataFrame:
     return snapshot.orderBy("document_id")
 
 
-def folder_faults(folders: DataFrame) -> DataFrame:
-    fault = (
-        F.when(F.col("revision") <= 0, "revision")
-        .when(F.col("parent_folder_id") == F.col("folder_id"), "parent")
-        .when(~valid_folder_name(F.col("name")), "name")
-    )
-    return folders.withColumn("fault", fault).where("fault IS NOT NULL").select("folder_id", "fault")
-
 
 BACKUP_SCHEMA = (
     "backup_id string, project_id string, document_id string, relative_path string, created_at timestamp, "
@@ -71,16 +63,30 @@ BACKUP_SCHEMA = (
 )
 
 
-def read_backup_inventory(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Backup metadata of several folders, one row per id; unreadable files are skipped."""
+def read_backups(spark: SparkSession, folders: list[str]) -> dict[str, DataFrame]:
+    """Backup metadata of several folders: the ``inventory``, one row per id, and the ``rejects``.
+
+    A file that is no JSON, or an entry without an id, is a reject with its file.
+    """
     raw = (
-        spark.read.schema(BACKUP_SCHEMA)
-        .option("mode", "DROPMALFORMED")
+        spark.read.schema(f"{BACKUP_SCHEMA}, _corrupt_record string")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("pathGlobFilter", "*.json")
         .option("multiLine", "true")
         .json(folders)
+        .withColumn("source_file", F.input_file_name())
     )
-    return distinct_backups(raw.where(F.col("backup_id").isNotNull()))
+    sound = F.col("_corrupt_record").isNull() & F.col("backup_id").isNotNull()
+    return {
+        "inventory": distinct_backups(raw.where(sound).drop("_corrupt_record", "source_file")),
+        "rejects": raw.where(~sound).select("source_file", "_corrupt_record"),
+    }
+
+
+def read_backup_inventory(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The inventory alone."""
+    return read_backups(spark, folders)["inventory"]
 
 
 _FOLDER = "struct<folder_id:string,parent_folder_id:string,name:string,revision:bigint,is_deleted:boolean,updated_at:timestamp,last_operation_id:string>"

@@ -65,6 +65,9 @@ def test_backup_inventory(spark, tmp_path):
     (b / "2.json").write_text("{broken")
     out = R.read_backup_inventory(spark, [str(a), str(b)]).collect()
     assert [(r.backup_id, r.is_pinned) for r in out] == [("1", True)]
+    (b / "3.json").write_text(json.dumps({**base, "is_pinned": True}))
+    rejects = R.read_backups(spark, [str(a), str(b)])["rejects"].collect()
+    assert sorted((r.source_file.rsplit("/", 1)[1], r._corrupt_record) for r in rejects) == [("2.json", "{broken"), ("3.json", None)]
 
 
 def test_server_snapshot_and_incident(spark, tmp_path):
