@@ -127,9 +127,11 @@ def blocked_deletes(spark, folder):
 gone AS (SELECT path FROM node_paths WHERE id IN ('n1', 'n2')),
 stay AS (SELECT id, parent_id, path FROM node_paths n WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE n.path = g.path OR starts_with(n.path, g.path || '/'))),
 ups AS (SELECT 'c' || c_custkey AS id, 'n' || CAST(floor(abs(c_acctbal) / 500) AS BIGINT) AS parent_id,
-  'upserted/' || c_custkey AS path FROM customer WHERE c_acctbal < 0),
-ok AS (SELECT * FROM ups WHERE parent_id IN (SELECT id FROM stay))
-SELECT * FROM ok UNION ALL SELECT * FROM stay WHERE id NOT IN (SELECT id FROM ok)""")
+  'upserted/' || c_custkey // 4 AS path FROM customer WHERE c_acctbal < 0),
+judged AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY path) > 1 THEN 'duplicatePath' WHEN parent_id NOT IN (SELECT id FROM stay) THEN 'missingParent' END AS code FROM ups),
+ok AS (SELECT * EXCLUDE (code) FROM judged WHERE code IS NULL)
+SELECT *, NULL AS code FROM ok UNION ALL SELECT *, NULL FROM stay WHERE id NOT IN (SELECT id FROM ok)
+UNION ALL SELECT id, NULL, NULL, code FROM judged WHERE code IS NOT NULL""")
 def applied_node_changes(spark, folder):
     tree = _with_paths(spark, folder).withColumn("project_id", F.lit(1)).select(
         "id", "project_id", "kind", "parent_id", "relative_path"
@@ -140,11 +142,11 @@ def applied_node_changes(spark, folder):
         F.lit(1).alias("project_id"),
         F.lit("text").alias("kind"),
         F.concat(F.lit("n"), F.floor(F.abs("c_acctbal") / 500).cast("string")).alias("parent_id"),
-        F.concat(F.lit("upserted/"), key).alias("relative_path"),
+        F.concat(F.lit("upserted/"), F.expr("c_custkey div 4").cast("string")).alias("relative_path"),
     )
     removed = tree.where(F.col("id").isin("n1", "n2")).select("id")
-    after, _ = H.apply_node_changes(tree, upserts, removed)
-    return after.select("id", "parent_id", F.col("relative_path").alias("path"))
+    after, rejected = H.apply_node_changes(tree, upserts, removed)
+    return after.select("id", "parent_id", F.col("relative_path").alias("path")).unionByName(rejected, allowMissingColumns=True)
 
 
 @register("tree_order_document", f"""WITH {NODE_PATHS_SQL}

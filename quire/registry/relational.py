@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import names as N
 from quire.operators import ordering as O, relational as R, windows as W
-from quire.operators.ordered import newest
+from quire.operators.ordered import newest, with_row_number
 from quire.registry.core import register
 from quire.registry.roles import (
     CORPUS_SQL,
@@ -22,6 +22,7 @@ from quire.registry.roles import (
     operations,
     table,
 )
+from quire.session import durable
 
 
 @register("open_conflicts", f"""WITH {OPERATIONS_SQL.strip()}
@@ -369,21 +370,24 @@ def natural_order(spark, folder):
 
 
 @register("binder_order", """
-WITH items AS (SELECT p_partkey AS id, p_name AS display_name,
-    CASE p_brand WHEN 'Brand#1' THEN 'manuscript' WHEN 'Brand#2' THEN 'trash' WHEN 'Brand#3' THEN 'settings' END AS category,
-    CASE WHEN p_size > 40 THEN 1000000 + p_size ELSE p_size END AS user_order FROM part)
-SELECT id, CAST(CASE WHEN category = 'manuscript' THEN 0 WHEN category = 'trash' THEN 4 WHEN user_order >= 1000000 THEN 1
-  WHEN category IS NOT NULL THEN 2 ELSE 3 END AS BIGINT) AS band FROM items""")
+WITH items AS (SELECT p_partkey AS id, lpad(CAST(p_partkey * 7919 % 1000003 AS VARCHAR), 7, '0') AS display_name,
+    CASE p_brand WHEN 'Brand#1' THEN 'manuscript' WHEN 'Brand#2' THEN 'trash' WHEN 'Brand#3' THEN 'settings' WHEN 'Brand#4' THEN 'plot' END AS category,
+    CASE WHEN p_size > 40 THEN 1000000 + p_size ELSE p_size END AS user_order FROM part),
+banded AS (SELECT *, CAST(CASE WHEN category = 'manuscript' THEN 0 WHEN category = 'trash' THEN 4 WHEN user_order >= 1000000 THEN 1
+  WHEN category IS NOT NULL THEN 2 ELSE 3 END AS BIGINT) AS band FROM items)
+SELECT id, band, row_number() OVER (ORDER BY band, CASE WHEN band = 2 THEN CASE category WHEN 'settings' THEN 2 ELSE 1 END ELSE user_order END, display_name) AS place FROM banded""")
 def binder_order(spark, folder):
     brand, size = F.col("p_brand"), F.col("p_size")
     items = table(spark, folder, "part").select(
         F.col("p_partkey").alias("id"),
-        F.col("p_name").alias("display_name"),
-        F.when(brand == "Brand#1", "manuscript").when(brand == "Brand#2", "trash").when(brand == "Brand#3", "settings").alias("category"),
+        F.lpad((F.col("p_partkey") * 7919 % 1000003).cast("string"), 7, "0").alias("display_name"),
+        F.when(brand == "Brand#1", "manuscript").when(brand == "Brand#2", "trash").when(brand == "Brand#3", "settings").when(brand == "Brand#4", "plot").alias("category"),
         F.when(size > 40, size + 1_000_000).otherwise(size).alias("user_order"),
-        F.lit(1).alias("fixed_order"),
+        F.when(brand == "Brand#3", 2).otherwise(1).alias("fixed_order"),
     )
-    return O.binder_order(items).select("id", "band")
+    # the place of each row in the order it comes out
+    ordered = O.binder_order(items).select("id", "band", F.monotonically_increasing_id().alias("_out"), F.lit(1).alias("_all"))
+    return with_row_number(durable(ordered), ["_all"], ["_out"], "place").select("id", "band", "place")
 
 
 @register("trashed_projects", """
