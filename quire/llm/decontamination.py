@@ -27,7 +27,7 @@ from string import punctuation
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import bitmap, hits, whole
@@ -228,6 +228,27 @@ def consistent(windows: list[tuple[int, str, list[str], list[str]]]) -> tuple[li
     return [place for place, _ in kept], len({pair for _, mine in kept for pair in mine if pair[1] != pair[2]})
 
 
+def _nominated(sent: DataFrame, windows: DataFrame, coverage: float) -> DataFrame:
+    """The windows of each item beside each document text that may hold enough of them.
+
+    A text that has a share of an item's windows has one of any selection
+    that leaves out fewer than that share. So only the windows that fewest
+    items have nominate: a phrase of many items and many documents does not
+    bring them all together.
+    """
+    key = ["template", "hash", "words"]
+    common = windows.groupBy(*key).agg(F.count("*").alias("known"))
+    own = Window.partitionBy("item_id", "template")
+    needed = F.greatest(F.ceil(F.max("windows").over(own) * coverage - 1e-9), F.lit(1))
+    ranked = windows.join(common, key).withColumns({
+        "turn": F.row_number().over(own.orderBy("known", "hash", "place")),
+        "most": F.count("*").over(own) - needed + 1,
+    })
+    telling = ranked.where("turn <= most").select(*key, "item_id").distinct()
+    pairs = sent.select("doc_id", "text_hash", *key).join(telling, key).select("doc_id", "text_hash", "item_id", "template").distinct()
+    return pairs.join(windows, ["item_id", "template"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per document text and item found in it.
 
@@ -279,7 +300,12 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     sent = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(
         send, f"doc_id {kind}, text_hash long, template int, doc_place int, hash long, words string, doc_slots array<string>"
     )
-    met = sent.distinct().join(windows, ["template", "hash", "words"])
+    sent = durable(sent.distinct())
+    pairs = _nominated(sent, windows, coverage).alias("p")
+    same = F.col("s.doc_id").eqNullSafe(F.col("p.doc_id"))
+    for c in ("text_hash", "template", "hash", "words"):
+        same = same & (F.col(f"s.{c}") == F.col(f"p.{c}"))
+    met = pairs.join(sent.alias("s"), same).select("p.*", "s.doc_place", "s.doc_slots")
     diagonal = ["doc_id", "text_hash", "item_id", "template", (F.col("doc_place") - F.col("place")).alias("diagonal")]
     # lists are bounded by the windows of an item
     laid = (

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from quire.llm import decontamination
 
+WORDS = "river stone garden window market engine bridge winter summer doctor teacher music paper silver forest candle".split()
 QUESTION = "A train leaves Oslo with 120 passengers and travels 60 km to reach Bergen before the evening ferry departs with 120 people"
 NAMES = "Anna Berta Carla Dora Emma Frida Greta Hanna 12 Ida Jana 31 Klara"
 
@@ -44,3 +49,18 @@ def test_majority_of_a_diagonal():
     assert decontamination.consistent(met) == ([0, 9, 27], 1)
     assert decontamination.consistent([window(0, (num, "1", "7"), (num, "2", "7"))]) == ([0], 2)
     assert decontamination.consistent([window(0, (name, "A", "X")), window(9, (name, "B", "X")), window(18, (name, "B", "X"))]) == ([9, 18], 1)
+
+
+def test_a_phrase_of_many_items_does_not_pair_them_all(spark):
+    phrase = "please read the following text with care and then answer the question that stands below it"
+    rng = random.Random(11)
+    own = lambda: " ".join(rng.choice(WORDS) + str(rng.randrange(10)) + rng.choice("abcdef") for _ in range(40))
+    items = [(i, f"{phrase} {own()}") for i in range(60)]
+    docs = [(i, f"{own()} {phrase} {own()}") for i in range(60)] + [(100 + i, f"{own()} {items[i][1]} {own()}") for i in range(5)] + [(None, items[7][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    windows = decontamination.item_windows(bench)
+    sent = windows.select(F.lit(1).alias("doc_id"), F.lit(1).alias("text_hash"), "template", "hash", "words").where("words like 'please%'").distinct()
+    # a text that holds the phrase's first windows alone is nominated for no item
+    assert sent.count() >= 2 and decontamination._nominated(sent, windows, decontamination.COVERAGE).count() == 0
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()}
+    assert found == {(100 + i, i) for i in range(5)} | {(None, 7)}
