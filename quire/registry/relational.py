@@ -338,14 +338,14 @@ def operation_states(spark, folder):
 
 
 @register("missing_remote_candidates", f"""WITH {OPERATIONS_SQL.strip()}
-known AS (SELECT c_custkey AS document_id FROM customer UNION ALL SELECT s_suppkey + (SELECT max(c_custkey) FROM customer) FROM supplier)
+known AS (SELECT c_custkey AS document_id FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT s_suppkey + (SELECT max(c_custkey) FROM customer) FROM supplier)
 SELECT document_id FROM known k WHERE NOT EXISTS (
   SELECT 1 FROM operations o WHERE o.document_id = k.document_id AND status NOT IN ('completed', 'cancelled'))""".replace("known AS", ", known AS", 1))
 def missing_remote_candidates(spark, folder):
     # the suppliers' documents have no operations, most customers' have
-    custs = table(spark, folder, "customer").select(F.col("c_custkey").alias("document_id"))
-    after = custs.agg(F.max("document_id")).scalar()
-    known = custs.unionByName(table(spark, folder, "supplier").select((F.col("s_suppkey") + after).alias("document_id")))
+    custs = table(spark, folder, "customer")
+    after = custs.agg(F.max("c_custkey")).scalar()
+    known = custs.where("c_acctbal >= 0").select(F.col("c_custkey").alias("document_id")).unionByName(table(spark, folder, "supplier").select((F.col("s_suppkey") + after).alias("document_id")))
     busy = W.unfinished(operations(spark, folder)).select("document_id")
     return known.join(busy, "document_id", "left_anti")
 
