@@ -70,7 +70,7 @@ def index(spark: SparkSession, path: str, folder: str | None = None, digest: Dig
     ``folder`` holds state, progress and the changed groups of each
     micro-batch; with the folder of an earlier run only new files are read.
     """
-    folder = folder or shared_folder(spark)
+    folder, path = folder or shared_folder(spark), path.rstrip("/")
     # a pattern, as a stream takes a folder or a pattern but not one file
     stream = spark.readStream.schema(_schema(spark, path)).parquet(f"{path[:-1]}[{path[-1]}]")
     state = _located(stream, digest).groupBy("digest").agg(F.max(_row()).alias("keep"), F.count("*").alias("size"))
