@@ -312,3 +312,42 @@ def rule_decisions(spark, folder):
         F.lit(0).alias("position"),
     )
     return B.rule_decisions(requests, rows)
+
+
+_ROOT, _VOLUME, _NOTES = "메인/원고", "메인/원고/1권", "메인/설정집"
+#: One request of each kind: action, kind, source (null: the chapter itself), target, name, and the decision (null: by the chapters there are).
+_REQUESTS = [
+    ("trash", "text", None, None, None, "manuscriptDeletionLocked"),
+    ("rename", "text", None, None, None, "allowed"),
+    ("rename", "text", None, None, "999화 x.txt", "chapterPrefixLocked"),
+    ("rename", "text", None, None, "a/b", "invalidName"),
+    ("move", "text", None, _NOTES, None, "manuscriptCannotLeave"),
+    ("create", "folder", "", _ROOT, "x", "invalidVolumeName"),
+    ("create", "text", "", _ROOT, "x.txt", "manuscriptAcceptsVolumesOnly"),
+    ("create", "folder", "", _ROOT, "2권", "allowed"),
+    ("create", "text", "", "메인/원고/2권", "998화.txt", "allowed"),
+    ("create", "text", "", "메인/원고/2권", "003화.txt", None),
+    ("create", "folder", "", "메인/원고/2권", "x", "volumeAcceptsChaptersOnly"),
+    ("reorder", "text", None, None, None, "manuscriptUsesNaturalOrder"),
+    ("trash", "folder", _VOLUME, None, None, "manuscriptDeletionLocked"),
+    ("rename", "folder", _VOLUME, None, "9권", "volumeNameLocked"),
+    ("rename", "folder", _ROOT, None, "다른", "manuscriptRootLocked"),
+    ("move", "folder", _VOLUME, _ROOT, None, "allowed"),
+    ("move", "text", f"{_NOTES}/x.txt", _VOLUME, None, "externalItemCannotEnter"),
+    ("rename", "text", f"{_NOTES}/x.txt", None, "y.txt", "allowed"),
+    ("reorder", "text", f"{_NOTES}/x.txt", None, None, "allowed"),
+    ("create", "text", "", _NOTES, "bad\tname", "invalidName"),
+    ("split", "text", None, None, None, "unknownAction"),
+]
+
+
+@register("rule_branches", f"""WITH {CHAPTERS_SQL.strip()}
+SELECT document_id AS request_id, CASE document_id % {len(_REQUESTS)} {' '.join(f"WHEN {i} THEN '{r[5]}'" for i, r in enumerate(_REQUESTS) if r[5])}
+  ELSE CASE WHEN EXISTS (SELECT 1 FROM chapters o WHERE o.project_id = c.project_id AND o.number = 3) THEN 'duplicateChapterNumber' ELSE 'allowed' END END AS decision FROM chapters c""")
+def rule_branches(spark, folder):
+    rows = chapters(spark, folder)
+    kinds = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(_REQUESTS)], "turn bigint, action string, kind string, source string, target_path string, name string")
+    asked = rows.withColumn("turn", F.col("document_id") % len(_REQUESTS)).join(F.broadcast(kinds), "turn")
+    source = F.when(F.col("source").isNull(), F.col("relative_path")).when(F.col("source") != "", F.col("source"))
+    requests = asked.select(F.col("document_id").alias("request_id"), "project_id", "action", "kind", source.alias("source_path"), "target_path", "name", F.lit(0).alias("position"))
+    return B.rule_decisions(requests, rows)
