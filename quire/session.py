@@ -85,7 +85,29 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = _local_folder()
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+#: Folders given out and not yet removed.
+_written: list[str] = []
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this driver, once the results built on them are stored.
+
+    Tables and stream logs alike; returns how many folders went. Results not
+    yet computed lose what they read, so this is the caller's to call.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = _written.pop()
+        for name in (path, f"{path}-log", f"{path}-ticks"):
+            where = hadoop(name)
+            gone += where.getFileSystem(conf).delete(where, True)
+    return gone
 
 
 @lru_cache(maxsize=1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quire.operators import ordered as O
@@ -80,3 +81,20 @@ def test_fingerprints_ignore_order_and_partitions(spark, parts):
 def test_nearest_rank(spark):
     df = spark.createDataFrame([("a", v) for v in [5, 1, 3, 2, 4]] + [("b", 7)], "k string, v bigint")
     assert rows(latency_summary(df, ["k"], "v")) == [("a", 5, 3, 5), ("b", 1, 7, 7)]
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from quire import session
+
+    held = list(session._written)
+    session._written.clear()
+    try:
+        assert session.durable(spark.range(5)).count() == 5
+        path = session._written[0]
+        assert spark.read.parquet(path).count() == 5
+        assert session.remove_written(spark) == 1
+        with pytest.raises(AnalysisException):
+            spark.read.parquet(path).count()
+        assert session.remove_written(spark) == 0
+    finally:
+        session._written.extend(held)
