@@ -155,7 +155,7 @@ def _hashes(codes: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def item_windows(items: DataFrame) -> DataFrame:
+def item_windows(items: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(item_id, template, place, width, windows, hash, words, slots) of every window that counts of every item."""
     kind = items.schema["item_id"].dataType.simpleString()
 
@@ -165,7 +165,7 @@ def item_windows(items: DataFrame) -> DataFrame:
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 words = template(text)
                 width = min(WINDOW, len(words))
-                if width < SHORTEST:
+                if width < max(shortest, 1):
                     continue
                 codes = np.array(codes_of(text), dtype=np.uint64).reshape(-1, 3).T
                 for which, (hashes, usable) in enumerate(_hashes(codes, width)):
@@ -249,20 +249,21 @@ def _nominated(sent: DataFrame, windows: DataFrame, coverage: float) -> DataFram
     return pairs.join(windows, ["item_id", "template"])
 
 
-def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST) -> DataFrame:
     """One row per document text and item found in it.
 
     (doc_id, text_hash, item_id, windows found, coverage, changed slot values,
     kind: verbatim or reparameterised), of the template that covers more. Null
-    texts and items under SHORTEST template words match nothing; repeated rows
+    texts, items without an id and items under ``shortest`` template words
+    match nothing; with ``shortest`` 1 an item of one word is one; repeated rows
     of a document give one row; an empty side gives none; further columns are
     not read.
     """
 
-    windows = durable(item_windows(items))
+    windows = durable(item_windows(items, shortest))
     upper = windows.select(F.shiftrightunsigned("hash", 32).alias("upper"))
     shared = docs.sparkSession.sparkContext.broadcast((bitmap(windows, "hash"), bitmap(upper, "upper")))
-    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # WINDOW - SHORTEST + 1 at most
+    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())  # WINDOW at most
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,12 +344,12 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST) -> DataFrame:
     """The rows in which no item is found, in their own columns.
 
     Columns may have any names and types. Null texts and repeated rows as in
     :func:`leaks`: repeated rows share their fate; no items, no row goes.
     """
-    found = leaks(docs, items, coverage).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    found = leaks(docs, items, coverage, shortest).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_hash"))
     return whole(docs, "doc_id", "text").join(found, same, "left_anti").select("row.*")

@@ -88,22 +88,22 @@ def _pieces(text: str) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     return spans, np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
 
 
-def _bounds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(counts: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(first sentence, sentence behind the last) of each run, in order of the text."""
     n = len(counts)
     total = np.concatenate([[0], np.cumsum(counts)])
     at = np.arange(n + 1)
-    stop = np.maximum(np.searchsorted(total, total + LEAST_WORDS), at + SPAN)
-    start = np.minimum(np.searchsorted(total, total - LEAST_WORDS, side="right") - 1, at - SPAN)
+    stop = np.maximum(np.searchsorted(total, total + least), at + SPAN)
+    start = np.minimum(np.searchsorted(total, total - least, side="right") - 1, at - SPAN)
     both = np.concatenate([(at << 32 | stop)[stop <= n], (start << 32 | at)[start >= 0]])
     both = np.unique(both)
     return both >> 32, both & 0xFFFFFFFF
 
 
-def runs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(text: str | None, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first sentence << 32 | sentence behind the last, repeats an earlier run of this text) of each run."""
     _, hashes, counts = _pieces(text or "")
-    start, stop = _bounds(counts)
+    start, stop = _bounds(counts, least)
     if not len(start):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     total = np.full(len(start), SPAN, dtype=np.uint64)
@@ -118,7 +118,7 @@ def runs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return total, start << 32 | stop, again
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_hash, places): bounds, as ``runs`` gives them, of runs that are not the first of their content.
 
     Rows of one id count as one document among each other: they remove
@@ -130,7 +130,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for begin in range(0, len(batch), 1000):
                 part = batch.iloc[begin : begin + 1000]
-                found = [runs(t) for t in part["text"]]
+                found = [runs(t, least) for t in part["text"]]
                 n = [len(f[0]) for f in found]
                 joined = [np.concatenate([f[k] for f in found]) for k in range(3)]
                 yield pd.DataFrame({
@@ -157,10 +157,11 @@ def _long_enough(gone: np.ndarray, counts: np.ndarray, stretch: int) -> np.ndarr
     return out
 
 
-def without_repeats(docs: DataFrame, stretch: int = 0) -> DataFrame:
+def without_repeats(docs: DataFrame, stretch: int = 0, least: int = LEAST_WORDS) -> DataFrame:
     """One row per document: doc_id, text without repeated spans, n_sentences, n_removed, removed.
 
-    A covered stretch goes if it has ``stretch`` words, by default any.
+    A covered stretch goes if it has ``stretch`` words, by default any; with
+    ``least`` 0 runs of SPAN sentences of any length count.
     ``removed`` lists the removed stretches as start:end in code points of the
     whole text. A null text stays null, an empty one empty. Repeated rows keep
     their spans among each other; an empty table gives no rows; further
@@ -193,7 +194,7 @@ def without_repeats(docs: DataFrame, stretch: int = 0) -> DataFrame:
                 out.append((doc, clean, len(spans), int(gone.sum()), ",".join(f"{a}:{b}" for a, b in stretches)))
             yield pd.DataFrame(out, columns=["doc_id", "text", "n_sentences", "n_removed", "removed"]).astype({"doc_id": batch["doc_id"].dtype})
 
-    places = repeated_runs(docs).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_hash", "_hash")
+    places = repeated_runs(docs, least).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_hash", "_hash")
     rows = docs.select("doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
     both = rows.join(places, same, "left").select("doc_id", "text", "places")

@@ -64,3 +64,11 @@ def test_a_phrase_of_many_items_does_not_pair_them_all(spark):
     assert sent.count() >= 2 and decontamination._nominated(sent, windows, decontamination.COVERAGE).count() == 0
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()}
     assert found == {(100 + i, i) for i in range(5)} | {(None, 7)}
+
+
+def test_short_items_can_be_asked_for(spark):
+    docs = spark.createDataFrame([(1, "he asked: Capital of France? and left"), (2, "the capital of Spain"), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "capital of France"), (2, "What is it")], "item_id long, text string")
+    assert decontamination.leaks(docs, items).count() == 0
+    found = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontamination.leaks(docs, items, shortest=1).collect()}
+    assert found == {(1, 1): "verbatim", (2, 1): "reparameterised"}

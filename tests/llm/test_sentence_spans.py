@@ -45,3 +45,10 @@ def test_passages_go_and_phrases_stay(spark):
     got = {r["doc_id"]: r for r in sentence_spans.without_repeats(docs, sentence_spans.PASSAGE).collect()}
     assert got[1]["text"] == texts[0] and got[2]["text"] == f"A different start for that one.\n{phrase}\nSome words between.\nLast words."
     assert got[2]["n_removed"] == 5
+
+
+def test_runs_of_any_length_can_be_asked_for(spark):
+    docs = spark.createDataFrame([(1, "Yes. No. Own words of one."), (2, "Other words here. Yes. No.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.without_repeats(docs, least=0).collect()}
+    assert got == {1: "Yes. No. Own words of one.", 2: "Other words here. "}
+    assert all(r["n_removed"] == 0 for r in sentence_spans.without_repeats(docs).collect())
