@@ -77,15 +77,20 @@ def replay_ledger(requests: DataFrame, order: list[str]) -> DataFrame:
             }
         )
     )
+    keys = ["document_id", "seq"]
     asked = _contended(shaped)
-    blocked = None
+    done = durable(committed(shaped))
+    blocked = shaped.select(*keys).limit(0)
     while True:
-        free = shaped if blocked is None else shaped.join(blocked, ["document_id", "seq"], "left_anti")
-        done = durable(committed(free))
-        commits = shaped.join(done, ["document_id", "seq"], "left_semi")
+        commits = shaped.join(done, keys, "left_semi")
         met = durable(_met_holders(asked, commits))
-        if met.isEmpty() if blocked is None else _same_rows(met, blocked):
+        changed = met.join(blocked, keys, "left_anti").union(blocked.join(met, keys, "left_anti"))
+        again = durable(changed.select("document_id").distinct())
+        if again.isEmpty():
             break
+        # the other documents stand as they are
+        free = shaped.join(again, "document_id", "left_semi").join(met, keys, "left_anti")
+        done = durable(done.join(again, "document_id", "left_anti").unionByName(committed(free)))
         blocked = met
     judged = state_before(shaped, done, ["base_revision", "project_id"])
     taken = commits.groupBy(F.col("operation_id").alias("_operation")).agg(
@@ -143,11 +148,6 @@ def _met_holders(asked: tuple[DataFrame, DataFrame], commits: DataFrame) -> Data
     return by_path.union(by_id).distinct()
 
 
-def _same_rows(one: DataFrame, other: DataFrame) -> bool:
-    """Whether two sets of keys are equal."""
-    return one.count() == other.count() and one.join(other, one.columns, "left_anti").isEmpty()
-
-
 def commit_faults(requests: DataFrame) -> DataFrame:
     """First static fault of each document commit, null if none.
 
