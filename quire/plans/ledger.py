@@ -78,20 +78,29 @@ def replay_ledger(requests: DataFrame, order: list[str]) -> DataFrame:
         )
     )
     keys = ["document_id", "seq"]
-    asked = _contended(shaped)
+    paths, ids = _contended(shaped)
     done = durable(committed(shaped))
-    blocked = shaped.select(*keys).limit(0)
+    blocked, asked_paths, asked_ids = None, paths, ids
     while True:
         commits = shaped.join(done, keys, "left_semi")
-        met = durable(_met_holders(asked, commits))
-        changed = met.join(blocked, keys, "left_anti").union(blocked.join(met, keys, "left_anti"))
+        near = commits.join(asked_paths.select("document_id").distinct(), "document_id", "left_semi")
+        met = _met_paths(asked_paths, near).union(_met_ids(asked_ids, commits))
+        if blocked is None:
+            met = durable(met)
+            changed = met
+        else:
+            judged = asked_paths.select(*keys, F.lit("path").alias("by")).union(asked_ids.select(*keys, F.lit("id").alias("by")))
+            met = durable(met.union(blocked.join(judged, [*keys, "by"], "left_anti")))
+            changed = met.join(blocked, [*keys, "by"], "left_anti").union(blocked.join(met, [*keys, "by"], "left_anti"))
         again = durable(changed.select("document_id").distinct())
         if again.isEmpty():
             break
-        # the other documents stand as they are
+        # the other documents stand as they are, and so do refusals at paths and ids that these do not ask for
         free = shaped.join(again, "document_id", "left_semi").join(met, keys, "left_anti")
         done = durable(done.join(again, "document_id", "left_anti").unionByName(committed(free)))
+        asked_paths, asked_ids = (durable(_asked_with(asked, again, place)) for asked, place in ((paths, _PLACE), (ids, ["operation_id"])))
         blocked = met
+    commits = shaped.join(done, keys, "left_semi")
     judged = state_before(shaped, done, ["base_revision", "project_id"])
     taken = commits.groupBy(F.col("operation_id").alias("_operation")).agg(
         F.min_by(F.struct("at", F.struct(*payload).alias("payload"), F.col("base_revision") + 1), "at").alias("_taken")
@@ -117,35 +126,47 @@ def replay_ledger(requests: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+_PLACE = ["project_id", "relative_path"]
+
+
 def _contended(shaped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests for paths that several documents ask for, and for ids used more than once."""
-    live = shaped.where(~F.col("is_deleted")).select("document_id", "seq", "at", "project_id", "relative_path")
-    place = ["project_id", "relative_path"]
-    wanted = live.groupBy(*place).agg(F.min("document_id").alias("_low"), F.max("document_id").alias("_high"))
-    paths = live.join(wanted.where("_low <> _high").drop("_low", "_high"), place, "left_semi")
+    live = shaped.where(~F.col("is_deleted")).select("document_id", "seq", "at", *_PLACE)
+    wanted = live.groupBy(*_PLACE).agg(F.min("document_id").alias("_low"), F.max("document_id").alias("_high"))
+    paths = live.join(wanted.where("_low <> _high").drop("_low", "_high"), _PLACE, "left_semi")
     ids = shaped.select("document_id", "seq", "at", "operation_id")
     repeated = ids.groupBy("operation_id").count().where("count > 1").select("operation_id")
     return durable(paths), durable(ids.join(repeated, "operation_id", "left_semi"))
 
 
-def _met_holders(asked: tuple[DataFrame, DataFrame], commits: DataFrame) -> DataFrame:
-    """``document_id, seq`` of requests whose id or path another commit held when they came."""
-    paths, ids = asked
-    place = ["project_id", "relative_path"]
-    facts = commits.select("document_id", "seq", "at", *place, "is_deleted")
+def _asked_with(asked: DataFrame, documents: DataFrame, place: list[str]) -> DataFrame:
+    """All requests for what some documents ask for."""
+    theirs = asked.join(documents, "document_id", "left_semi").select(*place).distinct()
+    return asked.join(theirs, place, "left_semi")
+
+
+def _met_paths(asked: DataFrame, commits: DataFrame) -> DataFrame:
+    """``document_id, seq, by`` of requests whose path another document held when they came."""
+    facts = commits.select("document_id", "seq", "at", *_PLACE, "is_deleted")
     # previous row in descending order: the document's next commit ends the hold
     ended = with_previous(facts, ["document_id"], ["-seq"], {"_end": "at"})
     hold = F.struct(F.col("_end").isNull().alias("open"), F.col("_end").alias("end"), F.col("document_id").alias("holder"))
-    holds = ended.where(~F.col("is_deleted")).select(*place, "at", F.lit(1).alias("_kind"), hold.alias("_hold"))
-    holds = holds.join(paths.select(*place).distinct(), place, "left_semi")
-    both = paths.withColumn("_kind", F.lit(0)).unionByName(holds, allowMissingColumns=True)
+    holds = ended.where(~F.col("is_deleted")).select(*_PLACE, "at", F.lit(1).alias("_kind"), hold.alias("_hold"))
+    holds = holds.join(asked.select(*_PLACE).distinct(), _PLACE, "left_semi")
+    both = asked.withColumn("_kind", F.lit(0)).unionByName(holds, allowMissingColumns=True)
     # of the holds begun before, the one that lasts longest is the one still on
-    seen = with_running(both, place, ["at", "_kind"], {"_last": ("max", "_hold")}).where("_kind = 0")
+    seen = with_running(both, _PLACE, ["at", "_kind"], {"_last": ("max", "_hold")}).where("_kind = 0")
     on = F.col("_last.open") | (F.col("_last.end") > F.col("at"))
-    by_path = seen.where(on & (F.col("_last.holder") != F.col("document_id"))).select("document_id", "seq")
-    first = commits.join(ids, ["document_id", "seq"], "left_semi").groupBy("operation_id").agg(F.min("at").alias("_first"))
-    by_id = ids.join(first, "operation_id").where("_first < at").select("document_id", "seq")
-    return by_path.union(by_id).distinct()
+    met = seen.where(on & (F.col("_last.holder") != F.col("document_id")))
+    return met.select("document_id", "seq", F.lit("path").alias("by"))
+
+
+def _met_ids(asked: DataFrame, commits: DataFrame) -> DataFrame:
+    """``document_id, seq, by`` of requests whose id an earlier commit has."""
+    first = asked.join(commits.select("document_id", "seq"), ["document_id", "seq"], "left_semi")
+    first = first.groupBy("operation_id").agg(F.min("at").alias("_first"))
+    met = asked.join(first, "operation_id").where("_first < at")
+    return met.select("document_id", "seq", F.lit("id").alias("by"))
 
 
 def commit_faults(requests: DataFrame) -> DataFrame:
