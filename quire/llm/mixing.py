@@ -25,7 +25,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Buckets of keys within a source, evenly over these logarithms of keys: one
 #: holds at most a few times its share of the rows, whatever their weights.
-BUCKETS, LOW, HIGH = 65_536, -12.0, 8.0
+BUCKETS, LOW, HIGH = 8_192, -12.0, 8.0
 #: Smallest quality weight.
 LEAST_WEIGHT = 0.05
 
