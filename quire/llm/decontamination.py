@@ -19,13 +19,15 @@ more items they pass more windows, and the join still decides.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 from string import punctuation
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,16 +101,50 @@ _canon = _Canon()
 
 
 class _Codes(dict):
-    """Word to three hashes of each canonical word: typed, folded and wordwise; the last bit is set for literal ones."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found: tuple[int, ...] = ()
-        for h, kind, _, folded in _canonical(word):
-            own = xxhash.xxh64_intdigest(folded) | 1
-            found += (h & ~1 | (kind is None), h & ~1 if kind in (NUMBER, UNIT) else own, own)
-        if len(self) < WORDS and len(word) <= 64:
-            self[word] = found
-        return found
+    """Word to its place in flat tables of three hashes of each canonical word: typed, folded and wordwise; the last bit is set for literal ones."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.starts, self.counts, self.flat = array("q"), array("q"), array("Q")
+
+    def __missing__(self, word: str) -> int:
+        place = len(self.starts)
+        self.starts.append(len(self.flat) // 3)
+        core = word.strip(punctuation)
+        if core.isalpha() and core.islower() and core not in UNITS:  # most words: literal
+            h = xxhash.xxh64_intdigest(core)
+            folded = core.casefold()
+            own = (h if folded == core else xxhash.xxh64_intdigest(folded)) | 1
+            self.counts.append(1)
+            self.flat.extend((h | 1, own, own))
+        else:
+            found = _canonical(word)
+            self.counts.append(len(found))
+            for h, kind, _, folded in found:
+                own = xxhash.xxh64_intdigest(folded) | 1
+                self.flat.extend((h & ~1 | (kind is None), h & ~1 if kind in (NUMBER, UNIT) else own, own))
+        if len(word) <= 64:
+            self[word] = place
+        return place
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The three rows of hashes of all texts' canonical words, and where each text begins and the last ends."""
+        if len(self.starts) >= WORDS:
+            self.clear()
+        # split, and each word once, outside of Python; white space at an end gives an empty word without hashes
+        words = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        sizes = np.concatenate([[0], pc.list_value_length(words).to_numpy()])
+        once = words.flatten().dictionary_encode()
+        known = np.fromiter(map(self.__getitem__, once.dictionary.to_pylist()), dtype=np.int64, count=len(once.dictionary))
+        place = known[once.indices.to_numpy()]
+        starts, counts, flat = np.array(self.starts), np.array(self.counts), np.array(self.flat, dtype=np.uint64).reshape(-1, 3)
+        many = counts[place]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat(starts[place] - ends[:-1], many) + np.arange(ends[-1])
+        return np.ascontiguousarray(flat[at].T), ends[np.cumsum(sizes)]
 
 
 _codes = _Codes()
@@ -120,13 +156,6 @@ def template(text: str | None) -> list[tuple[int, str | None, str, str]]:
     return [part for found in map(_canon.__getitem__, (text or "").split()) for part in found]
 
 
-def codes_of(text: str | None) -> list[int]:
-    """Three hashes of each of the template's words."""
-    if len(_codes) >= WORDS:
-        _codes.clear()
-    return list(chain.from_iterable(map(_codes.__getitem__, (text or "").split())))
-
-
 def _mixed(codes: Iterator[np.ndarray], many: int, width: int, seed: int) -> np.ndarray:
     total = np.full(many, width + (seed << 8), dtype=np.uint64)
     for part in codes:
@@ -167,7 +196,7 @@ def item_windows(items: DataFrame, shortest: int = SHORTEST) -> DataFrame:
                 width = min(WINDOW, len(words))
                 if width < max(shortest, 1):
                     continue
-                codes = np.array(codes_of(text), dtype=np.uint64).reshape(-1, 3).T
+                codes, _ = _codes.of([text])
                 for which, (hashes, usable) in enumerate(_hashes(codes, width)):
                     places = np.flatnonzero(usable) if which == TYPED else np.arange(len(hashes))
                     for p in places.tolist():
@@ -274,12 +303,8 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, shortes
             for g in np.unique(group):
                 part = batch[group == g]
                 out = []
-                found = [codes_of(t) for t in part["text"]]
-                counts = [len(c) // 3 for c in found]
-                owner = np.repeat(np.arange(len(part)), counts)
-                begin = np.cumsum([0, *counts])
-                codes = np.fromiter(chain.from_iterable(found), dtype=np.uint64, count=3 * int(begin[-1]))
-                codes = np.ascontiguousarray(codes.reshape(-1, 3).T)
+                codes, begin = _codes.of(list(part["text"]))
+                owner = np.repeat(np.arange(len(part)), np.diff(begin))
                 words: dict[int, list] = {}  # templates of the documents that hit
                 for width in widths:
                     for which, (hashes, usable) in enumerate(_hashes(codes, width)):
