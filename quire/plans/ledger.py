@@ -67,13 +67,14 @@ def replay_ledger(requests: DataFrame, order: list[str]) -> DataFrame:
     refusals, and what stays unchanged is what a replay in sequence gives.
     """
     payload = ["document_id", "project_id", "base_revision", "device_id", "relative_path", "content_hash", "is_deleted"]
+    # one sequence for all, as a number
+    placed = with_row_number(requests.withColumn("_all", F.lit(1)), ["_all"], [*order, "document_id", "seq"], "at").drop("_all")
     shaped = durable(
-        requests.withColumns(
+        placed.withColumns(
             {
                 "slot": F.col("project_id").cast("string"),
                 "opens": F.array(F.col("project_id").cast("string")),
                 "is_head": (F.col("base_revision") == 0) & ~F.col("is_deleted"),
-                "at": F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*order, "document_id", "seq"])]),
             }
         )
     )
@@ -82,7 +83,7 @@ def replay_ledger(requests: DataFrame, order: list[str]) -> DataFrame:
     done = durable(committed(shaped))
     blocked, asked_paths, asked_ids = None, paths, ids
     while True:
-        commits = shaped.join(done, keys, "left_semi")
+        commits = durable(shaped.join(done, keys, "left_semi").select(*keys, "at", *_PLACE, "is_deleted"))
         near = commits.join(asked_paths.select("document_id").distinct(), "document_id", "left_semi")
         met = _met_paths(asked_paths, near).union(_met_ids(asked_ids, commits))
         if blocked is None:

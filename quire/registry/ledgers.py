@@ -29,15 +29,15 @@ from quire.sources.sinks import insert_only, read_inserted
 _LEDGER = f"WITH {LEDGER_SQL.strip()}"
 _OPS = f"WITH {OPERATIONS_SQL.strip()}"
 _ARRIVAL = ["created_at", "arrival", "line_id", "project_id", "byte_count"]
-# documents of many small projects, whose requests meet in paths and operation ids
+# projects of a hundred documents, whose requests meet in paths and operation ids
 _REQUESTS_SQL = f"""WITH RECURSIVE {LEDGER_SQL.strip()},
 requests AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {', '.join(_ARRIVAL)}) AS seq
-  FROM (SELECT document_id, document_id % 100 AS project_id, revision, base_revision, line_id, document_id % 100 || '-' || line_id % 1500 AS operation_id,
+  FROM (SELECT document_id, document_id // 100 AS project_id, revision, base_revision, line_id, document_id // 100 || '-' || line_id % 1500 AS operation_id,
     'part/' || line_id % 700 AS relative_path, byte_count, content_hash, is_deleted, device_id, created_at, arrival FROM ledger))"""
 
 
 def _requests(spark, folder):
-    project, line = F.col("document_id") % 100, F.col("line_id")
+    project, line = F.expr("document_id div 100"), F.col("line_id")
     rows = ledger(spark, folder).withColumns({
         "project_id": project,
         "operation_id": F.concat_ws("-", project.cast("string"), (line % 1500).cast("string")),
