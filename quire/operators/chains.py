@@ -13,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quire.operators.ordered import top_rows, with_previous, with_running
 from quire.session import TASK_ROWS, durable, fits_one_task, task_limit
@@ -178,3 +180,51 @@ def state_before(
         "document_id", F.col("seq").alias("_last"), *[F.col(c).alias(f"was_{c}") for c in columns]
     )
     return earlier.join(facts, ["document_id", "_last"], "left").drop("_mine", "_last")
+
+
+#: What decides whether a request takes effect; see :func:`committed`.
+_RULE = ["document_id", "operation_id", "base_revision", "slot", "opens", "is_head", "is_candidate"]
+
+
+def replayed(requests: DataFrame, rule: dict[str, Column], columns: list[str]) -> DataFrame:
+    """Requests with ``committed``, and the last committed row before those that are not, as ``was_<column>``.
+
+    What :func:`committed` and :func:`state_before` say together. ``rule``
+    gives ``slot, opens, is_head`` and ``is_candidate``; a request that is no
+    candidate takes no effect. It is evaluated behind the one exchange that
+    documents of ordinary size go through.
+    """
+    light, heavy = split_by_size(requests, "document_id")
+    ordered = light.repartition("document_id").sortWithinPartitions("document_id", "seq").withColumns(rule)
+    facts = [StructField(f"was_{c}", requests.schema[c].dataType) for c in columns]
+    out = StructType([*requests.schema.fields, StructField("committed", BooleanType()), *facts])
+    kept = requests.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, revision, opens, used, last = None, 0, (), set(), None
+        for batch in batches:
+            # the last committed row of the document that goes on stands before the batch
+            table = pa.Table.from_batches([batch] if last is None else [last, batch])
+            first = 0 if last is None else 1
+            at, done, before = (None if last is None else 0), [], []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in _RULE), strict=True), first):
+                key, operation, base, slot, offered, head, candidate = row
+                if key != document:
+                    document, revision, opens, used, at = key, 0, (), set(), None
+                allowed = head if revision == 0 else base is not None and base == revision and slot in opens
+                allowed = bool(candidate and allowed and key is not None and operation not in used)
+                done.append(allowed)
+                before.append(None if allowed else at)
+                if allowed:
+                    at, revision, opens = i, None if base is None else base + 1, offered
+                    used.add(operation)
+            was = table.select(columns).take(pa.array(before, pa.int64()))
+            arrays = [*(batch.column(c) for c in kept), pa.array(done), *(c.combine_chunks() for c in was.columns)]
+            last = None if at is None else table.slice(at, 1).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    found = ordered.mapInArrow(fold, out)
+    if heavy is None:
+        return found
+    slow = state_before(heavy, committed_by_links(heavy.withColumns(rule).where("is_candidate")), columns)
+    return found.unionByName(slow.select(*out.names))

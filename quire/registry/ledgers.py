@@ -22,6 +22,7 @@ from quire.registry.roles import (
     operations,
     snapshots,
     table,
+    with_digest,
 )
 from quire.session import shared_folder
 from quire.sources.sinks import insert_only, read_inserted
@@ -37,13 +38,13 @@ requests AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {',
 
 
 def _requests(spark, folder):
-    project, line = F.expr("document_id div 100"), F.col("line_id")
-    rows = ledger(spark, folder).withColumns({
-        "project_id": project,
-        "operation_id": F.concat_ws("-", project.cast("string"), (line % 1500).cast("string")),
+    # numbered before ids, paths and digests are made, which so need no exchange
+    project, line = F.col("project_id").cast("string"), F.col("line_id")
+    rows = ledger(spark, folder).withColumn("project_id", F.expr("document_id div 100"))
+    return with_digest(L.numbered_requests(rows.drop("content_hash", "operation_id", "relative_path"), _ARRIVAL)).withColumns({
+        "operation_id": F.concat_ws("-", project, (line % 1500).cast("string")),
         "relative_path": F.concat(F.lit("part/"), (line % 700).cast("string")),
     })
-    return L.numbered_requests(rows, _ARRIVAL)
 
 
 @register("replayed_ledger", _REQUESTS_SQL + f""",

@@ -98,7 +98,7 @@ ledger AS (
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     quantity = F.col("l_quantity").cast("bigint")
-    return table(spark, folder, "lineitem").select(
+    rows = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("document_id"),
         F.col("l_suppkey").alias("project_id"),
         F.col("l_linenumber").cast("bigint").alias("revision"),
@@ -109,12 +109,17 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         ),
         F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("relative_path"),
         quantity.alias("byte_count"),
-        F.sha2(quantity.cast("string").cast("binary"), 256).alias("content_hash"),
         (F.col("l_returnflag") == "R").alias("is_deleted"),
         F.col("l_linestatus").alias("device_id"),
         F.col("l_shipdate").alias("created_at"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("arrival"),
     )
+    return with_digest(rows)
+
+
+def with_digest(rows: DataFrame) -> DataFrame:
+    """Versions of the ledger with the digest of their content, which is their size in digits."""
+    return rows.withColumn("content_hash", F.sha2(F.col("byte_count").cast("string").cast("binary"), 256))
 
 
 #: A total order on the versions of one document.
