@@ -15,7 +15,7 @@ from quire.plans import (
     storage_keys as K,
 )
 from quire.registry.core import register
-from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, LEASES_SQL, LEDGER_SQL, chapters, documents, lease_events, ledger, table
+from quire.registry.roles import CHAPTERS_SQL, CORPUS_SQL, LEASES_SQL, LEDGER_SQL, chapters, documents, lease_events, ledger, table, with_digest
 from quire.streaming.changes import debounced_bursts
 
 _LINES_SQL = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS name FROM documents)"
@@ -199,7 +199,10 @@ walk AS (
     FROM walk w JOIN asked a ON a.document_id = w.document_id AND a.seq = w.seq + 1))
 SELECT document_id, seq, operation_id, outcome FROM walk WHERE seq > 0""")
 def document_commit_replay(spark, folder):
-    rows = L.numbered_requests(ledger(spark, folder), ["created_at", "arrival", "line_id", "project_id", "byte_count"])
+    # numbered before ids and digests are made, which so need no exchange
+    versions = ledger(spark, folder).drop("content_hash", "operation_id")
+    rows = with_digest(L.numbered_requests(versions, ["created_at", "arrival", "line_id", "project_id", "byte_count"]))
+    rows = rows.withColumn("operation_id", F.concat_ws("-", F.col("document_id").cast("string"), F.col("revision").cast("string")))
     base, size = F.col("base_revision"), F.col("byte_count")
     content = size.cast("string")
     requests = rows.select(
