@@ -80,6 +80,9 @@ def append_ledger(rows: DataFrame, path: str, partition: str = "project_id") ->
 
 # --- insert-only tables ---------------------------------------------------------------
 
+#: Characters of a row as JSON up to which offers compare it, not its digest.
+SHORT = 128
+
 
 def insert_only(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Offer rows to an insert-only table: ``keys, outcome``, a row per key offered.
@@ -93,34 +96,40 @@ def insert_only(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """
     spark = rows.sparkSession
     columns = sorted(c for c in rows.columns if c not in keys)
-    payload = F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}).cast("binary"), 256)
-    offered = durable(rows.withColumn("_payload", payload))
-    kinds = offered.groupBy(*keys).agg(F.min("_payload").alias("_low"), F.max("_payload").alias("_high"))
+    whole = F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"})
+    digest = F.sha2(whole.cast("binary"), 256)
+    # what is short is told apart by itself, which takes less room in an exchange than a digest
+    payload = F.when(F.length(whole) <= SHORT, whole).otherwise(digest).alias("_payload")
+    named = [F.col(k) for k in keys]
+    offered = rows.select(*named, payload, F.struct(*[F.col(c) for c in columns]).alias("_row"), F.lit(None).cast("string").alias("_stored"))
     while True:
         version = _last_version(spark, path)
-        known = _committed(spark, path, version, offered.schema)
-        stored = known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_payload").alias("_stored"))
-        same = None
-        for k in keys:
-            part = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-            same = part if same is None else same & part
+        both = offered
+        if version:
+            known = _committed(spark, path, version, rows.schema).select(*named, payload.alias("_stored"))
+            both = offered.unionByName(known, allowMissingColumns=True)
+        # offer and table meet once, by key
+        met = both.groupBy(*keys).agg(
+            F.min("_payload").alias("_payload"), F.max("_payload").alias("_high"), F.max("_stored").alias("_stored"), F.any_value("_row", F.lit(True)).alias("_row")
+        )
         outcome = (
-            F.when(F.col("_low") != F.col("_high"), "refused")
+            F.when(F.col("_payload") != F.col("_high"), "refused")
             .when(F.col("_stored").isNull(), "inserted")
-            .when(F.col("_stored") == F.col("_low"), "present")
+            .when(F.col("_stored") == F.col("_payload"), "present")
             .otherwise("refused")
         )
-        judged = durable(kinds.join(stored, same, "left").withColumn("outcome", outcome).select(*keys, "outcome"))
-        fresh = judged.where("outcome = 'inserted'").drop("outcome")
-        if fresh.isEmpty():
-            return judged
+        answers = met.where("_payload IS NOT NULL").withColumn("outcome", outcome)
+        judged = durable(answers.select(*keys, "outcome", F.when(F.col("outcome") == "inserted", F.col("_row")).alias("_row")))
+        answer, added = judged.select(*keys, "outcome"), judged.where("outcome = 'inserted'")
+        if added.isEmpty():
+            return answer
         batch = uuid.uuid4().hex
-        renamed = fresh.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-        offered.join(renamed, same, "left_semi").dropDuplicates(keys).write.parquet(f"{path}/rows/batch={batch}")
+        own = added.select(*named, "_row.*").select(*rows.columns, digest.alias("_payload"))
+        own.write.parquet(f"{path}/rows/batch={batch}")
         try:
             entry = spark.createDataFrame([(batch,)], "batch string").coalesce(1)
             entry.write.mode("error").parquet(f"{path}/manifest/version={version + 1}")
-            return judged
+            return answer
         except AnalysisException as taken:
             if taken.getCondition() != "PATH_ALREADY_EXISTS":
                 raise
@@ -141,8 +150,6 @@ def _last_version(spark: SparkSession, path: str) -> int:
 
 
 def _committed(spark: SparkSession, path: str, version: int, schema: StructType) -> DataFrame:
-    if not version:
-        return spark.createDataFrame([], schema)
     batches = _entries(spark, path).where(F.col("version") <= version).select("batch")
     # staged files that no entry names are not part of the table
     own = StructType([*schema.fields, StructField("batch", StringType())])
