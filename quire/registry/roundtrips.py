@@ -12,7 +12,7 @@ from quire.plans import hierarchy as H
 from quire.registry.core import register
 from quire.registry.names import NAMESPACE, uuid5_sql
 from quire.registry.roles import table
-from quire.session import shared_folder
+from quire.session import shared_folder, writing_tasks
 from quire.sources import files as S, snapshots as P
 
 _LINES_SQL = """lines AS (SELECT source, 'source=' || source || '/block=' || doc_id // 100 AS folder, doc_id,
@@ -29,7 +29,8 @@ def _text_tree(spark, folder) -> str:
     path = shared_folder(spark)
     line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     lines = table(spark, folder, "documents").select("source", F.expr("doc_id div 100").alias("block"), "doc_id", line.alias("value"))
-    dealt = lines.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id", "value")
+    # few bytes, but a file for each block
+    dealt = lines.repartition(writing_tasks(spark), "source", "block").sortWithinPartitions("source", "block", "doc_id", "value")
     dealt.drop("doc_id").write.partitionBy("source", "block").text(path)
     return path
 

@@ -65,6 +65,32 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+def writing_tasks(spark: SparkSession) -> int:
+    """Tasks for a write of many small files, whose bytes alone would put them into one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is started meanwhile."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@contextmanager
+def folder_listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed many to a task, not one."""
+    tasks = str(4 * spark.sparkContext.defaultParallelism)
+    with settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": tasks}):
+        yield
+
+
 def has_heavy_key(df: DataFrame, keys: list[str]) -> bool:
     """True if one key holds more rows than a single task should take.
 
@@ -139,14 +165,8 @@ DISK_STATE = {
 @contextmanager
 def disk_state(spark: SparkSession) -> Iterator[None]:
     """Streams started meanwhile keep their state on disk."""
-    before = {name: spark.conf.get(name, None) for name in DISK_STATE}
-    try:
-        for name, value in DISK_STATE.items():
-            spark.conf.set(name, value)
+    with settings(spark, DISK_STATE):
         yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def checkpointed_stream(stream: DataFrame, path: str | None = None) -> DataFrame:

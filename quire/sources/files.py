@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quire.functions.names import ancestor_paths, stored_name
 from quire.functions.unicode import collision_key
 from quire.operators.aggregates import duplicate_groups
+from quire.session import folder_listing
 
 
 def _relative(root: str) -> Column:
@@ -25,12 +26,13 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     Files are read in parallel by Spark's binary source; a file that is not
     UTF-8 has ``valid_utf8`` false and no text.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
+    with folder_listing(spark):
+        raw = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", pattern)
+            .load(root)
+        )
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return raw.select(
         _relative(root).alias("relative_path"),
