@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions.names import ROOT_KEY, TOP, TRASH, parent_path, stored_name
 from quire.operators.ordered import with_row_number
-from quire.session import durable
+from quire.session import durable, folder_listing, writing_tasks
 
 
 def tree_order_entries(nodes: DataFrame, top: str = TOP, trash: str = f"{TOP}/{TRASH}") -> DataFrame:
@@ -61,15 +61,18 @@ def write_manuscript_parts(parts: DataFrame, path: str) -> None:
     Rows are dealt by range and sorted, so that a manuscript of any size is
     written by several tasks, each file a run of its chapters; file names
     sort as the runs do. One commit makes all of it appear. As each row ends
-    with a newline, a part begins with what its separator has beyond that.
+    with a newline, a part begins with what its separator has beyond that. The
+    cost is in the folders, so that few bytes do not make it one task.
     """
-    ranged = parts.repartitionByRange("file_name", "number").sortWithinPartitions("file_name", "number")
+    tasks = writing_tasks(parts.sparkSession)
+    ranged = parts.repartitionByRange(tasks, "file_name", "number").sortWithinPartitions("file_name", "number")
     ranged.select("file_name", F.col("part").alias("value")).write.mode("overwrite").partitionBy("file_name").text(path)
 
 
 def read_manuscript_files(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, file, content`` of each file; a manuscript's files follow one another by ``file``."""
-    files = spark.read.text(path, wholetext=True)
+    with folder_listing(spark):
+        files = spark.read.text(path, wholetext=True)
     return files.select("file_name", F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
 
 
