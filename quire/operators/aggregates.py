@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.operators.ordered import with_running
@@ -14,6 +18,42 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1")
 
 
+#: Code points there are, and how many of a text are counted at once.
+_CODE_POINTS, _AT_ONCE = 0x110000, 1 << 20
+
+
+def code_point_counts(texts: DataFrame, column: str) -> DataFrame:
+    """``cp, n``: how often each code point occurs in a column of texts.
+
+    Each task counts its texts in one array, so that a row per code point
+    leaves it, whatever the texts hold.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_CODE_POINTS, dtype=np.int64)
+
+        def add(text: str) -> None:
+            for begin in range(0, len(text), _AT_ONCE):
+                here = np.bincount(np.frombuffer(text[begin : begin + _AT_ONCE].encode("utf-32-le"), dtype="<u4"))
+                total[: len(here)] += here
+
+        for batch in batches:
+            waiting, size = [], 0
+            for value in batch.column(0):
+                if value.is_valid:
+                    waiting.append(value.as_py().decode(errors="replace"))
+                    size += len(waiting[-1])
+                if size >= _AT_ONCE:
+                    add("".join(waiting))
+                    waiting, size = [], 0
+            add("".join(waiting))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["cp", "n"])
+
+    counted = texts.select(F.col(column).cast("binary")).mapInArrow(count, "cp bigint, n bigint")
+    return counted.groupBy("cp").agg(F.sum("n").alias("n"))
+
+
 def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code").agg(F.count("*").alias("issues"))
 

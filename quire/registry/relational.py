@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import names as N
 from quire.operators import ordering as O, relational as R, windows as W
+from quire.operators.aggregates import code_point_counts
 from quire.operators.ordered import newest, with_row_number
 from quire.registry.core import register
 from quire.registry.roles import (
@@ -120,10 +121,7 @@ SELECT cp, n, block FROM counted JOIN ranges ON cp BETWEEN a AND b""")
 def codepoint_blocks(spark, folder):
     ranges = spark.createDataFrame(_RANGES, "range_start bigint, range_end bigint, block string")
     # counting first leaves one row per code point, whatever the corpus holds
-    chars = documents(spark, folder).select(F.explode(F.split("text", "")).alias("c"))
-    counted = chars.groupBy("c").agg(F.count("*").alias("n")).where("c <> ''")
-    utf32 = F.encode(F.col("c"), "UTF-32")
-    counted = counted.select(F.conv(F.hex(utf32), 16, 10).cast("bigint").alias("cp"), "n")
+    counted = code_point_counts(documents(spark, folder), "text")
     return R.range_lookup(counted, "cp", ranges).select("cp", "n", "block")
 
 
