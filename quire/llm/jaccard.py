@@ -42,7 +42,7 @@ GROWTH, LARGEST = 1.4, 1 << 40
 #: Bits of a parity sketch, as a power of two: bits that differ bound a pair's difference from below.
 SKETCH = 10
 #: Words whose hash a worker remembers.
-MEMORY = 400_000
+MEMORY = 100_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
