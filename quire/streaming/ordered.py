@@ -10,16 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
+from pickle import dumps, loads
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from quire.session import checkpointed_stream, disk_state, shared_folder
 
-#: Events put into state at once.
+#: Events that wait as one value of state, and rows that leave as one, at most.
 CHUNK = 10_000
+#: Bytes of a task's events that are gathered by key at once.
+GATHERED = 64 * 1024 * 1024
+#: Steps in which the watermark moves by one delay.
+STEPS = 16
 #: The moment after all events, which closes a feed.
 END = "9999-12-31 00:00:00"
 #: Marks rows that only move the watermark.
@@ -52,63 +58,71 @@ def _place(event: Event, size: int) -> tuple:
 
 
 class _Ordered(StatefulProcessor):
-    """The waiting events, the state and the next timer of one key."""
+    """The waiting events and the state of one key.
 
-    def __init__(self, rule: Rule, waiting: StructType, keys: list[str], order: int):
-        self.rule, self.schema, self.keys, self.order = rule, waiting, len(keys), order
+    Each call to the state store is a message to the executor and back, and
+    each value that passes is converted one by one. So calls are few, events
+    come and wait many to a value, and rows leave as arrays. A timer is set
+    without asking for earlier ones; a key is drained once a micro-batch.
+    """
+
+    def __init__(self, rule: Rule, keys: list[str], order: int):
+        self.rule, self.keys, self.order = rule, len(keys), order
         self.row = Row(*keys, *StructType.fromDDL(rule.output).names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getListState("waiting", StructType([StructField("events", BinaryType())]))
         self.state = handle.getValueState("state", self.rule.state)
-        self.timer = handle.getValueState("timer", StructType([StructField("at", LongType())]))
-
-    def _wake(self, at: int | None) -> None:
-        """Have a timer at this instant, unless there is an earlier one."""
-        if at is None:
-            return
-        now = -(-at // 1000)
-        if self.timer.exists():
-            before = self.timer.get()[0]
-            if before <= now:
-                return
-            self.handle.deleteTimer(before)
-        self.handle.registerTimer(now)
-        self.timer.update((now,))
+        self.drained: set[tuple] = set()
+
+    def _wake(self, at: int) -> None:
+        """Have a timer at the first millisecond not before this instant."""
+        self.handle.registerTimer(-(-at // 1000))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        while batch := list(islice(rows, CHUNK)):
-            fresh = [tuple(r)[self.keys + 1 : -1] for r in batch if not r[self.keys]]
-            if fresh:
-                self.waiting.appendList(fresh)
-                self._wake(min(e[0] for e in fresh))
+        first = None
+        events = (e for r in rows if not r[self.keys] for e in zip(*tuple(r)[self.keys + 2 :]))
+        while fresh := list(islice(events, CHUNK)):
+            self.waiting.appendValue((dumps(fresh),))
+            least = min(e[0] for e in fresh)
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.timer.clear()
+        if tuple(key) in self.drained:
+            return iter(())
+        self.drained.add(tuple(key))
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = [tuple(e) for e in self.waiting.get()]
-        due = sorted((e for e in events if e[0] <= passed), key=lambda e: _place(e, self.order))
-        later = [e for e in events if e[0] > passed]
-        state = tuple(self.state.get()) if self.state.exists() else None
+        due, later = [], []
+        for (events,) in self.waiting.get():
+            for event in loads(events):
+                (due if event[0] <= passed else later).append(event)
+        due.sort(key=lambda e: _place(e, self.order))
+        before = self.state.get()
+        state = None if before is None else tuple(before)
         out: list[tuple] = []
         for event in due:
             state = self._ended(state, event[0], out)
             state, rows = self.rule.step(state, event)
             out += rows
         state = self._ended(state, passed, out)
-        if due:
-            self.waiting.put(later) if later else self.waiting.clear()
+        if due and later:
+            self.waiting.put([(dumps(part),) for part in _parts(later)])
+        elif due:
+            self.waiting.clear()
         if state is not None:
             self.state.update(state)
-        elif self.state.exists():
+        elif before is not None:
             self.state.clear()
         nexts = [e[0] for e in later]
         if state is not None and self.rule.end(state) is not None:
             nexts.append(self.rule.end(state))
-        self._wake(min(nexts, default=None))
-        return iter([self.row(*key, *r) for r in out])
+        if nexts:
+            self._wake(min(nexts))
+        return iter([self.row(*key, *zip(*part)) for part in _parts(out)])
 
     def _ended(self, state: State | None, at: int, out: list[tuple]) -> State | None:
         end = None if state is None else self.rule.end(state)
@@ -118,6 +132,25 @@ class _Ordered(StatefulProcessor):
         return None
 
 
+def _parts(items: list) -> Iterator[list]:
+    return (items[i : i + CHUNK] for i in range(0, len(items), CHUNK))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row for the events of a key and step among those that fit :data:`GATHERED`."""
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if held and (batch is None or size >= GATHERED):
+            rows = pa.Table.from_batches(held)
+            by, of = rows.column_names[: len(keys) + 2], rows.column_names[len(keys) + 2 :]
+            lists = rows.group_by(by, use_threads=False).aggregate([(c, "list") for c in of])
+            yield from lists.select([*by, *[f"{c}_list" for c in of]]).rename_columns(rows.column_names).to_batches()
+            held, size = [], 0
+
+
 def in_event_order(events: DataFrame, keys: list[str], time: str, order: list[str], columns: list[str], rule: Rule, delay: str) -> DataFrame:
     """The rule's rows for a stream of events, by key and event time.
 
@@ -125,17 +158,28 @@ def in_event_order(events: DataFrame, keys: list[str], time: str, order: list[st
     than ``delay`` behind the newest are late and left out, as in any stream,
     and so are events without a time. A key's waiting events of one ``delay``
     must fit a task's memory. Start the query under :func:`disk_state`.
+
+    The watermark moves in steps of a sixteenth of ``delay`` and stays up to
+    two steps behind it. The events of a key within a step are late together
+    or not at all, so that they go to the rule in one row.
     """
+    spark = events.sparkSession
+    zero = "timestamp_ntz'1970-01-01 00:00:00'"
+    wait = spark.sql(f"SELECT timestampdiff(MILLISECOND, {zero}, {zero} + INTERVAL '{delay}')").first()[0]
+    step = max(1, wait // STEPS)
     tick = F.col(TICK) if TICK in events.columns else F.lit(False)
-    timed = events.where(F.col(time).isNotNull()).withColumn(TICK, tick).withWatermark(time, delay)
-    micros = F.unix_micros(F.col(time)).alias("at")
-    shaped = timed.select(*keys, TICK, micros, *order, *[c for c in columns if c not in order], F.col(time).alias("_event_time"))
-    named = {f.name: f for f in shaped.schema}
-    waiting = StructType([named[c] for c in ["at", *order, *[c for c in columns if c not in order]]])
-    out = ", ".join(f"`{k}` {named[k].dataType.simpleString()}" for k in keys)
-    return shaped.groupBy(*keys).transformWithState(
-        _Ordered(rule, waiting, keys, 1 + len(order)), f"{out}, {rule.output}", "append", "EventTime"
-    )
+    micros = F.unix_micros(F.col(time))
+    parts = {"_step": F.timestamp_micros(micros - F.pmod(micros, F.lit(step * 1000))), TICK: tick, "_at": micros}
+    own = [*order, *[c for c in columns if c not in order]]
+    shaped = events.where(F.col(time).isNotNull()).select(*keys, *[v.alias(c) for c, v in parts.items()], *own)
+    kinds = {f.name: f.dataType for f in shaped.schema}
+    whole = StructType([StructField(c, kinds[c]) for c in [*keys, TICK, "_step"]] + [StructField(c, ArrayType(kinds[c])) for c in ["_at", *own]])
+    dealt = shaped.select(*whole.names).repartition(*keys)
+    rows = dealt.mapInArrow(lambda batches: _gathered(batches, keys), whole).withWatermark("_step", f"{wait + step} milliseconds")
+    output = StructType.fromDDL(rule.output)
+    packed = StructType([*whole[: len(keys)], *[StructField(f.name, ArrayType(f.dataType)) for f in output]])
+    out = rows.groupBy(*keys).transformWithState(_Ordered(rule, keys, 1 + len(order)), packed, "append", "EventTime")
+    return out.select(*keys, F.inline(F.arrays_zip(*output.names)))
 
 
 def instant(name: str) -> Column:
@@ -152,7 +196,7 @@ def settled(feed: DataFrame, time: str, operator: Callable[[DataFrame], DataFram
     """
     spark: SparkSession = feed.sparkSession
     path = shared_folder(spark)
-    none = spark.createDataFrame([], f"`{time}` timestamp, {TICK} boolean")
+    none = spark.range(0).select(F.lit(None).cast("timestamp").alias(time), F.lit(True).alias(TICK))
     none.write.parquet(f"{path}-ticks")
     ticks = spark.readStream.schema(none.schema).parquet(f"{path}-ticks")
     out = operator(feed.withColumn(TICK, F.lit(False)).unionByName(ticks, allowMissingColumns=True))

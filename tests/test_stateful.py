@@ -103,6 +103,80 @@ def test_events_wait_for_the_watermark(spark, tmp_path):
     assert sorted(r.generation for r in out.collect()) == [0, 1, 2, 3]
 
 
+class _Calls:
+    """A state store of one key that counts the calls made to it."""
+
+    def __init__(self):
+        self.calls, self.values, self.state = 0, [], None
+
+    def getListState(self, name, schema):
+        return self
+
+    getValueState = getListState
+
+    def _counted(self, found=None):
+        self.calls += 1
+        return found
+
+    def appendList(self, values):
+        self._counted(self.values.extend(values))
+
+    def appendValue(self, value):
+        self.appendList([value])
+
+    def registerTimer(self, at):
+        self._counted()
+
+    def exists(self):
+        return self._counted(False)
+
+    def get(self):
+        return self._counted(list(self.values) or None)
+
+    update = clear = deleteTimer = registerTimer
+
+
+def test_events_of_a_key_wait_in_few_calls_and_values():
+    from pyspark.sql import Row
+    from quire.streaming.ordered import Rule, _Ordered
+
+    rule = Rule("last bigint", "name string", lambda state, event: (state, []))
+    processor, store = object.__new__(_Ordered), _Calls()
+    processor.rule, processor.keys, processor.order = rule, 1, 1
+    processor.init(store)
+    rows = [Row(key="d", tick=False, step=None, at=list(range(i, i + 500)), name=["n"] * 500) for i in (1000, 500, 0)]
+    assert list(processor.handleInputRows(("d",), iter(rows), None)) == []
+    assert store.calls <= 3 and len(store.values) == 1
+
+
+def test_events_of_a_key_and_step_are_gathered(spark):
+    import pyarrow as pa
+    from quire.streaming.ordered import TICK, _gathered
+
+    rng = random.Random(8)
+    data = [(rng.choice([None, 2**60 + 1, 2**60 + 2]), False, rng.randrange(3), i, rng.choice([None, "a"])) for i in range(900)]
+    names = ["key", TICK, "_step", "_at", "name"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+    frames = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*data[i : i + 7]), kinds)], names) for i in range(0, 900, 7)]
+    out = [r for b in _gathered(iter(frames), ["key"]) for r in b.to_pylist()]
+    assert len(out) == 9
+    back = [(r["key"], r[TICK], r["_step"], at, name) for r in out for at, name in zip(r["_at"], r["name"])]
+    assert sorted(back, key=lambda r: r[3]) == data
+
+
+def test_events_within_the_delay_are_not_late(spark, tmp_path):
+    """Steps of the watermark leave out no event that is on time, and keep none that is long past."""
+    at = lambda seconds: T0 + dt.timedelta(seconds=seconds)
+    data = [("d", 1, "edited", at(100.999)), ("d", 2, "edited", at(100.5)), ("d", 3, "edited", at(85.0)), ("d", 4, "edited", at(80.0)), ("d", 5, "edited", at(84.999001))]
+    schema = "document_id string, generation bigint, event string, ts timestamp"
+    path = tmp_path / "in"
+    for part in (data[:1], data[1:2], data[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(path))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    out = settled(events, "ts", lambda feed: K.save_state(feed, "16 seconds"))
+    assert [r.generation for r in out.orderBy("ts").collect()] == [5, 3, 2, 1]
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path, small_frames):
     rng = random.Random(4)
     data = [(f"d{rng.randrange(2)}", f"b{i:03d}", T0 + dt.timedelta(seconds=rng.randrange(9000)), rng.choice([5, 2_000_000]), "automaticSave") for i in range(150)]
